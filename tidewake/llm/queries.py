@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import langid, licences, mixing, simhash, spotsigs, urls
+from tidewake.llm import bpe, langid, licences, mixing, neardup, simhash, spotsigs, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), bpe.TOKENIZER, "digests")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
@@ -40,8 +52,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_licences, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_licences, op4_bpe, op5_warc, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urls.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op6_url_filter": urls.ORACLE}
