@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, langid, licences, mixing, neardup, simhash, spotsigs, urls, warc
+from tidewake.llm import bpe, langid, licences, lm, mixing, neardup, simhash, spotsigs, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), bpe.TOKENIZER, "digests")
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_licences, op4_bpe, op5_warc, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_licences, op3_lm_score, op4_bpe, op5_warc, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
