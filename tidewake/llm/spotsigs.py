@@ -90,14 +90,15 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     links = order.select("k", F.coalesce("next", F.lit(last if gaps else first)).alias("next"))
     if gaps:
         links = links.unionByName(links.sparkSession.createDataFrame([(nothing, first)], "k long, next long"))
-    wants = links.join(ids.select("k", "need"), "k").select(F.col("next").alias("k"), F.col("k").alias(key), "need")
-    at = rows.withColumn("sigs", signatures(F.col("text"))).repartition("k")
-    givers = at.select("k", "text", "sigs") if (repeats or 1) == 1 else at.groupBy("k").agg(F.max(F.struct("text", "sigs")).alias("t")).select("k", "t.*")
+    wants = saved(links.join(ids.select("k", "need"), "k").select(F.col("next").alias("k"), F.col("k").alias(key), "need"), "wants")
+    # own rows and givers need the same three columns, so that Spark moves them once and reads them twice
+    at = rows.select("k", "text", signatures(F.col("text")).alias("sigs")).repartition("k")
+    givers = at if (repeats or 1) == 1 else at.groupBy("k").agg(F.max(F.struct("text", "sigs")).alias("t")).select("k", "t.*")
     given = givers.join(wants, "k").select(F.col(key).alias("k"), F.expr("left(text, need)").alias("head"), F.col("sigs").alias("next_sigs"))
     n = F.char_length("text")
     third = F.floor(n / F.lit(3)).cast("int")
     both = at.join(given, "k").withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("head"), F.lit(1), third))})
-    done = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "next_sigs", signatures(F.col("edited")).alias("edited_sigs"))
+    done = both.select(F.when(F.col("k") != nothing, F.col("k")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "next_sigs", signatures(F.col("edited")).alias("edited_sigs"))
     return done.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 
