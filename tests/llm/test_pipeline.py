@@ -4,7 +4,7 @@ from collections import defaultdict
 import corpus_pipeline
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_simhash import brute_classes, brute_fp
-from tidewake.llm.common import saved
+from tidewake.scratch import saved
 
 SF = "/root/testdata/sf0.01"
 

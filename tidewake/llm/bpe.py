@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import saved
+from tidewake.scratch import saved
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Chunk sizes in bytes: least, mean beyond the least, most.

@@ -1,11 +1,8 @@
-"""Helpers shared by the corpus operators: scratch tables in the shared folder, and skew-proof joins."""
+"""Helpers shared by the corpus operators: text columns, folds, and skew-proof joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Prefix of every helper column that is added to a caller's table, so that it can't clash with theirs.
@@ -14,26 +11,6 @@ OWN = "__tw_"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="spark-tidewake-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: cuts lineage, and is not recomputed."""
-    path = f"{shared_dir(df.sparkSession)}/tidewake/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)

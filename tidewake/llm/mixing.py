@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import OWN, salted_left_join, saved
+from tidewake.llm.common import OWN, salted_left_join
+from tidewake.scratch import saved
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import saved
-from tidewake.llm.components import components
+from tidewake.scratch import saved
+from tidewake.operators.components import components
 
 #: The index is fitted on about so many vectors (all, if there are fewer); every vector is indexed.
 SAMPLE = 8192

@@ -8,8 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import OWN, saved
-from tidewake.llm.components import components
+from tidewake.llm.common import OWN
+from tidewake.scratch import saved
+from tidewake.operators.components import components
 
 #: A fingerprint is cut into so many segments of 4 bits.  A segment's popcount (0..4) takes 3 bits of the cell number.
 SEGMENTS = 16

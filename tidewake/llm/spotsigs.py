@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import OWN, saved
+from tidewake.llm.common import OWN
+from tidewake.scratch import saved
 
 # Common words of English, German, French and Spanish that anchor a chain.
 ANCHORS = (

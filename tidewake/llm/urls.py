@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import lower_ascii, salted_left_join, saved
+from tidewake.llm.common import lower_ascii, salted_left_join
+from tidewake.scratch import saved
 
 # Fixed values: (verdict, host, path) of the rules; the longest rule that fits decides.
 RULES = (

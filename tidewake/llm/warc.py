@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import salted_left_join, shared_dir
+from tidewake.llm.common import salted_left_join
+from tidewake.scratch import shared_dir
 
 #: Most payload bytes in one record; larger payloads continue in further records (segments).
 SEGMENT = 256 * 1024
