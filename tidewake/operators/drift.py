@@ -120,7 +120,8 @@ def hulls(particles: DataFrame, by: str, buffer: float = 0.01) -> DataFrame:
     angle = [2 * np.pi * k / 64 for k in range(64)]
     extreme = particles.groupBy(by).agg(F.array(*[F.max_by(F.struct("lat", "lon"), F.col("lat") * float(np.sin(t)) + F.col("lon") * float(np.cos(t))) for t in angle]).alias("e"))
     ring = extreme.select(by, F.concat("e", F.array(F.col("e")[0])).alias("ring"))
-    outer = particles.join(ring, by).where(~geo.point_in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select(by, "lat", "lon").distinct()
+    outer = particles.join(ring, by).where(~geo.point_in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select(by, "lat", "lon")
+    outer = outer.unionByName(extreme.select(by, F.inline("e"))).distinct()
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pts = sorted({(x, y) for x, y in zip(pdf["lon"], pdf["lat"])})
