@@ -1,9 +1,12 @@
+import dataclasses
 import datetime
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewake.operators import drift, raster, scoring, tracks
+from tidewake.operators import drift, drift_steps, raster, scoring, tracks
 from tidewake.streaming import tracks as streams
 
 US = 1_000_000
@@ -41,14 +44,58 @@ def test_tile_then_stitch_is_identity(spark):
 
 def test_drift_members_are_reproducible_and_still_water_keeps_particles(spark):
     ring = ((73.0, 15.0), (73.2, 15.0), (73.2, 15.2), (73.0, 15.2), (73.0, 15.0))
-    still = drift.Request(ring, 6, 30, 50, stochastic=False)
-    moved = drift.Request(ring, 6, 30, 50, current=(0.5, 0.0), stochastic=False, backward=False)
-    a, b, c = (sorted(map(tuple, drift.simulate(spark, r, 3, False).collect())) for r in (still, still, moved))
+    still = drift.Request((ring,), 6, 30, 50, stochastic=False)
+    moved = drift.Request((ring,), 6, 30, 50, current=drift_steps.uniform(0.5, 0.0), stochastic=False, backward=False)
+    places = lambda r: sorted((x.member, x.particle_id, x.lat, x.lon, x.us) for x in drift.simulate(spark, r, 3, False).collect())
+    a, b, c = map(places, (still, still, moved))
     assert a == b and len(a) == 150
     assert all(73.0 <= lon <= 73.2 and 15.0 <= lat <= 15.2 for _, _, lat, lon, _ in a)
     assert all(y[3] > x[3] and y[2] == x[2] for x, y in zip(a, c))
-    back = drift.Request(ring, 6, 30, 50, current=(0.5, 0.0), stochastic=False, backward_mode="physical")
-    assert all(y[3] < x[3] for x, y in zip(a, sorted(map(tuple, drift.simulate(spark, back, 3, False).collect()))))
+    back = drift.Request((ring,), 6, 30, 50, current=drift_steps.uniform(0.5, 0.0), stochastic=False, backward_mode="physical")
+    assert all(y[3] < x[3] for x, y in zip(a, places(back)))
+
+
+def _eddy(lat, lon):
+    dx, dy = (lon - 73.2) * 111_000 * math.cos(math.radians(lat)), (lat - 15.2) * 111_000
+    return (-0.5 * dy / 50_000, 0.5 * dx / 50_000) if math.hypot(dx, dy) < 50_000 else (0.0, 0.0)
+
+
+def test_runge_kutta_in_an_eddy_equals_plain_python(spark):
+    lat, lon, h = 15.35, 73.05, 1800.0
+    start = spark.createDataFrame([(lat, lon, T0)], "lat double, lon double, us long")
+    got = drift_steps.advected(start, drift_steps.eddy(15.2, 73.2), h, 4, path=True).first()
+    for _ in range(4):
+        scale = 111_000 * math.cos(math.radians(lat))
+        at = lambda k, dt: _eddy(lat + k[1] * dt / 111_000, lon + k[0] * dt / scale)  # noqa: E731, B023
+        a = _eddy(lat, lon)
+        b = at(a, h / 2)
+        c = at(b, h / 2)
+        d = at(c, h)
+        u, v = ((p + 2 * q + 2 * r + s) / 6 for p, q, r, s in zip(a, b, c, d))
+        lat, lon = lat + v * h / 111_000, lon + u * h / scale
+    assert (got.lat, got.lon) == (pytest.approx(lat, abs=1e-10), pytest.approx(lon, abs=1e-10))
+    assert len(got.path) == 5 and got.us == T0 + 4 * 1800 * US
+
+
+def test_grid_field_is_trilinear_and_zero_outside(spark):
+    f = [[[2.0 * t + y + 3 * x for x in range(4)] for y in range(3)] for t in range(2)]
+    field = drift_steps.grid((T0, 15.0, 73.0), (3600 * US, 0.1, 0.1), f, f)
+    rows = [(15.05, 73.21, T0 + 900 * US), (15.2, 73.3, T0 + 3600 * US), (14.9, 73.1, T0), (15.1, 73.1, T0 - US)]
+    p = spark.createDataFrame(rows, "lat double, lon double, us long")
+    got = [r.u for r in p.select(field(*map(F.col, ("lat", "lon", "us")))[0].alias("u")).collect()]
+    assert got == [pytest.approx(x) for x in (2 * 0.25 + 0.5 + 3 * 2.1, 2 + 2 + 9, 0, 0)]
+
+
+def test_particles_fill_polygons_by_area_and_diffusion_has_its_variance(spark):
+    small, large = (((x, 15.0), (x + w, 15.0), (x + w, 15.0 + w), (x, 15.0 + w), (x, 15.0)) for x, w in ((73.0, 0.1), (74.0, 0.3)))
+    r = drift.Request((small, large), 2, 20, 1000, backward=False, seed=5)
+    placed = drift.simulate(spark, dataclasses.replace(r, hours=0), 1).collect()
+    assert [sum(x.part == k for x in placed) for k in (0, 1)] == [100, 900]
+    assert all(73.0 <= x.lon <= 73.1 if x.part == 0 else 74.0 <= x.lon <= 74.3 for x in placed)
+    ends = drift.simulate(spark, r, 1, False).collect()
+    begin = {(x.part, x.particle_id): x for x in placed}
+    north = [(x.lat - begin[x.part, x.particle_id].lat) * 111_000 for x in ends]
+    assert sum(north) / 1000 == pytest.approx(0, abs=60) and sum(x * x for x in north) / 1000 == pytest.approx(2 * 10 * 7200, rel=0.15)
 
 
 def test_hull_holds_all_points(spark):

@@ -1,4 +1,4 @@
-"""Particle drift: members of an ensemble are rows, each is moved in one task in numpy; statistics are SQL."""
+"""Particle drift: ensembles over regions, their statistics, densities, hulls, and fields as tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo
+from tidewake.operators import drift_steps as steps
 
 # Ranges from which members draw their coefficients.
 RANGES = {"current": (0.8, 1.2), "wind": (0.02, 0.04), "diffusion": (5.0, 20.0)}
@@ -17,14 +18,14 @@ RANGES = {"current": (0.8, 1.2), "wind": (0.02, 0.04), "diffusion": (5.0, 20.0)}
 
 @dataclasses.dataclass(frozen=True)
 class Request:
-    """A drift run over a polygon ring of (lon, lat); currents and winds are (u, v) in m/s at the start."""
+    """A drift run over polygons, each a closed ring of (lon, lat); fields give (u, v) in m/s."""
 
-    ring: tuple[tuple[float, float], ...]
+    rings: tuple[tuple[tuple[float, float], ...], ...]
     hours: float
     step_minutes: float
     particles: int = 250
-    current: tuple[float, float] = (0.0, 0.0)
-    wind: tuple[float, float] = (0.0, 0.0)
+    current: steps.Field = steps.uniform(0.0, 0.0)
+    wind: steps.Field = steps.uniform(0.0, 0.0)
     current_coefficient: float = 1.0
     wind_coefficient: float = 0.03
     diffusion: float = 10.0
@@ -33,6 +34,7 @@ class Request:
     #: ``reference``: a backward run moves as a forward one (only its clock runs back); ``physical``: velocities are reversed.
     backward_mode: str = "reference"
     seed: int = 0
+    start_us: int = 0
 
 
 def rk4(lat: Column, lon: Column, u: Column, v: Column, seconds: float) -> tuple[Column, Column]:
@@ -40,46 +42,25 @@ def rk4(lat: Column, lon: Column, u: Column, v: Column, seconds: float) -> tuple
     return lat + v * seconds / 1000 / geo.KM_PER_DEGREE, lon + u * seconds / 1000 / (geo.KM_PER_DEGREE * F.cos(F.radians(lat)))
 
 
-def _inside(lon: np.ndarray, lat: np.ndarray, ring) -> np.ndarray:
-    out = np.zeros(len(lon), bool)
-    for (x0, y0), (x1, y1) in zip(ring, ring[1:]):
-        if y0 != y1:
-            out ^= ((y0 > lat) != (y1 > lat)) & (lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0)
-    return out
+def drifted(regions: DataFrame, key: str, r: Request, members: int = 10, perturb: bool = True) -> DataFrame:
+    """``(key, part, particle_id, us, lat, lon, member, weight)`` of an ensemble over each row of ``regions(key, rings, us)``.
 
-
-def _start(r: Request, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Particles uniform in the ring by rejection (100 rounds), what is left at its centre."""
-    xs, ys = np.array(r.ring).T
-    lat, lon = np.full(r.particles, ys[:-1].mean()), np.full(r.particles, xs[:-1].mean())
-    todo = np.arange(r.particles)
-    for _ in range(100):
-        a, o = rng.uniform(ys.min(), ys.max(), len(todo)), rng.uniform(xs.min(), xs.max(), len(todo))
-        ok = _inside(o, a, r.ring)
-        lat[todo[ok]], lon[todo[ok]] = a[ok], o[ok]
-        todo = todo[~ok]
-        if not len(todo):
-            break
-    return lat, lon
+    ``r.rings`` and ``r.start_us`` are not used.  Members draw their coefficients from RANGES if ``perturb``.  From regions to final
+    positions there is no shuffle, and every draw is a hash of seed, region, particle, member and step.
+    """
+    ranges = RANGES if perturb else {"current": (r.current_coefficient,) * 2, "wind": (r.wind_coefficient,) * 2, "diffusion": (r.diffusion,) * 2}
+    rows = steps.with_members(steps.particles_in(regions.select(key, "rings", "us"), key, r.particles, r.seed), members, ranges, r.seed)
+    sign = -1.0 if r.backward and r.backward_mode == "physical" else 1.0
+    velocity = steps.combined(r.current, r.wind, sign * F.col("current"), sign * F.col("wind"))
+    seconds = r.step_minutes * 60
+    out = steps.advected(rows, velocity, seconds, int(r.hours * 3600 / seconds), F.col("diffusion") if r.stochastic else None, (key, "part", "particle_id", "member"), r.seed, r.backward)
+    return out.drop(*ranges).withColumn("weight", F.lit(1.0))
 
 
 def simulate(spark: SparkSession, r: Request, members: int = 10, perturb: bool = True) -> DataFrame:
-    """``(member, particle_id, lat, lon, weight)`` at the end of the run; members run in parallel and are reproducible."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        member = int(pdf["member"].iloc[0])
-        rng = np.random.default_rng([r.seed, member])
-        draw = {k: rng.uniform(*v) for k, v in RANGES.items()} if perturb else {"current": r.current_coefficient, "wind": r.wind_coefficient, "diffusion": r.diffusion}
-        lat, lon = _start(r, rng)
-        dt = r.step_minutes * 60
-        sign = -1 if r.backward and r.backward_mode == "physical" else 1
-        u, v = (sign * (draw["current"] * a + draw["wind"] * b) for a, b in zip(r.current, r.wind))
-        for _ in range(int(r.hours * 3600 / dt)):
-            spread = rng.normal(0, (2 * draw["diffusion"] * dt) ** 0.5, (2, r.particles)) if r.stochastic else np.zeros((2, r.particles))
-            lon = lon + (u * dt + spread[0]) / 1000 / (geo.KM_PER_DEGREE * np.cos(np.radians(lat)))
-            lat = lat + (v * dt + spread[1]) / 1000 / geo.KM_PER_DEGREE
-        return pd.DataFrame({"member": member, "particle_id": np.arange(r.particles), "lat": lat, "lon": lon, "weight": 1.0})
-
-    return spark.range(members).withColumnRenamed("id", "member").repartition(members, "member").groupBy("member").applyInPandas(one, "member long, particle_id long, lat double, lon double, weight double")
+    """``drifted`` over the request's own region, keyed by ``run`` 0."""
+    region = spark.createDataFrame([(0, [[(float(x), float(y)) for x, y in ring] for ring in r.rings], r.start_us)], "run long, rings array<array<struct<lon:double,lat:double>>>, us long")
+    return drifted(region, "run", r, members, perturb)
 
 
 def statistics(particles: DataFrame, *by: str) -> DataFrame:
