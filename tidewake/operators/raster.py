@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.operators.components import components
+from tidewake.scratch import saved
 
 KEYS = ("scene_id", "y", "x")
 
@@ -98,3 +100,28 @@ def polygons(mask: DataFrame, width: int, affine: tuple[float, float, float, flo
 def masked_mean(value: Column, mask: Column) -> Column:
     """Aggregate: the mean of values where the mask is set; 0 if it is nowhere."""
     return F.coalesce(F.avg(F.when(mask, value)), F.lit(0.0))
+
+
+def valid_scene(scene: Column, crs: str = "EPSG:4326") -> Column:
+    """Whether a scene's struct (crs, affine struct a..f) has that reference system and a usable transform: neither identity nor flat."""
+    a = scene["affine"]
+    identity = (a["a"] == 1) & (a["b"] == 0) & (a["c"] == 0) & (a["d"] == 0) & (a["e"] == 1) & (a["f"] == 0)
+    return F.coalesce((scene["crs"] == crs) & ~identity & (F.abs(a["a"]) >= 1e-10) & (F.abs(a["e"]) >= 1e-10), F.lit(False))
+
+
+def segmented(pixels: DataFrame, height: int, width: int, affine: tuple[float, float, float, float, float, float], scorer: Callable[[Column], Column], tile: int = 512, overlap: int = 32, low: float = -25.0, high: float = 5.0, vector: Column | None = None, min_area_km2: float = 0.001, min_area: int = 50, max_hole: int = 100) -> DataFrame:
+    """Measured slicks of scenes ``(scene_id, y, x, v)``: calibrated, in dB, normalised, tiled, scored, stitched, cleaned, measured.
+
+    ``scorer`` makes a probability of a tile's normalised value; a pixel is set above one half.
+    """
+    level = normalised(to_db(calibrated(F.col("v"), F.lit(None).cast("double") if vector is None else vector)), low, high)
+    scored = tiles(pixels.select(*KEYS, level.alias("level")), height, width, tile, overlap).withColumn("p", scorer(F.col("level")))
+    whole = saved(stitched(scored, "p"), "stitched")
+    mask = saved(postprocessed(whole.withColumn("on", F.col("p") > 0.5), height, width, min_area, max_hole), "mask")
+    return polygons(mask, width, affine, whole).where(F.col("area_km2") >= min_area_km2)
+
+
+def segmentation_summary(slicks: DataFrame) -> DataFrame:
+    """Per scene: slicks, total area, mean confidence, and its level: low up to 0.3, high from 0.8."""
+    s = slicks.groupBy("scene_id").agg(F.count("*").alias("slicks"), F.sum("area_km2").alias("area_km2"), F.avg("confidence").alias("confidence"))
+    return s.withColumn("level", F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") > 0.3, "medium").otherwise("low"))

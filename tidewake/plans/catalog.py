@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo
-from tidewake.operators import anomalies, drift, evaluation, raster, retrieval, scoring, tracks
-from tidewake.plans import adapters
+from tidewake.operators import anomalies, drift, drift_steps, evaluation, raster, retrieval, scoring, tracks
+from tidewake.plans import adapters, investigation
 from tidewake.plans.adapters import AIS_SQL, ERROR_SQL, HEIGHT, PIXEL_SQL, SCENARIO_SQL, WIDTH, ais, pixels, table
 from tidewake.sources import ais as reports
 
@@ -366,7 +366,7 @@ def mask_polygons(spark, d):
 # ---- drift
 
 
-@query(f"WITH {AIS_SQL}, e AS (SELECT ord, (lon - 73.2) * 111000 * cos(radians(lat)) dx, (lat - 15.2) * 111000 dy FROM ais), r AS (SELECT *, sqrt(dx * dx + dy * dy) r FROM e) SELECT ord, round(CASE WHEN r < 50000 THEN -5e-1 * dy / 50000 ELSE 0 END, 6) AS u, round(CASE WHEN r < 50000 THEN 5e-1 * dx / 50000 ELSE 0 END, 6) AS v FROM r")
+@query(f"WITH {AIS_SQL}, e AS (SELECT ord, (lon - 73.2) * 111000 * cos(radians(lat)) dx, (lat - 15.2) * 111000 dy FROM ais), r AS (SELECT *, sqrt(dx * dx + dy * dy) r FROM e) SELECT ord, round(CASE WHEN r < 50000 THEN -5e-1 * dy / 50000 ELSE 0 END, 6) + 0 AS u, round(CASE WHEN r < 50000 THEN 5e-1 * dx / 50000 ELSE 0 END, 6) + 0 AS v FROM r")
 def field_eddy(spark, d):
     u, v = geo.eddy_current(F.col("lat"), F.col("lon"), 15.2, 73.2)
     zero = lambda c, name: (F.round(c, 6) + 0.0).alias(name)
@@ -436,3 +436,74 @@ def geojson_export(spark, d):
     k = F.col("c_custkey")
     rows = table(spark, d, "customer").where(k % 2 == 0).select("c_custkey", geo.box_ring(15 + 0.001 * (k % 400), 73 + 0.001 * (k % 300), 0.02, 0.03).alias("ring"))
     return scoring.geojson(rows, F.col("ring"), "c_custkey").where(F.get_json_object("feature", "$.properties.c_custkey").cast("long") == k).select("c_custkey")
+
+
+def _rk4_sql(steps: int, seconds: int) -> str:
+    """Runge-Kutta in the eddy, a table per slope."""
+    ctes, before = [], "(SELECT ord, lat, lon FROM ais)"
+    east, north = "(111000 * cos(radians(lat)))", "111000"
+    for k in range(steps):
+        for i, dt in enumerate((0, seconds // 2, seconds // 2, seconds)):
+            y, x = (f"lat + v{i - 1} * {dt} / {north}", f"lon + u{i - 1} * {dt} / {east}") if i else ("lat", "lon")
+            ctes.append(f"p{k}{i} AS (SELECT *, ({x} - 73.2::DOUBLE) * 111000 * cos(radians({y})) dx{i}, ({y} - 15.2::DOUBLE) * 111000 dy{i} FROM {before})")
+            inside = f"CASE WHEN sqrt(dx{i} * dx{i} + dy{i} * dy{i}) < 50000 THEN"
+            ctes.append(f"k{k}{i} AS (SELECT *, {inside} -5e-1 * dy{i} / 50000 ELSE 0 END u{i}, {inside} 5e-1 * dx{i} / 50000 ELSE 0 END v{i} FROM p{k}{i})")
+            before = f"k{k}{i}"
+        mean = lambda c: f"({c}0 + 2 * {c}1 + 2 * {c}2 + {c}3) / 6 * {seconds}"
+        ctes.append(f"s{k} AS (SELECT ord, lat + {mean('v')} / {north} lat, lon + {mean('u')} / {east} lon FROM {before})")
+        before = f"s{k}"
+    return f"WITH {AIS_SQL}, {', '.join(ctes)} SELECT ord, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {before}"
+
+
+@query(_rk4_sql(3, 1800))
+def drift_rk4_eddy(spark, d):
+    out = drift_steps.advected(ais(spark, d).select("ord", "lat", "lon", "us"), drift_steps.eddy(15.2, 73.2), 1800, 3)
+    return out.select("ord", _r("lat"), _r("lon"))
+
+
+@query()
+def drift_ensemble(spark, d):
+    """Backward ensembles from a box around each vessel's last report."""
+    s = tracks.summaries(ais(spark, d))
+    regions = s.select("mmsi", F.array(geo.box_ring(F.col("last_lat"), F.col("last_lon"), 0.02, 0.02)).alias("rings"), F.col("t1").alias("us"))
+    request = drift.Request((), 3, 30, 50, drift_steps.eddy(15.2, 73.2), drift_steps.diurnal(5.0, 2.0), seed=7)
+    return drift.statistics(drift.drifted(regions, "mmsi", request, 5), "mmsi")
+
+
+_DIAMOND = [(73.05003, 15.20007), (73.20003, 15.10007), (73.35003, 15.20007), (73.20003, 15.30007), (73.05003, 15.20007)]
+
+
+@query(f"WITH {AIS_SQL} SELECT ord FROM ais WHERE abs(lon - 73.20003::DOUBLE) / 15e-2 + abs(lat - 15.20007::DOUBLE) / 1e-1 < 1")
+def points_in_polygon(spark, d):
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in _DIAMOND])
+    return ais(spark, d).where(geo.point_in_ring(F.col("lat"), F.col("lon"), ring)).select("ord")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 1000 AND 9999")
+def valid_case_numbers(spark, d):
+    k = F.col("o_orderkey")
+    number = F.concat(F.lit("OT-"), (2020 + k % 7).cast("string"), F.lit("-"), k.cast("string"))
+    return table(spark, d, "orders").where(investigation.valid_case_number(number)).select("o_orderkey")
+
+
+def _investigation(spark, d):
+    names = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("mmsi"), F.col("c_name").alias("vessel_name")).where("c_custkey % 2 = 0")
+    return investigation.investigate(ais(spark, d), adapters.scenarios(spark, d), _fixed_evidence(spark, d), names)
+
+
+@query(f"WITH {_PARTS} SELECT case_id, 3::BIGINT AS n_claims, concat('ais-', mmsi, ',detection-001,drift-ensemble-001') AS evidence_ids, round(91e-2 + 73e-2 + total / 100, 5) AS confidence FROM r WHERE rank = 1")
+def investigation_report(spark, d):
+    r = _investigation(spark, d).report
+    total = F.aggregate("claims", F.lit(0.0), lambda s, c: s + c["confidence"])
+    return r.select("case_id", F.size("claims").cast("long").alias("n_claims"), F.array_join("evidence_ids", ",").alias("evidence_ids"), F.round(total, 5).alias("confidence"))
+
+
+@query(f"WITH {_PARTS}, c AS (SELECT case_id, count(*) n FROM r GROUP BY case_id) SELECT case_id, k::BIGINT AS step, ['satellite', 'detection', 'drift', 'candidates', 'evidence', 'report'][k] AS name, CASE k WHEN 4 THEN n WHEN 5 THEN n + 3 END AS n FROM c, (SELECT unnest([1, 2, 3, 4, 5, 6]) k)")
+def investigation_steps(spark, d):
+    return _investigation(spark, d).steps
+
+
+@query()
+def segmentation(spark, d):
+    slicks = raster.segmented(pixels(spark, d), HEIGHT, WIDTH, (100.0, 0.0, 0.0, 0.0, -100.0, 0.0), lambda level: F.when(level > 0.8, F.lit(0.9)).otherwise(F.lit(0.1)), 32, 8, min_area=5, max_hole=20)
+    return raster.segmentation_summary(slicks)
