@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from tidewake.operators.components import components
 SAMPLE = 8192
 #: Dimensions per subspace, codes per subspace, most lists, most vectors in a block.
 SUBSPACE, CODES, MOST_LISTS, BLOCK = 4, 256, 1024, 4096
-#: Queries of a block that are compared with a list at a time.
-_QUERIES = 512
+#: Queries and members of two blocks that are compared at a time.
+_QUERIES, _MEMBERS = 512, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -73,15 +74,19 @@ class Index:
         """
         d = self.distances(x)
         own = d.argmin(1)
-        apart = np.sqrt(np.maximum(0, self.distances(self.centres)))
-        return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart[own] + 1e-6
+        return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * self.apart[own] + 1e-6
+
+    @functools.cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between centres."""
+        return np.sqrt(np.maximum(0, self.distances(self.centres)))
 
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
 
     def tables(self, x: np.ndarray) -> np.ndarray:
-        """Inner products of each row's parts with each code: rows x subspaces x codes."""
-        return np.stack([x[:, m * SUBSPACE : (m + 1) * SUBSPACE] @ book.T for m, book in enumerate(self.books)], axis=1).astype(np.float32)
+        """Inner products of each code with each row's parts: subspaces x codes x rows, so that a code's entries are adjacent."""
+        return np.stack([book @ x[:, m * SUBSPACE : (m + 1) * SUBSPACE].T for m, book in enumerate(self.books)]).astype(np.float32)
 
 
 def _unit(raw: bytes, dtype: str, dim: int) -> np.ndarray:
@@ -102,18 +107,20 @@ def _found(index: Index, a: dict, b: dict, same: bool, threshold: float):
     error = np.linalg.norm(xb - index.centres[b["list"]] - rough, axis=1)
     fixed = ((rough * rough).sum(1) + 2 * (index.centres[b["list"]] * rough).sum(1)).astype(np.float32)
     reach = ((radius + error) ** 2 + 1e-3).astype(np.float32)
+    order, by_list = np.argsort(a["list"], kind="stable"), np.argsort(b["list"], kind="stable")  # neighbours probe alike
     for at in range(0, len(xa), _QUERIES):
-        q = xa[at : at + _QUERIES]
-        near, probe, table = index.distances(q).astype(np.float32), index.probes(q, radius), index.tables(q)
-        for j in np.unique(b["list"]):
-            rows, members = np.flatnonzero(probe[:, j]), np.flatnonzero(b["list"] == j)
-            if not len(rows):
-                continue
-            dot = np.zeros((len(rows), len(members)), np.float32)
-            for m in range(table.shape[1]):
-                dot += table[rows, m].take(b["codes"][members, m], axis=1)
-            r, c = np.nonzero(near[rows, j][:, None] + fixed[members] - 2 * dot <= reach[members])
-            r, c = rows[r] + at, members[c]
+        mine = order[at : at + _QUERIES]
+        q = xa[mine]
+        near, probed, tables = index.distances(q).T.astype(np.float32), index.probes(q, radius).any(0), index.tables(2 * q)
+        theirs = by_list[probed[b["list"][by_list]]]
+        for i in range(0, len(theirs), _MEMBERS):
+            members = theirs[i : i + _MEMBERS]
+            far, entry = near[b["list"][members]], np.empty((len(members), len(q)), np.float32)
+            far += (fixed[members] - reach[members])[:, None]
+            for m, table in enumerate(tables):
+                far -= table.take(b["codes"][members, m], axis=0, out=entry, mode="clip")
+            c, r = np.nonzero(far <= 0)
+            r, c = mine[r], members[c]
             if same:
                 r, c = r[r < c], c[r < c]
             if len(r):
