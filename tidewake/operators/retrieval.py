@@ -19,7 +19,10 @@ def ask(evidence: DataFrame, question: str, fallback: int = 2) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: list[str], k: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``(id, score)`` of ``docs(id, text)`` by BM25; the k best, ties by id.  Only query words are exploded."""
+    """``(id, score)`` of ``docs(id, text)`` by BM25; the k best, ties by id.  Only query words are exploded.
+
+    Scores have nine decimals, so that equal texts tie in whatever order their words are added.
+    """
     terms = F.array(*[F.lit(t) for t in query])
     rows = docs.select("id", tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(terms, x)).alias("hit"))
     n, mean = rows.agg(F.count("*"), F.avg("n")).first()
@@ -27,7 +30,7 @@ def bm25(docs: DataFrame, query: list[str], k: int | None = None, k1: float = 1.
     df = F.broadcast(tf.groupBy("t").agg(F.count("*").alias("df")))  # one row per query word
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / (mean or 1)))
-    out = tf.join(df, "t").groupBy("id").agg(F.sum(gain).alias("score"))
+    out = tf.join(df, "t").groupBy("id").agg(F.round(F.sum(gain), 9).alias("score"))
     return out.orderBy(F.col("score").desc(), "id").limit(k) if k else out
 
 

@@ -286,7 +286,10 @@ def ask_keyword(spark, d):
 _WORDS = "w AS (SELECT doc_id id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w FROM documents)"
 
 
-@query(f"WITH {_WORDS}, u AS (SELECT id, unnest(w) t, len(w) n FROM w), tf AS (SELECT id, n, t, count(*) tf FROM u WHERE t IN ('license', 'version', 'work') GROUP BY ALL), df AS (SELECT t, count(*) df FROM tf GROUP BY t), g AS (SELECT count(*) cnt, avg(len(w)) mean FROM w) SELECT id, round(sum(ln(1 + (cnt - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * n / mean))), 5) AS score FROM tf JOIN df USING (t), g GROUP BY id")
+_BM25 = f"{_WORDS}, u AS (SELECT id, unnest(w) t, len(w) n FROM w), tf AS (SELECT id, n, t, count(*) tf FROM u WHERE t IN ('license', 'version', 'work') GROUP BY ALL), df AS (SELECT t, count(*) df FROM tf GROUP BY t), g AS (SELECT count(*) cnt, avg(len(w)) mean FROM w), bm AS (SELECT id, round(sum(ln(1 + (cnt - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * n / mean))), 9) AS s FROM tf JOIN df USING (t), g GROUP BY id)"
+
+
+@query(f"WITH {_BM25} SELECT id, round(s, 5) AS score FROM bm")
 def bm25_scores(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return retrieval.bm25(docs, ["license", "version", "work"]).select("id", _r("score", 5))
@@ -305,11 +308,14 @@ def vector_topk(spark, d):
     return retrieval.cosine(v, _first_vector(spark, d), 10).select("id", _r("score", 5))
 
 
-@query()
+_SHARES = " UNION ALL ".join(f"(SELECT id, 1 / (60 + row_number() OVER (ORDER BY s DESC, id))::DOUBLE sh FROM {t} WHERE s IS NOT NULL ORDER BY s DESC, id LIMIT 50)" for t in ("c", "bm"))
+
+
+@query(f"WITH {_COS}, {_BM25}, f AS ({_SHARES}) SELECT id, round(sum(sh), 6) AS score FROM f GROUP BY id ORDER BY sum(sh) DESC, id LIMIT 20")
 def hybrid_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.fused(retrieval.cosine(v, _first_vector(spark, d), 50), retrieval.bm25(docs, ["license", "version", "work"], 50), k=20)
+    return retrieval.fused(retrieval.cosine(v, _first_vector(spark, d), 50), retrieval.bm25(docs, ["license", "version", "work"], 50), k=20).select("id", _r("score"))
 
 
 _FLAGS = "(SELECT quality = 1 p, toxic = 1 a FROM labels)"
@@ -347,20 +353,39 @@ def morph_close(spark, d):
     return raster.closed(pixels(spark, d).where("on"), HEIGHT, WIDTH)
 
 
-@query()
+def _labelled_sql(name: str, rows: str) -> str:
+    """CTEs that end in ``name(scene_id, y, x, component)``: the smallest pixel number that spreads over four neighbours."""
+    steps = "(VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx)"
+    return f"""{name}_n AS (SELECT scene_id, y, x, scene_id * 1099511627776 + y * {WIDTH} + x AS id FROM {rows}),
+{name}_e AS (SELECT a.id u, b.id v FROM (SELECT *, y + dy ny, x + dx nx FROM {name}_n, {steps}) a JOIN {name}_n b ON b.scene_id = a.scene_id AND b.y = ny AND b.x = nx),
+{name}_c(id, c) USING KEY (id) AS (SELECT id, id FROM {name}_n UNION SELECT v, min(f.c) FROM {name}_c f JOIN {name}_e ON u = f.id JOIN recurring.{name}_c r ON r.id = v WHERE f.c < r.c GROUP BY v),
+{name} AS (SELECT scene_id, y, x, c AS component FROM {name}_n JOIN {name}_c USING (id))"""
+
+
+_ON = f'{PIXEL_SQL}, set_px AS (SELECT * FROM px WHERE "on"), {_labelled_sql("lab", "set_px")}'
+
+
+@query(f"WITH RECURSIVE {_ON} SELECT scene_id, component, count(*) AS size FROM lab GROUP BY ALL")
 def component_sizes(spark, d):
     return raster.component_sizes(pixels(spark, d).where("on"), WIDTH)
 
 
-@query()
+_CLEANED = f"""{_ON}, big AS (SELECT * FROM lab WHERE component IN (SELECT component FROM lab GROUP BY component HAVING count(*) >= 50)), unset AS (SELECT scene_id, y, x FROM px ANTI JOIN big USING (scene_id, y, x)), {_labelled_sql("hole", "unset")},
+whole AS (SELECT scene_id, y, x FROM big UNION ALL SELECT scene_id, y, x FROM hole WHERE component IN (SELECT component FROM hole GROUP BY component HAVING count(*) < 100)),
+grown AS (SELECT DISTINCT scene_id, y + dy y, x + dx x FROM whole, {_NINE} WHERE y + dy BETWEEN 0 AND {HEIGHT - 1} AND x + dx BETWEEN 0 AND {WIDTH - 1})"""
+
+
+@query(f"WITH RECURSIVE {_CLEANED} SELECT scene_id, y + dy AS y, x + dx AS x FROM grown, {_NINE} WHERE y + dy BETWEEN 0 AND {HEIGHT - 1} AND x + dx BETWEEN 0 AND {WIDTH - 1} GROUP BY ALL HAVING count(*) = 9")
 def mask_postprocess(spark, d):
     return raster.postprocessed(pixels(spark, d), HEIGHT, WIDTH)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ON}, sides AS (SELECT u, count(*) n FROM lab_e GROUP BY u), r AS (SELECT lab.*, v, 4 - coalesce(n, 0) side, 1e2 * (lab.x + 5e-1) cx, -1e2 * (lab.y + 5e-1) cy FROM lab JOIN lab_n USING (scene_id, y, x) LEFT JOIN sides ON u = id JOIN px USING (scene_id, y, x))
+SELECT scene_id, component, count(*) AS pixels, {', '.join(f'round({e}, 6) AS {n}' for e, n in (('count(*) / 1e2', 'area_km2'), ('sum(side) / 1e1', 'perimeter_km'), ('avg(cx)', 'cx'), ('avg(cy)', 'cy'), ('min(cx)', 'min_x'), ('max(cx)', 'max_x'), ('min(cy)', 'min_y'), ('max(cy)', 'max_y'), ('avg(v)', 'confidence')))} FROM r GROUP BY scene_id, component""")
 def mask_polygons(spark, d):
     px = pixels(spark, d)
-    return raster.polygons(px.where("on"), WIDTH, (100.0, 0.0, 0.0, 0.0, -100.0, 0.0), px.select("scene_id", "y", "x", F.col("v").alias("p")))
+    out = raster.polygons(px.where("on"), WIDTH, (100.0, 0.0, 0.0, 0.0, -100.0, 0.0), px.select("scene_id", "y", "x", F.col("v").alias("p")))
+    return out.select("scene_id", "component", "pixels", *[_r(c) for c in out.columns[3:]])
 
 
 # ---- drift
