@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.functions import geodesy
 from tidewake.operators.components import components
 from tidewake.scratch import saved
 
@@ -109,6 +110,28 @@ def valid_scene(scene: Column, crs: str = "EPSG:4326") -> Column:
     return F.coalesce((scene["crs"] == crs) & ~identity & (F.abs(a["a"]) >= 1e-10) & (F.abs(a["e"]) >= 1e-10), F.lit(False))
 
 
+def reprojected(pixels: DataFrame, affine: tuple[float, float, float, float, float, float], zone: int, degrees: tuple[float, float, float, float, float, float], height: int, width: int) -> DataFrame:
+    """Pixels ``(scene_id, y, x, v)`` of a UTM grid on a grid of degrees, ``height`` x ``width``, by bilinear weights.
+
+    ``affine`` maps (x, y) to metres and ``degrees`` maps the new (x, y) to (lon, lat).  Each new pixel looks up the four old ones
+    around its centre by an equi-join; where some are missing the weights of the others count, and without any it is left out.
+    """
+    a, b, c, d, e, f = affine
+    lon0, lat0 = degrees[2], degrees[5]
+    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    grid = pixels.select("scene_id").distinct().withColumn("ty", axis(height)).withColumn("tx", axis(width))
+    u, v = F.col("tx") + 0.5, F.col("ty") + 0.5
+    at = grid.withColumns({"lon": degrees[0] * u + degrees[1] * v + lon0, "lat": degrees[3] * u + degrees[4] * v + lat0})
+    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"), F.lit(zone))
+    det, de, dn = a * e - b * d, F.col("east") - c, F.col("north") - f
+    at = at.withColumns({"east": east, "north": north}).select("scene_id", "ty", "tx", ((e * de - b * dn) / det - 0.5).alias("px"), ((a * dn - d * de) / det - 0.5).alias("py"))
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    near = at.withColumn("k", corners).select("scene_id", "ty", "tx", "px", "py", (F.floor("px") + F.col("k.i")).alias("x"), (F.floor("py") + F.col("k.j")).alias("y"))
+    weight = (1 - F.abs(F.col("px") - F.col("x"))) * (1 - F.abs(F.col("py") - F.col("y")))
+    met = near.join(pixels.select(*KEYS, "v"), list(KEYS)).withColumn("w", weight)
+    return met.groupBy("scene_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
 def segmented(pixels: DataFrame, height: int, width: int, affine: tuple[float, float, float, float, float, float], scorer: Callable[[Column], Column], tile: int = 512, overlap: int = 32, low: float = -25.0, high: float = 5.0, vector: Column | None = None, min_area_km2: float = 0.001, min_area: int = 50, max_hole: int = 100) -> DataFrame:
     """Measured slicks of scenes ``(scene_id, y, x, v)``: calibrated, in dB, normalised, tiled, scored, stitched, cleaned, measured.
 

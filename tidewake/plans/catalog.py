@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.functions import geo
+from tidewake.functions import geo, geodesy
 from tidewake.operators import anomalies, drift, drift_steps, evaluation, raster, retrieval, scoring, tracks
 from tidewake.plans import adapters, investigation
 from tidewake.plans.adapters import AIS_SQL, ERROR_SQL, HEIGHT, PIXEL_SQL, SCENARIO_SQL, WIDTH, ais, pixels, table
@@ -211,6 +211,51 @@ def polygon_measures(spark, d):
     return ring.select("c_custkey", F.round(geo.ring_area_km2(F.col("ring")), 6).alias("area_km2"), F.round(c["lat"], 6).alias("lat"), F.round(c["lon"], 6).alias("lon"), geo.point_in_ring(F.lit(15.1003), F.lit(73.1003), F.col("ring")).alias("has_point"))
 
 
+def _lambert(a: str, b: str, c: str, d: str) -> str:
+    """Columns ``arc`` and ``h``, and the length ``km``, between (lat, lon) pairs."""
+    f = geodesy.FLATTENING
+    return f"""atan({1 - f!r}::DOUBLE * tan(radians({a}))) r1, atan({1 - f!r}::DOUBLE * tan(radians({c}))) r2, pow(sin((r2 - r1) / 2), 2) + cos(r1) * cos(r2) * pow(sin(radians({d} - {b}) / 2), 2) h, 2 * asin(sqrt(h)) arc,
+CASE WHEN h > 0 THEN 6378.137::DOUBLE * (arc - {f / 2!r}::DOUBLE * ((arc - sin(arc)) * pow(sin((r1 + r2) / 2) * cos((r2 - r1) / 2), 2) / (1 - h) + (arc + sin(arc)) * pow(cos((r1 + r2) / 2) * sin((r2 - r1) / 2), 2) / h)) ELSE 0 END km"""
+
+
+@query(f"WITH {AIS_SQL}, {_POS}, k AS (SELECT ord, {_lambert('p_lat', 'p_lon', 'lat', 'lon')} FROM pos WHERE p_us IS NOT NULL) SELECT ord, round(km, 5) AS km FROM k")
+def geodesic_legs(spark, d):
+    p = tracks.with_neighbours(ais(spark, d), "us", "lat", "lon").where("prev_us is not null")
+    return p.select("ord", F.round(geodesy.geodesic_km(*map(F.col, ("prev_lat", "prev_lon", "lat", "lon"))), 5).alias("km"))
+
+
+_SIDES = "v AS (SELECT c_custkey, 15 + 1e-3 * (c_custkey % 400) y, 73 + 1e-3 * (c_custkey % 300) x FROM customer), l AS (SELECT c_custkey, y + sa * 2e-2 la, x + sb * 3e-2 lo, y + sc * 2e-2 lb, x + sd * 3e-2 lp FROM v, (VALUES (-1, -1, -1, 1), (-1, 1, 1, 1), (1, 1, 1, -1), (1, -1, -1, -1)) s(sa, sb, sc, sd))"
+
+
+def _authalic(lat: str) -> str:
+    e, e2 = geodesy.E, geodesy.E2
+    q = lambda s: f"({1 - e2!r}::DOUBLE * ({s} / (1 - {e2!r}::DOUBLE * {s} * {s}) - ln((1 - {e!r}::DOUBLE * {s}) / (1 + {e!r}::DOUBLE * {s})) / {2 * e!r}::DOUBLE))"
+    return f"asin({q(f'sin(radians({lat}))')} / {q('1')})"
+
+
+@query(f"WITH {_SIDES}, m AS (SELECT *, tan({_authalic('la')} / 2) s, tan({_authalic('lb')} / 2) t, {_lambert('la', 'lo', 'lb', 'lp')} FROM l) SELECT c_custkey, round(abs(sum(2 * atan2(tan(radians(lp - lo) / 2) * (s + t), 1 + s * t))) * {geodesy.AUTHALIC_KM**2!r}::DOUBLE, 5) AS area_km2, round(sum(km), 5) AS perimeter_km FROM m GROUP BY c_custkey")
+def polygon_geodesic(spark, d):
+    k = F.col("c_custkey")
+    ring = table(spark, d, "customer").select("c_custkey", geo.box_ring(15 + 0.001 * (k % 400), 73 + 0.001 * (k % 300), 0.02, 0.03).alias("ring"))
+    return ring.select("c_custkey", F.round(geodesy.ring_geodesic_km2(F.col("ring")), 5).alias("area_km2"), F.round(geodesy.ring_geodesic_km(F.col("ring")), 5).alias("perimeter_km"))
+
+
+def _utm_sql(zone: int) -> str:
+    """Columns ``east`` and ``north`` (metres) of ``lat`` and ``lon`` in the north."""
+    terms = lambda f, g: " + ".join(f"{c!r}::DOUBLE * {f}({2 * k} * gx) * {g}({2 * k} * gy)" for k, c in enumerate(geodesy.TO_GRID, 1))
+    e, scale = geodesy.E, geodesy.UTM_SCALE * geodesy.MERIDIAN_KM * 1000
+    return f"sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) t, radians(lon - {6 * zone - 183}) away, atan2(t, cos(away)) gx, atanh(sin(away) / sqrt(1 + t * t)) gy, 500000 + {scale!r}::DOUBLE * (gy + {terms('cos', 'sinh')}) east, {scale!r}::DOUBLE * (gx + {terms('sin', 'cosh')}) north"
+
+
+@query(f"WITH {AIS_SQL}, g AS (SELECT ord, lat, lon, {_utm_sql(43)} FROM ais) SELECT ord, round(east, 3) AS east, round(north, 3) AS north, round(lat, 6) AS lat, round(lon, 6) AS lon FROM g")
+def utm_round_trip(spark, d):
+    """Positions on the grid, and back: the twin has the positions themselves."""
+    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"), F.lit(43))
+    p = ais(spark, d).select("ord", east.alias("east"), north.alias("north"))
+    lat, lon = geodesy.from_utm(F.col("east"), F.col("north"), F.lit(43), F.lit(False))
+    return p.select("ord", _r("east", 3), _r("north", 3), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
 # ---- candidates
 
 _PARTS = f"""{AIS_SQL}, {SCENARIO_SQL}, m AS (SELECT scn.*, mmsi, min({_flat('lat', 'lon', 'olat', 'olon')}) d, min(abs(us - rus) / 3600000000.0::DOUBLE) h, min_by(lat, (us, ord)) a, min_by(lon, (us, ord)) b, max_by(lat, (us, ord)) c, max_by(lon, (us, ord)) e, max(coalesce(sog, 0)) - min(coalesce(sog, 0)) v FROM ais, scn GROUP BY ALL),
@@ -362,6 +407,14 @@ def _labelled_sql(name: str, rows: str) -> str:
 {name} AS (SELECT scene_id, y, x, c AS component FROM {name}_n JOIN {name}_c USING (id))"""
 
 
+@query(f"""WITH {PIXEL_SQL}, g AS (SELECT scene_id, ty, tx, 75 + 9e-4 * (tx + 5e-1) lon, 15012e-3 - 9e-4 * (ty + 5e-1) lat FROM (SELECT DISTINCT scene_id FROM px), (SELECT unnest(range(0, 66)) ty), (SELECT unnest(range(0, 98)) tx)),
+u AS (SELECT scene_id, ty, tx, {_utm_sql(43)}, (east - 500000) / 100 - 5e-1 cx, (1660000 - north) / 100 - 5e-1 cy FROM g), c AS (SELECT *, floor(cx) + i x4, floor(cy) + j y4 FROM u, (SELECT unnest([0, 1]) i), (SELECT unnest([0, 1]) j)),
+w AS (SELECT c.scene_id, ty, tx, v, (1 - abs(cx - x4)) * (1 - abs(cy - y4)) w FROM c JOIN px ON px.scene_id = c.scene_id AND x = x4 AND y = y4) SELECT scene_id, ty AS y, tx AS x, round(sum(w * v) / sum(w), 5) AS v FROM w GROUP BY ALL""")
+def raster_reproject(spark, d):
+    out = raster.reprojected(pixels(spark, d), (100.0, 0.0, 500000.0, 0.0, -100.0, 1660000.0), 43, (0.0009, 0.0, 75.0, 0.0, -0.0009, 15.012), 66, 98)
+    return out.select("scene_id", "y", "x", _r("v", 5))
+
+
 _ON = f'{PIXEL_SQL}, set_px AS (SELECT * FROM px WHERE "on"), {_labelled_sql("lab", "set_px")}'
 
 
