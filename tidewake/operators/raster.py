@@ -83,19 +83,29 @@ def postprocessed(pixels: DataFrame, height: int, width: int, min_area: int = 50
     return closed(on.unionByName(of_size(off, F.col("n") < max_hole)), height, width)
 
 
-def polygons(mask: DataFrame, width: int, affine: tuple[float, float, float, float, float, float], probability: DataFrame | None = None) -> DataFrame:
-    """Measured components: pixels, projected area and perimeter (km), centroid and box, mean probability (0.5 without).
+def polygons(mask: DataFrame, width: int, affine: tuple[float, float, float, float, float, float], probability: DataFrame | None = None, degrees: bool = False) -> DataFrame:
+    """Measured components: pixels, area and perimeter (km), centroid and box, mean probability (0.5 without).
 
-    ``affine`` maps (x, y) to metres: (a x + b y + c, d x + e y + f).  The perimeter counts pixel sides on the outline.
+    ``affine`` maps (x, y) to metres: (a x + b y + c, d x + e y + f).  With ``degrees`` it maps them to (lon, lat), north up, and
+    areas and lengths are those on the ellipsoid.  The perimeter adds pixel sides on the outline.
     """
     a, b, c, d, e, f = affine
     lab = labelled(mask, width)
-    near = lambda dy, dx: lab.select("scene_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(1).alias("hit"))
-    touching = near(0, 1).unionByName(near(0, -1)).unionByName(near(1, 0)).unionByName(near(-1, 0)).groupBy(*KEYS).agg(F.sum("hit").alias("hit"))
-    rows = lab.join(touching, list(KEYS), "left").withColumns({"sides": 4 - F.coalesce("hit", F.lit(0)), "px": a * (F.col("x") + 0.5) + b * (F.col("y") + 0.5) + c, "py": d * (F.col("x") + 0.5) + e * (F.col("y") + 0.5) + f})
+    sides = ("side", "top", "bottom")
+    near = lambda dy, dx, hit: lab.select("scene_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), *[F.lit(int(s == hit)).alias(s) for s in sides])
+    touching = near(0, 1, "side").unionByName(near(0, -1, "side")).unionByName(near(1, 0, "top")).unionByName(near(-1, 0, "bottom")).groupBy(*KEYS).agg(*[F.sum(s).alias(s) for s in sides])
+    rows = lab.join(touching, list(KEYS), "left").withColumns({s: F.lit(2 if s == "side" else 1) - F.coalesce(s, F.lit(0)) for s in sides})
+    rows = rows.withColumns({"px": a * (F.col("x") + 0.5) + b * (F.col("y") + 0.5) + c, "py": d * (F.col("x") + 0.5) + e * (F.col("y") + 0.5) + f})
     rows = rows.join(probability.select(*KEYS, "p"), list(KEYS), "left") if probability is not None else rows.withColumn("p", F.lit(None).cast("double"))
-    side = math.sqrt(abs(a * e - b * d))
-    return rows.groupBy("scene_id", "component").agg(F.count("*").alias("pixels"), (F.count("*") * (side * side / 1e6)).alias("area_km2"), (F.sum("sides") * (side / 1e3)).alias("perimeter_km"), F.avg("px").alias("cx"), F.avg("py").alias("cy"), F.min("px").alias("min_x"), F.max("px").alias("max_x"), F.min("py").alias("min_y"), F.max("py").alias("max_y"), F.coalesce(F.avg("p"), F.lit(0.5)).alias("confidence"))
+    if degrees:
+        zero, high, low = F.lit(0.0), F.col("py") + abs(e) / 2, F.col("py") - abs(e) / 2
+        area = geodesy.AUTHALIC_KM**2 * math.radians(abs(a)) * (F.sin(geodesy.authalic(high)) - F.sin(geodesy.authalic(low)))
+        along = lambda lat: geodesy.geodesic_km(lat, zero, lat, F.lit(abs(a)))
+        outline = F.col("side") * geodesy.geodesic_km(low, zero, high, zero) + F.col("top") * along(high if e < 0 else low) + F.col("bottom") * along(low if e < 0 else high)
+    else:
+        side = math.sqrt(abs(a * e - b * d))
+        area, outline = F.lit(side * side / 1e6), (F.col("side") + F.col("top") + F.col("bottom")) * (side / 1e3)
+    return rows.groupBy("scene_id", "component").agg(F.count("*").alias("pixels"), F.sum(area).alias("area_km2"), F.sum(outline).alias("perimeter_km"), F.avg("px").alias("cx"), F.avg("py").alias("cy"), F.min("px").alias("min_x"), F.max("px").alias("max_x"), F.min("py").alias("min_y"), F.max("py").alias("max_y"), F.coalesce(F.avg("p"), F.lit(0.5)).alias("confidence"))
 
 
 def masked_mean(value: Column, mask: Column) -> Column:
@@ -132,7 +142,7 @@ def reprojected(pixels: DataFrame, affine: tuple[float, float, float, float, flo
     return met.groupBy("scene_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
-def segmented(pixels: DataFrame, height: int, width: int, affine: tuple[float, float, float, float, float, float], scorer: Callable[[Column], Column], tile: int = 512, overlap: int = 32, low: float = -25.0, high: float = 5.0, vector: Column | None = None, min_area_km2: float = 0.001, min_area: int = 50, max_hole: int = 100) -> DataFrame:
+def segmented(pixels: DataFrame, height: int, width: int, affine: tuple[float, float, float, float, float, float], scorer: Callable[[Column], Column], tile: int = 512, overlap: int = 32, low: float = -25.0, high: float = 5.0, vector: Column | None = None, min_area_km2: float = 0.001, min_area: int = 50, max_hole: int = 100, degrees: bool = False) -> DataFrame:
     """Measured slicks of scenes ``(scene_id, y, x, v)``: calibrated, in dB, normalised, tiled, scored, stitched, cleaned, measured.
 
     ``scorer`` makes a probability of a tile's normalised value; a pixel is set above one half.
@@ -141,7 +151,7 @@ def segmented(pixels: DataFrame, height: int, width: int, affine: tuple[float, f
     scored = tiles(pixels.select(*KEYS, level.alias("level")), height, width, tile, overlap).withColumn("p", scorer(F.col("level")))
     whole = saved(stitched(scored, "p"), "stitched")
     mask = saved(postprocessed(whole.withColumn("on", F.col("p") > 0.5), height, width, min_area, max_hole), "mask")
-    return polygons(mask, width, affine, whole).where(F.col("area_km2") >= min_area_km2)
+    return polygons(mask, width, affine, whole, degrees).where(F.col("area_km2") >= min_area_km2)
 
 
 def segmentation_summary(slicks: DataFrame) -> DataFrame:

@@ -441,6 +441,22 @@ def mask_polygons(spark, d):
     return out.select("scene_id", "component", "pixels", *[_r(c) for c in out.columns[3:]])
 
 
+def _degrees_sql() -> str:
+    """Per row of pixels, and per pixel, the area and the sides' lengths on the ellipsoid."""
+    sides = {"top": ("hi", "0", "hi", "1e-3"), "bottom": ("lo", "0", "lo", "1e-3"), "side": ("lo", "0", "hi", "0")}
+    rows = ", ".join(f"k_{n} AS (SELECT y, {_lambert(*at)} FROM rws)" for n, at in sides.items())
+    open_ = lambda dy, dx: f"CASE WHEN EXISTS (SELECT 1 FROM lab n WHERE n.scene_id = lab.scene_id AND n.y = lab.y + {dy} AND n.x = lab.x + {dx}) THEN 0 ELSE 1 END"
+    return f"""rws AS (SELECT y, 152e-1 - 1e-3 * y hi, 152e-1 - 1e-3 * (y + 1) lo FROM (SELECT DISTINCT y FROM px)), {rows},
+m AS (SELECT lab.*, {geodesy.AUTHALIC_KM**2!r}::DOUBLE * radians(1e-3) * (sin({_authalic("hi")}) - sin({_authalic("lo")})) area, ({open_(0, 1)} + {open_(0, -1)}) * k_side.km + {open_(-1, 0)} * k_top.km + {open_(1, 0)} * k_bottom.km line
+FROM lab JOIN rws USING (y) JOIN k_side USING (y) JOIN k_top USING (y) JOIN k_bottom USING (y))"""
+
+
+@query(f"WITH RECURSIVE {_ON}, {_degrees_sql()} SELECT scene_id, component, round(sum(area), 5) AS area_km2, round(sum(line), 5) AS perimeter_km FROM m GROUP BY scene_id, component")
+def mask_polygons_geodesic(spark, d):
+    out = raster.polygons(pixels(spark, d).where("on"), WIDTH, (0.001, 0.0, 73.0, 0.0, -0.001, 15.2), degrees=True)
+    return out.select("scene_id", "component", _r("area_km2", 5), _r("perimeter_km", 5))
+
+
 # ---- drift
 
 
