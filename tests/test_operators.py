@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import drift, drift_steps, raster, scoring, tracks
+from tidewake.operators import anomalies, drift, drift_steps, raster, scoring, tracks
 from tidewake.streaming import tracks as streams
 
 US = 1_000_000
@@ -126,3 +126,18 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
     assert [tuple(r) for r in spark.sql("select n, max_sog from out0 order by start").collect()] == [(3, 6.0), (2, 6.0)]
     assert [r.n for r in spark.sql("select n from out1 order by first").collect()] == [3, 2]
+
+
+def test_loitering_gathers_no_track_and_carries_its_state_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        # 100 positions at one place, one far off, 30 at that one, and a vessel that only passes
+        rows = [("a", k, k * 60 * US, 15.0 if k < 100 else 16.0, 73.0) for k in range(131)] + [("b", k, k * 60 * US, 15.0 + k, 73.0) for k in range(90)]
+        rows += [("c", 0, 0, None, 73.0), ("c", 1, 60 * US, 15.0, 73.0), *(("c", k, k * 60 * US, 15.0, 73.0) for k in range(2, 70))]
+        points = spark.createDataFrame(rows, "mmsi string, ord long, us long, lat double, lon double")
+        got = anomalies.loitering(points)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect())) == [("a", 1, 99), ("c", 2, 69)]
+        assert anomalies.loitering(points.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

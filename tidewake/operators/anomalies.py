@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewake.functions import geo
 from tidewake.operators.tracks import MINUTE, by_time, with_neighbours
@@ -50,16 +54,52 @@ def loitering(points: DataFrame, km: float = 5, minutes: float = 60) -> DataFram
     """``(mmsi, pos0, pos1)`` of stays within ``km`` of a centre that last ``minutes`` or more.
 
     The centre is the first position, and from then on the one that left the circle; it is not part of a stay.  The
-    state depends on what came before, so a track is folded as an array.
+    state depends on what came before, so sorted tracks stream past a state of one centre and one stay; a track of any
+    length takes no more memory, only its task's time.
     """
-    item = F.struct("us", "ord", "lat", "lon")
-    tracks = points.groupBy("mmsi").agg(F.sort_array(F.collect_list(item)).alias("p"))
-    run = "array<struct<pos0:bigint,pos1:bigint>>"
-    hav = "2 * 6371D * asin(sqrt(least(1D, pow(sin(radians(x.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(x.lat)) * pow(sin(radians(x.lon - s.lon) / 2), 2))))"
-    done = f"s.p0 IS NOT NULL AND s.us - s.us0 >= {int(minutes * MINUTE)}"
-    fold = f"""aggregate(slice(p, 2, size(p)), named_struct('lat', p[0].lat, 'lon', p[0].lon, 'pos', 0L, 'us', p[0].us, 'p0', cast(null as bigint), 'us0', cast(null as bigint), 'out', cast(array() as {run})), (s, x) ->
-        CASE WHEN {hav} <= {float(km)}D
-        THEN named_struct('lat', s.lat, 'lon', s.lon, 'pos', s.pos + 1, 'us', x.us, 'p0', coalesce(s.p0, s.pos + 1), 'us0', coalesce(s.us0, x.us), 'out', s.out)
-        ELSE named_struct('lat', x.lat, 'lon', x.lon, 'pos', s.pos + 1, 'us', x.us, 'p0', cast(null as bigint), 'us0', cast(null as bigint), 'out', CASE WHEN {done} THEN array_append(s.out, named_struct('pos0', s.p0, 'pos1', s.pos)) ELSE s.out END) END,
-        s -> CASE WHEN {done} THEN array_append(s.out, named_struct('pos0', s.p0, 'pos1', s.pos)) ELSE s.out END)"""
-    return tracks.select("mmsi", F.expr(fold).alias("runs")).select("mmsi", F.inline("runs"))
+    span, kind = int(minutes * MINUTE), points.schema["mmsi"].dataType
+
+    def walk(batches):
+        first, vessel = True, None
+        lat = lon = us = p0 = us0 = None
+        pos = 0
+
+        def done():
+            return p0 is not None and us is not None and us0 is not None and us - us0 >= span
+
+        for batch in batches:
+            out = []
+            for m, t, y, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if first or m != vessel:
+                    if done():
+                        out.append((vessel, p0, pos))
+                    first, vessel, pos, lat, lon, us, p0, us0 = False, m, 0, y, x, t, None, None
+                    continue
+                if _near(lat, lon, y, x, km):
+                    p0, us0 = pos + 1 if p0 is None else p0, t if us0 is None else us0
+                else:
+                    if done():
+                        out.append((vessel, p0, pos))
+                    lat, lon, p0, us0 = y, x, None, None
+                pos, us = pos + 1, t
+            if out:
+                yield _stays(out, batch.schema.field(0).type)
+            last = batch.schema.field(0).type
+        if done():
+            yield _stays([(vessel, p0, pos)], last)
+
+    sorted_tracks = points.select("mmsi", "us", "lat", "lon", "ord").repartition("mmsi").sortWithinPartitions("mmsi", "us", "ord", "lat", "lon")
+    return sorted_tracks.select("mmsi", "us", "lat", "lon").mapInArrow(walk, T.StructType([T.StructField("mmsi", kind), T.StructField("pos0", T.LongType()), T.StructField("pos1", T.LongType())]))
+
+
+def _near(a: float | None, b: float | None, c: float | None, d: float | None, km: float) -> bool:
+    """Whether the great-circle distance of (a, b) and (c, d) is ``km`` at most; unknown positions are near nothing."""
+    if a is None or b is None or c is None or d is None:
+        return False
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(h if h <= 1 else 1.0)) <= km
+
+
+def _stays(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    mmsi, pos0, pos1 = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(mmsi, kind), pa.array(pos0, pa.int64()), pa.array(pos1, pa.int64())], ["mmsi", "pos0", "pos1"])
