@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.operators import anomalies, drift, drift_steps, raster, scoring, tracks
+from tidewake.plans import catalog
 from tidewake.streaming import tracks as streams
 
 US = 1_000_000
@@ -141,3 +142,11 @@ def test_loitering_gathers_no_track_and_carries_its_state_over_batches(spark):
         assert anomalies.loitering(points.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_registered_ensembles_and_regions_have_the_surveyed_size(spark, monkeypatch):
+    assert {r.n for r in catalog.QUERIES["drift_ensemble"](spark, "/root/testdata/sf0.001").select("n").distinct().collect()} == {250 * 10}
+    cells, grid = [], drift.kde_grid
+    monkeypatch.setattr(drift, "kde_grid", lambda p, by, n, *a: cells.append(n) or grid(p, by, n, *a))
+    catalog.QUERIES["drift_region"](spark, "/root/testdata/sf0.001")
+    assert cells == [50]

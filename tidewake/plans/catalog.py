@@ -522,7 +522,7 @@ def drift_hull(spark, d):
 @query()
 def drift_region(spark, d):
     p = ais(spark, d).select((F.col("mmsi").cast("long") % 5).alias("g"), "lat", "lon")
-    return drift.density_region(drift.kde_grid(p, "g", 20), "g")
+    return drift.density_region(drift.kde_grid(p, "g", 50), "g")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
@@ -560,8 +560,8 @@ def drift_ensemble(spark, d):
     """Backward ensembles from a box around each vessel's last report."""
     s = tracks.summaries(ais(spark, d))
     regions = s.select("mmsi", F.array(geo.box_ring(F.col("last_lat"), F.col("last_lon"), 0.02, 0.02)).alias("rings"), F.col("t1").alias("us"))
-    request = drift.Request((), 3, 30, 50, drift_steps.eddy(15.2, 73.2), drift_steps.diurnal(5.0, 2.0), seed=7)
-    return drift.statistics(drift.drifted(regions, "mmsi", request, 5), "mmsi")
+    request = drift.Request((), 3, 30, 250, drift_steps.eddy(15.2, 73.2), drift_steps.diurnal(5.0, 2.0), seed=7)
+    return drift.statistics(drift.drifted(regions, "mmsi", request, 10), "mmsi")
 
 
 _DIAMOND = [(73.05003, 15.20007), (73.20003, 15.10007), (73.35003, 15.20007), (73.20003, 15.30007), (73.05003, 15.20007)]
