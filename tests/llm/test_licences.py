@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from tidewake.llm import licences
 
 BASE = {("gnu", "general", "public", "license"): "gpl", ("apache", "license"): "apache", ("cc", "by"): "cc-by", ("mit", "license"): "mit"}
@@ -41,3 +44,47 @@ def test_expressions():
     assert licences.evaluate(["MIT", "GPL-3.0", "and"])[1] is False
     row = licences.scan("x\n// SPDX-License-Identifier: (MIT OR GPL-2.0)\ny")
     assert row[5] == "gpl-2.0,mit" and row[8] is True and row[6] > 0.9
+
+
+def test_with_stands_between_two_names():
+    assert licences.evaluate(licences.to_postfix("GPL-2.0 WITH Classpath-exception-2.0 OR MIT")) == ({"gpl-2.0-with-classpath-exception-2.0", "mit"}, True)
+    for line, names in (("(MIT OR Apache-2.0) WITH X", {"mit", "apache-2.0", "x"}), ("MIT WITH (A OR B)", {"mit", "a", "b"}), ("MIT WITH A WITH B", {"mit-with-a", "b"})):
+        assert licences.evaluate(licences.to_postfix(line)) == (names, None)
+        row = licences.scan("License-Expression: " + line)
+        assert row[5] == ",".join(sorted(names)) and row[7] == "" and row[8] is None and row[6] == 0.5
+    assert licences.to_postfix("MIT/Apache-2.0") == ["MIT", "Apache-2.0", "or"]
+
+
+def brute_tags(text):
+    """(label set, expressions) of tags found by a plain search of the raw text, for expressions of AND and OR without brackets."""
+    names, count = set(), 0
+    for m in re.finditer(r"(?i)(?<![a-z0-9\x80-\uffff])(?:spdx[^a-z0-9\x80-\uffff]+license[^a-z0-9\x80-\uffff]+identifier|license[^a-z0-9\x80-\uffff]+expression)[ \t]*:([^\r\n]*)", text):
+        parts = re.split(r" (?:AND|OR) ", m[1].strip())
+        names |= {p.lower() for p in parts}
+        count += 1
+    return names, count
+
+
+def test_tags_labels_and_score_equal_brute_force():
+    rng = random.Random(5)
+    names = ["MIT", "Apache-2.0", "GPL-3.0-only", "ISC", "0BSD"]
+    phrases = {"public domain": "public-domain", "CC-BY": "cc-by", "bsd license": "bsd", "all rights reserved": "proprietary", "MIT License": "mit"}
+    for _ in range(300):
+        lines, want, found = [], set(), 0
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.random()
+            if kind < 0.4:
+                lines.append(rng.choice(["// ", "é ", "", "# 漢字 "]) + rng.choice(["SPDX-License-Identifier", "spdx license identifier", "License-Expression"]) + rng.choice([": ", " :", ":"]) + f" {rng.choice(['AND', 'OR'])} ".join(rng.choice(names) for _ in range(rng.randint(1, 3))))
+            elif kind < 0.7:
+                p = rng.choice(list(phrases))
+                lines.append("x " + p + " y")
+                want.add(phrases[p])
+                found += 1
+            else:
+                lines.append("no tag here SPDX-License-Identifier MIT")
+        text = "\nz\n".join(lines)
+        tagged, n = brute_tags(text)
+        row = licences.scan(text)
+        assert row[5] == ",".join(sorted(want | tagged)), text
+        assert row[6] == pytest.approx(1 - 0.2**found * 0.05**n)
+        assert len(list(filter(None, row[7].split(";")))) == n

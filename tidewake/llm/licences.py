@@ -6,6 +6,7 @@ import functools
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,26 +38,30 @@ MORE_PHRASES = {
     "redistribution and use in source and binary forms": "bsd",
     "permission is hereby granted free of charge": "mit",
 }
-#: Words of the tags after which a licence expression stands in the raw text.
-TAGS = {"spdx license identifier": r"spdx-license-identifier\s*:", "license expression": r"license-expression\s*:"}
+#: Words of the tags after which, behind a colon, a licence expression stands in the raw text.
+TAGS = ("spdx license identifier", "license expression")
 # Identifiers, by lower-cased prefix, that a permissive-only policy accepts.
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc-by", "cc0", "zlib", "unlicense", "bsl", "python")
 RESTRICTED = ("cc-by-nc", "cc-by-nd", "cc-by-sa")
 
 #: Every byte outside a word becomes a space, A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_TOKEN = re.compile(r"\s*(\(|\)|/|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_BEHIND_TAG = re.compile(rb"[ \t]*:([^\r\n]*)")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
 def to_postfix(line: str) -> list[str] | None:
-    """The longest well-formed expression at the head of ``line`` in postfix order (shunting-yard); None if there is none."""
+    """The longest well-formed expression at the head of ``line`` in postfix order (shunting-yard); None if there is none.
+
+    A slash between two licences means OR, as older package manifests have it.
+    """
     out: list[str] = []
     stack: list[str] = []
     best, at, operand_next = None, 0, True
     while m := _TOKEN.match(line, at):
         token = m[1]
-        op = token.lower()
+        op = "or" if token == "/" else token.lower()
         if operand_next:
             if op in _PRECEDENCE or token == ")":
                 break
@@ -84,24 +89,27 @@ def to_postfix(line: str) -> list[str] | None:
     return best
 
 
-def evaluate(postfix: list[str], allowed=lambda name: name.startswith(PERMISSIVE) and not name.startswith(RESTRICTED)) -> tuple[set[str], bool]:
+def evaluate(postfix: list[str], allowed=lambda name: name.startswith(PERMISSIVE) and not name.startswith(RESTRICTED)) -> tuple[set[str], bool | None]:
     """The licences that an expression names (a WITH pair is one name), and whether the policy can be met.
 
-    OR needs one side, AND both; an exception after WITH only adds permissions, so its licence decides.
+    OR needs one side, AND both; an exception after WITH only adds permissions, so its licence decides.  WITH stands between
+    two names: with a compound on either side the expression says nothing, its names are kept and the policy is None.
     """
     stack: list[tuple[str, set[str], bool]] = []
+    sound = True
     for token in postfix:
         if token in _PRECEDENCE:
             right, left = stack.pop(), stack.pop()
-            if token == "with":
+            if token == "with" and left[0] and right[0] and "-with-" not in left[0]:
                 name = f"{left[0]}-with-{right[0]}"
                 stack.append((name, {name}, left[2]))
             else:
+                sound &= token != "with"
                 stack.append(("", left[1] | right[1], left[2] and right[2] if token == "and" else left[2] or right[2]))
         else:
             name = token.lower()
             stack.append((name, {name}, allowed(name)))
-    return stack[0][1], stack[0][2]
+    return stack[0][1], stack[0][2] if sound else None
 
 
 @functools.cache
@@ -114,10 +122,15 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def scan(text: str | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive of one whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive of one whole text.
+
+    The automaton finds phrases and tags by their words; a tag's place gives the line of the raw text that is parsed.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    folded = raw.translate(_FOLD)
+    words = folded.split()
     line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    places, base, labels, tags, phrases = [], set(), set(), set(), 0
+    places, base, labels, tags, phrases = [], set(), set(), [], 0
     for end, phrase in _automaton().iter(line):
         if phrase in BASE_PHRASES:
             places.append(end - len(phrase) - 1)
@@ -127,18 +140,23 @@ def scan(text: str | None) -> tuple:
             labels.add(MORE_PHRASES[phrase])
             phrases += 1
         else:
-            tags.add(phrase)
+            tags.append(end)
     starts = [line.count(" ", 0, p + 1) - 1 for p in ((min(places), max(places)) if places else ())]
     expressions, broken, verdicts = [], 0, []
-    for tag in sorted(tags):
-        for m in re.finditer(TAGS[tag] + r"([^\r\n]*)", text, re.I):
-            if postfix := to_postfix(m[1]):
-                names, fits = evaluate(postfix)
+    if tags:
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        letters = np.append(np.frombuffer(folded, np.uint8) != 32, False)
+        ends = np.flatnonzero(letters[:-1] & ~letters[1:]) + 1
+        for last in (np.searchsorted(spaces, tags) - 1).tolist():  # number of the tag's last word
+            if m := _BEHIND_TAG.match(raw, int(ends[last])):
+                postfix = to_postfix(m[1].decode("utf-8", "replace"))
+                names, fits = evaluate(postfix) if postfix else (set(), None)
                 labels |= names
-                expressions.append(" ".join(postfix))
-                verdicts.append(fits)
-            else:
-                broken += 1
+                if fits is None:
+                    broken += 1
+                else:
+                    expressions.append(" ".join(postfix))
+                    verdicts.append(fits)
     score = 1 - 0.2**phrases * 0.05 ** len(expressions) * 0.5**broken
     return (len(words), len(places), *(starts or (None, None)), ",".join(sorted(base)), ",".join(sorted(labels | base)), score, ";".join(expressions), all(verdicts) if verdicts else None)
 
