@@ -12,6 +12,8 @@ from tidewake.scratch import saved
 WEIGHTS = (5, 2, 1)
 #: Documents that one task folds at a time, and residuals that meet in a node of the reduction tree.
 FAN_BITS = 6
+#: Documents with this part of their source's words or more are rounded first, against all the rest; so many at most.
+HEAD = 512
 #: Tasks over which one source's documents are dealt when they meet the source table.
 SALTS = 64
 
@@ -41,34 +43,21 @@ def targets(sized: DataFrame, total_share: float = 1.5, cap: float = 2.0, weight
     return settled.select("source", "s", "n", "source_size", F.least(cap * F.col("source_size"), F.coalesce("level", F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-# One step of the pivotal method.  c is carried, x comes next; mass is probability times words.  With a1 the most that c can
-# rise and a2 the most that it can fall, c rises with probability a2 / (a1 + a2): the expectation stays, the mass stays, and
-# one of the two becomes integral.
-_UP = "least(1 - s.c.p, x.p * x.mass / s.c.mass)"
-_DOWN = "least(s.c.p, (1 - x.p) * x.mass / s.c.mass)"
-_RISES = f"x.u * ({_UP} + {_DOWN}) < {_DOWN}"
-
-
-#: What travels with a document through the tree, but for its probability.
-_FIELDS = {"u": "double", "doc_id": "bigint", "source": "string", "size": "bigint", "m": "bigint", "source_size": "bigint", "target": "double", "mass": "double"}
-
-
-def _with_p(item: str, p: str) -> str:
-    return f"named_struct({', '.join(f"'{c}', {item}.{c}" for c in _FIELDS)}, 'p', cast({p} as double))"
-
-
-def _step(carry: str, done: str) -> str:
-    return f"named_struct('c', {carry}, 'done', array_append(s.done, {done}))"
-
-
+#: What travels with a document, but for its probability; ``lead`` (minus the mass) puts large documents first in a fold.
+_FIELDS = {"lead": "double", "u": "double", "doc_id": "bigint", "source": "string", "size": "bigint", "m": "bigint", "source_size": "bigint", "target": "double", "mass": "double"}
 _ITEM = f"struct<{','.join(f'{c}:{t}' for c, t in _FIELDS.items())},p:double>"
-_FOLD = f"""aggregate(items, named_struct('c', cast(null as {_ITEM}), 'done', cast(array() as array<{_ITEM}>)), (s, x) -> CASE
-    WHEN s.c IS NULL THEN named_struct('c', x, 'done', s.done)
-    WHEN {_RISES} THEN CASE
-        WHEN (1 - s.c.p) * s.c.mass <= x.p * x.mass THEN {_step(_with_p('x', 'greatest(0, x.p - (1 - s.c.p) * s.c.mass / x.mass)'), _with_p('s.c', '1'))}
-        ELSE {_step(_with_p('s.c', 'least(1, s.c.p + x.p * x.mass / s.c.mass)'), _with_p('x', '0'))} END
-    WHEN s.c.p * s.c.mass <= (1 - x.p) * x.mass THEN {_step(_with_p('x', 'least(1, x.p + s.c.p * s.c.mass / x.mass)'), _with_p('s.c', '0'))}
-    ELSE {_step(_with_p('s.c', 'greatest(0, s.c.p - (1 - x.p) * x.mass / s.c.mass)'), _with_p('x', '1'))} END)"""
+
+# One fold of the pivotal method.  Each document is paired with the pool of those behind it, whose probabilities move together:
+# p becomes a * p + b, s0 is the pool's mass (words) and s1 what of it is expected to be taken.  The document can rise by ``up``
+# at most and fall by ``down``; it rises with probability down / (up + down), so its expectation stays, and the pool gives or
+# takes the same mass, in proportion to what each has.  Then the document or all of the pool is integral.
+_LOOK = "transform(array(least(1D, greatest(0D, s.a * x.p + s.b))), p -> named_struct('p', p, 'r0', greatest(0D, s.s0 - x.mass), 'r1', greatest(0D, s.s1 - p * x.mass)))[0]"
+_ROOM = f"transform(array({_LOOK}), v -> named_struct('p', v.p, 'r1', v.r1, 'r0', v.r0, 'up', least(1 - v.p, v.r1 / x.mass), 'down', least(v.p, greatest(0D, v.r0 - v.r1) / x.mass)))[0]"
+_MOVE = f"transform(array({_ROOM}), v -> named_struct('p', v.p, 'r1', v.r1, 'r0', v.r0, 'by', CASE WHEN x.u * (v.up + v.down) < v.down THEN v.up ELSE -v.down END))[0]"
+_SHRINK = f"transform(array({_MOVE}), v -> named_struct('p', v.p + v.by, 'r1', v.r1 - v.by * x.mass, 'r0', v.r0, 'falls', v.by < 0, 'f', CASE WHEN v.by > 0 THEN greatest(0D, 1 - v.by * x.mass / v.r1) WHEN v.by < 0 THEN greatest(0D, 1 + v.by * x.mass / (v.r0 - v.r1)) ELSE 1D END))[0]"
+_DONE = f"named_struct({', '.join(f"'{c}', x.{c}" for c in _FIELDS)}, 'p', CASE WHEN v.p < 1e-9D THEN 0D WHEN v.p > 1 - 1e-9D THEN 1D ELSE v.p END)"
+_FOLD = f"""aggregate(items, named_struct('a', 1D, 'b', 0D, 's0', s0, 's1', s1, 'done', cast(array() as array<{_ITEM}>)), (s, x) -> transform(array({_SHRINK}),
+    v -> named_struct('a', v.f * s.a, 'b', v.f * s.b + CASE WHEN v.falls THEN 1 - v.f ELSE 0D END, 's0', v.r0, 's1', v.r1, 'done', array_append(s.done, {_DONE})))[0], s -> s.done)"""
 
 
 def _uniform(*salt) -> F.Column:
@@ -79,9 +68,12 @@ def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
     """``(doc_id, source, size, m, source_size, target, copies)``: how often the mix takes each document.
 
     A source's rate is target / size; each document gets its integer part, and the fraction is rounded by the pivotal
-    method so that the source's words are kept to within one document.  Documents are folded in hashed groups of about
-    64, each group leaves one fractional residual, residuals meet 64 at a time in the next level of the tree, and the last
-    one is rounded by its own probability.  All randomness is a hash of the row and ``seed``: reruns agree on any cluster.
+    method, large documents first, each paired with the pool of smaller ones.  A source's documents that hold 1 / HEAD of its
+    words or more, HEAD at most, are folded in one group, with all the rest as one partner.  The rest, at the
+    probability that this leaves, is folded in hashed groups of about 64, each group leaves at most one fractional residual,
+    and residuals meet 64 at a time in the next level of the tree.  The last one is rounded by its own probability, so a
+    source misses its target by less than one document that is among its smallest or below 1 / HEAD of it, unless a
+    document outweighs all that is smaller.  All randomness is a hash of the row and ``seed``: reruns agree on any cluster.
 
     NULL or wordless text has size 0 and is rounded alone.  ``m`` rows that repeat doc_id, source and size share one
     decision.  NULL source is a source of its own.  Empty table: no rows.
@@ -96,20 +88,28 @@ def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
     keep = ["doc_id", "source", "size", "m", "source_size", "target"]
     split = (F.col("size") > 0) & F.col("p").between(1e-12, 1 - 1e-12)
     alone = lambda *salt: F.when(_uniform(seed, *salt) < F.col("p"), 1.0).otherwise(0.0).alias("p")
+    fields = lambda *salt: F.struct("lead", _uniform(seed, *salt).alias("u"), *keep, "mass", "p")
+    fractional = rows.where(split).withColumn("lead", -F.col("mass"))
+    large = F.col("mass") * HEAD >= F.col("source_size")
+    heads = fractional.groupBy("s").agg(F.collect_list(F.when(large, fields("head"))).alias("items"), F.coalesce(F.sum(F.when(~large, F.col("mass"))), F.lit(0.0)).alias("rest"), F.sum("mass").alias("s0"), F.sum(F.col("mass") * F.col("p")).alias("s1"), F.max("p").alias("p"))
+    pool = F.expr(f"array(named_struct({', '.join(f"'{c}', cast({dict(lead='1', u='0', mass='rest').get(c, 'null')} as {t})" for c, t in _FIELDS.items())}, 'p', p))")
+    heads = heads.withColumn("items", F.sort_array(F.when(F.col("rest") > 0, F.concat("items", pool)).otherwise(F.col("items"))))
+    headed = saved(heads.select("s", F.expr(_FOLD).alias("f")).select("s", F.inline("f")), "heads")
+    taken = rows.where(~split).select(*keep, alone("lone")).unionByName(headed.where("lead <= 0 and p in (0, 1)").select(*keep, "p"))
+    lone = headed.where("lead <= 0 and p not in (0, 1)").select(*keep, alone("first"))  # nothing smaller was left to pair with
     # bits of the hash that number a source's first groups, so that about 2**FAN_BITS documents share one
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / float(1 << FAN_BITS)))).cast("int")
-    level = rows.where(split).select("s", bits.alias("bits"), *keep, "mass", "p")
-    taken, left = rows.where(~split).select(*keep, alone("lone")), max(0, (most - 1).bit_length() - FAN_BITS)
+    tail = fractional.where(~large).drop("p").select("*", bits.alias("bits"))
+    tail = salted_left_join(tail, headed.where("lead > 0").select("s", "p"), ["s"], F.struct("doc_id", "size"), SALTS)
+    level, left = tail.select("s", "bits", "lead", *keep, "mass", "p"), max(0, (most - 1).bit_length() - FAN_BITS)
     for t in range(left // FAN_BITS + 2):
         group = F.expr(f"shiftright(pmod(xxhash64(doc_id, source, size, {seed}), shiftleft(1L, bits)), {t * FAN_BITS})")
-        item = F.struct(_uniform(seed, t).alias("u"), *keep, "mass", "p")
-        grouped = level.groupBy("s", "bits", group.alias("at")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-        folded = saved(grouped.select("s", "bits", F.expr(_FOLD).alias("f")), f"level{t}")
-        taken = taken.unionByName(folded.select(F.inline("f.done")).select(*keep, "p"))
-        level = folded.select("s", "bits", "f.c.*").select("s", "bits", *keep, "mass", "p")
+        grouped = level.groupBy("s", "bits", group.alias("at")).agg(F.sort_array(F.collect_list(fields(t))).alias("items"), F.sum("mass").alias("s0"), F.sum(F.col("mass") * F.col("p")).alias("s1"))
+        folded = saved(grouped.select("s", "bits", F.expr(_FOLD).alias("f")).select("s", "bits", F.inline("f")), f"level{t}")
+        taken, level = taken.unionByName(folded.where("p in (0, 1)").select(*keep, "p")), folded.where("p not in (0, 1)").drop("u")
         if t * FAN_BITS >= left:
             break
-    taken = taken.unionByName(level.select(*keep, alone("last")))
+    taken = taken.unionByName(lone).unionByName(level.select(*keep, alone("last")))
     return taken.select(*keep, (F.floor(rate) + F.col("p")).cast("long").alias("copies"))
 
 
