@@ -37,7 +37,9 @@ def test_round_trip_with_segments(spark, tmp_path):
     frame = spark.createDataFrame(pages, SCHEMA).repartition(3)
     got = warc.round_trip(frame, str(tmp_path / "w"), segment=4096).collect()
     assert sorted(map(tuple, got), key=str) == brute(pages)
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in pathlib.Path(tmp_path / "w").glob("*.gz"))
+    files = [p.read_bytes() for p in pathlib.Path(tmp_path / "w").glob("part-*")]
+    raw = b"".join(map(gzip.decompress, files))
+    assert sum(f.count(b"\x1f\x8b\x08") for f in files) >= raw.count(b"WARC-Record-ID") > len(pages)
     assert b"WARC-Type: continuation" in raw and raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
     chunks = warc.chunk_table(spark, str(tmp_path / "w")).where("chunk is not null").selectExpr("max(length(chunk))").first()[0]
     assert 4000 < chunks <= 4096
@@ -54,8 +56,46 @@ def test_whole_table_equals_sql(spark):
     assert sorted(map(tuple, got)) == sorted(db.execute(warc.ORACLE).fetchall())
 
 
-def test_damage_is_an_error():
-    record = next(warc.records(1, "u", b"x" * 10, hashlib.sha1(b"x" * 10).hexdigest(), 10, None, 0)) + b"\r\n"
+def one(n, **changes):
+    return warc.record(*({"page_id": 1, "url": "u", "digest": hashlib.sha1(b"x" * n).hexdigest(), "size": n, "refers_to": None, "row": 0, "part": 0, "chunk": b"x" * n} | changes).values())
+
+
+def test_damage_is_an_error(spark, tmp_path):
+    record = one(10)
     with pytest.raises(ValueError):
         list(warc.parse(gzip.compress(record[:-20])))
     assert list(warc.parse(gzip.compress(record) + gzip.compress(record)))[1]["payload_bytes"] == 10
+    response, revisit = one(2000), one(2000, page_id=2, refers_to=1)
+    for name, records, well in (("a", [response, revisit], True), ("b", [revisit], False), ("c", [one(1999, row=5), revisit], False), ("d", [response.replace(b"xxx", b"xyx", 1), revisit], False)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_bytes(b"".join(map(gzip.compress, records)))
+        if well:
+            assert {r.page_id: r.record_type for r in warc.read(spark, str(tmp_path / name)).collect()} == {1: "response", 2: "revisit"}
+        else:
+            with pytest.raises(Exception):
+                warc.read(spark, str(tmp_path / name)).collect()
+
+
+def test_bytes_that_are_no_utf8_come_back(spark, tmp_path):
+    pages = spark.sql("SELECT 1L page_id, 'u' url, cast(x'ff00fec3' AS string) html UNION ALL SELECT 2L, 'v', repeat(cast(x'80c3' AS string), 700)")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(pages, str(tmp_path / "w"), segment=256).collect()}
+    assert got == {i: (len(b), hashlib.sha1(b).hexdigest()) for i, b in ((1, b"\xff\x00\xfe\xc3"), (2, b"\x80\xc3" * 700))}
+
+
+def test_a_payload_of_300_mb_is_never_whole_in_a_worker(spark, tmp_path):
+    import resource
+
+    pages = spark.sql("SELECT id AS page_id, 'u' url, repeat('0123456789', 30000000) html FROM range(1)")
+    got = warc.round_trip(pages, str(tmp_path / "w")).first()
+    whole = hashlib.sha1()
+    for _ in range(300):
+        whole.update(b"0123456789" * 100_000)
+    assert (got.payload_bytes, got.payload_digest, got.record_type) == (300_000_000, whole.hexdigest(), "response")
+
+    def peak(it):
+        for _ in it:
+            pass
+        yield warc.pa.RecordBatch.from_arrays([warc.pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], ["kb"])
+
+    most = spark.range(0, 4, 1, 4).mapInArrow(peak, "kb long").agg({"kb": "max"}).first()[0]
+    assert most < 450_000

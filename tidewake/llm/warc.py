@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import salted_left_join
-from tidewake.scratch import shared_dir
+from tidewake.scratch import saved, shared_dir
 
 #: Most payload bytes in one record; larger payloads continue in further records (segments).
 SEGMENT = 256 * 1024
 #: Payloads below this are never written as revisits.
 LEAST_REVISIT = 1000
-#: Most records in one archive file.
-FILE_RECORDS = 4096
+#: Records are laid together in lots of about LOT compressed bytes; an archive has FILE_LOTS of them at most, so that neither
+#: many small records nor few large ones make it larger than about 24 MB.
+LOT, FILE_LOTS = 128 * 1024, 64
 #: The tables have no crawl dates; records carry this one.
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -41,49 +42,52 @@ def classified(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 def _record(headers: dict, block: bytes) -> bytes:
     lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items() if v is not None)
-    return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n"  # the writer ends the line
+    return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
-def records(page_id, url, html, digest, size, refers_to, row, segment: int = SEGMENT):
-    """The WARC records of one page, without their last line end; ``html`` is a buffer of UTF-8 and is never copied whole."""
+def record(page_id, url, digest, size, refers_to, row, part, chunk: bytes, segment: int = SEGMENT) -> bytes:
+    """The WARC record of one chunk (from 0) of a page's payload, or of a revisit."""
     name = f"urn:x-page:{'null' if page_id is None else page_id}:{row}"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or name
     common = {"WARC-Target-URI": uri, "WARC-Date": DATE, "WARC-Payload-Digest": f"sha1:{digest}"}
     if refers_to is not None:
-        yield _record({"WARC-Type": "revisit", "WARC-Record-ID": f"<{name}>", **common, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:x-page:{refers_to}>", "X-Payload-Length": size}, b"")
-        return
-    view, at, number = memoryview(html), 0, 0
-    while number == 0 or at < size:
-        end = min(size, at + segment)
-        while end < size and view[end] & 0xC0 == 0x80:
-            end -= 1
-        number += 1
-        cut = number > 1 or end < size
-        own = {"WARC-Type": "response" if number == 1 else "continuation", "WARC-Record-ID": f"<{name}>" if number == 1 else f"<{name}:{number}>", **common, "Content-Type": "application/http; msgtype=response" if number == 1 else None}
-        if cut:
-            own |= {"WARC-Segment-Number": number, "WARC-Segment-Origin-ID": f"<{name}>" if number > 1 else None, "WARC-Segment-Total-Length": len(_HTTP.format(size)) + size if number > 1 and end == size else None}
-        yield _record(own, (_HTTP.format(size).encode() if number == 1 else b"") + bytes(view[at:end]))
-        at = end
+        return _record({"WARC-Type": "revisit", "WARC-Record-ID": f"<{name}>", **common, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:x-page:{refers_to}>", "X-Payload-Length": size}, b"")
+    own = {"WARC-Type": "continuation" if part else "response", "WARC-Record-ID": f"<{name}:{part + 1}>" if part else f"<{name}>", **common, "Content-Type": None if part else "application/http; msgtype=response"}
+    if size > segment:
+        ends = (part + 1) * segment >= size
+        own |= {"WARC-Segment-Number": part + 1, "WARC-Segment-Origin-ID": f"<{name}>" if part else None, "WARC-Segment-Total-Length": len(_HTTP.format(size)) + size if part and ends else None}
+    return _record(own, (b"" if part else _HTTP.format(size).encode()) + chunk)
 
 
 def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
-    """Writes ``pages(page_id, url, html)`` as gzipped WARC files under ``path`` with Spark's text writer."""
+    """Writes ``pages(page_id, url, html)`` as WARC files under ``path``: one gzip member per record, by Spark's text writer.
 
-    def lines(it):
-        for batch in it:
-            out, held = [], 0
-            for page_id, url, html, *rest in zip(*batch.columns):
-                body = html.as_buffer() if html.is_valid else b""
-                for record in records(page_id.as_py(), url.as_py(), body, *(x.as_py() for x in rest), segment=segment):
-                    out.append(record)
-                    held += len(record)
-                    if held > 1 << 23:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
-                        out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+    Payloads are cut into chunk rows where they are read, so that a worker sees ``segment`` bytes of one at a time.  The
+    last byte of a gzip member is the highest of its length, 0 for records below 16 MiB; the writer's line end supplies it.
+    """
 
-    rows = classified(pages).withColumn("row", F.monotonically_increasing_id())
-    rows.mapInArrow(lines, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    def lots(it):
+        held, size = [], 0
+        for batch in it:
+            for values in zip(*batch.columns):
+                *head, chunk = values
+                tool = zlib.compressobj(6, zlib.DEFLATED, 31)
+                raw = record(*(x.as_py() for x in head), chunk.as_py() or b"", segment)
+                held.append(tool.compress(raw) + tool.flush())
+                size += len(held[-1])
+                if size >= LOT:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+    if segment > 1 << 23:
+        raise ValueError("segments are 8 MiB at most")
+    rows = classified(pages).withColumn("row", F.monotonically_increasing_id()).withColumn("body", F.col("html").cast("binary"))
+    last = F.when(F.col("body").isNull() | (F.col("bytes") == 0), 0).otherwise(F.floor((F.col("bytes") - 1) / F.lit(segment))).cast("int")
+    chunk = F.substring(F.col("body"), F.col("part") * segment + 1, F.lit(segment))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("page_id", "url", "digest", "bytes", "refers_to", "row", "part", chunk.alias("chunk"))
+    rows.mapInArrow(lots, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_LOTS).text(path)
 
 
 _ROW = pa.schema([("record", pa.string()), ("page_id", pa.int64()), ("seq", pa.int64()), ("total", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("stated", pa.string()), ("chunk", pa.binary())])
@@ -91,21 +95,19 @@ _ROW_DDL = "record string, page_id long, seq long, total long, record_type strin
 
 
 class _Stream:
-    """Bytes of a gzipped archive, inflated as they are asked for."""
+    """Bytes of the gzip members of an archive, inflated as they are asked for."""
 
     def __init__(self, packed):
         self.packed, self.at, self.tool, self.held = memoryview(packed), 0, zlib.decompressobj(31), bytearray()
 
     def _more(self) -> bool:
-        if self.tool.eof and self.tool.unused_data:  # the next gzip member
-            rest = self.tool.unused_data
+        if self.tool.eof:
             self.tool = zlib.decompressobj(31)
-            self.held += self.tool.decompress(rest)
-            return True
         if self.at >= len(self.packed):
             return False
-        self.held += self.tool.decompress(self.packed[self.at : self.at + 65536])
-        self.at += 65536
+        piece = self.packed[self.at : self.at + 16384]
+        self.held += self.tool.decompress(piece)
+        self.at += len(piece) - len(self.tool.unused_data)
         return True
 
     def head(self) -> bytes | None:
@@ -132,7 +134,7 @@ def parse(packed):
     """Rows of one archive: a whole record is digested as it streams by; a segment is a chunk row of its payload."""
     stream = _Stream(packed)
     while (head := stream.head()) is not None:
-        first, *lines = head.decode().strip().split("\r\n")
+        first, *lines = head.decode("utf-8", "surrogatepass").strip().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
         h = dict(line.split(": ", 1) for line in lines)
@@ -156,7 +158,7 @@ def parse(packed):
         for _ in stream.body(4):
             pass
         if kind == "revisit":
-            row |= {"refers_to": int(h["WARC-Refers-To"][1:-1].split(":")[2]), "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": row["stated"]}
+            row |= {"refers_to": int(h["WARC-Refers-To"][1:-1].split(":")[2]), "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": row["stated"]}  # read() holds them against the response
         elif whole:
             row |= {"payload_bytes": seen, "payload_digest": digest.hexdigest()}
         else:
@@ -179,7 +181,7 @@ def chunk_table(spark: SparkSession, path: str) -> DataFrame:
                         out, held = [], 0
                 yield pa.RecordBatch.from_pylist(out, _ROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(rows, _ROW_DDL)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(rows, _ROW_DDL)
 
 
 _OUT = pa.schema([_ROW.field(n) for n in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")])
@@ -189,7 +191,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of every record under ``path``.
 
     Segments come to one task in order and their digest is carried from row to row, so no payload is ever whole in
-    memory.  A payload whose digest isn't the stated one, or that lacks a segment, is an error.
+    memory.  A payload whose digest isn't the stated one, or that lacks a segment, is an error; so is a revisit of
+    which no response has the page, digest and length that it states.
     """
 
     def ended(row: dict, digest, seen: int, count: int) -> dict:
@@ -217,7 +220,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist([ended(last, digest, seen, count)], _OUT)
 
     table = chunk_table(spark, path).repartition("record").sortWithinPartitions("record", "seq")
-    return table.mapInArrow(carried, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = saved(table.mapInArrow(carried, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
+    stated = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    if lost := stated.join(found.where("record_type = 'response'"), ["page_id", "payload_digest", "payload_bytes"], "left_anti").first():
+        raise ValueError(f"no response of page {lost.page_id} has the payload that a revisit of it states")
+    return found
 
 
 def round_trip(pages: DataFrame, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
