@@ -16,8 +16,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A host is blocked if the lower bound of its bad-page rate (mean - Z posterior deviations) is above MAX_BAD.
-Z, MAX_BAD = 1.645, 0.3
+#: A host is blocked if the lower bound of its bad-page rate (mean - Z posterior deviations) is above LIFT times the rate of
+#: all pages: if it is worse than the rest, and not by chance.
+Z, LIFT = 1.645, 1.0
 #: Bounds of a prior's strength, in pages.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -55,10 +56,11 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """``outcomes(host, bad)`` (bad NULL: unlabelled) → one row per host: ``(host, n, bad, rate, bound)``.
+    """``outcomes(host, bad)`` (bad NULL: unlabelled) → one row per host: ``(host, n, bad, rate, bound, pooled)``.
 
     Every host gets a posterior: its own outcomes shrunk to its registered domain (last two labels), that to the public
     suffix (last label), and that to the pooled rate.  ``bound`` is the posterior mean less Z deviations.
+    Where rates of hosts differ no more than by chance, priors are strong and no bound passes the pooled rate.
     """
     host = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     host = saved(host.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}), "hosts")
@@ -69,7 +71,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     d = domain.join(s, "suffix").select("domain", ((F.col("bad") + dm * F.col("sp")) / (F.col("n") + dm)).alias("dp"))
     rate = (F.col("bad") + hm * F.col("dp")) / (F.col("n") + hm)
     out = host.join(d, "domain").select("host", "n", "bad", rate.alias("rate"), (F.col("n") + hm + 1).alias("k"))
-    return out.select("host", "n", "bad", "rate", (F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("k"))).alias("bound"))
+    return out.select("host", "n", "bad", "rate", (F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("k"))).alias("bound"), F.lit(p).cast("double").alias("pooled"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -77,14 +79,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
     A page's outcome is bad if a row of ``labels`` for its id has quality 0 or toxic 1 (of repeated labels, if any does).
     A rule's verdict stands; otherwise the host's posterior decides.  NULL url or no ``://``: host and path are empty,
-    and the empty host has a reputation like any other.  NULL or repeated page_id: a row each.
+    and the empty host has a reputation like any other.  NULL or repeated page_id: a row each.  Empty ``pages``: no rows.
+    Urls are whole, however long.  Without labels nothing is blocked by reputation.
     """
     label = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     at = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = reputations(at.select("page_id", "host").join(label, "page_id", "left").select("host", "bad"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = salted_left_join(at, known.select("host", "bound"), ["host"], F.struct("page_id", "path"))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bound") > MAX_BAD, "block").otherwise("allow")).alias("verdict"), F.round("bound", 6).alias("bound"))
+    judged = salted_left_join(at, known.select("host", "bound", "pooled"), ["host"], F.struct("page_id", "path"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bound") > LIFT * F.col("pooled"), "block").otherwise("allow")).alias("verdict"), F.round("bound", 6).alias("bound"))
 
 
 _CASES = "\n".join(f"    WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN {{{i}}}" for i, (_, h, p) in sorted(enumerate(RULES), key=lambda r: -len(r[1][1] + r[1][2])))
@@ -106,11 +109,11 @@ ms AS (SELECT h.m hm, h.p p, d.m dm, s.m sm FROM {_level("hosts")} h, {_level("d
 sp AS (SELECT suf, hm, dm, (bad + sm * p) / (n + sm) sp FROM sufs, ms),
 dp AS (SELECT dom, hm, (bad + dm * sp) / (n + dm) dp FROM doms JOIN sp USING (suf)),
 rates AS (SELECT host, (bad + hm * dp) / (n + hm) rate, n + hm + 1 k FROM hosts JOIN dp USING (dom)),
-bounds AS (SELECT host, rate - {Z}::DOUBLE * sqrt(rate * (1 - rate) / k) bound FROM rates)
+bounds AS (SELECT host, rate - {Z}::DOUBLE * sqrt(rate * (1 - rate) / k) bound, p FROM rates, ms)
 SELECT page_id, host, path, CASE
 {_CASES.format(*[f"'{h}{p}'" for _, h, p in RULES])}
 END AS rule, CASE
 {_CASES.format(*[f"'{v}'" for v, _, _ in RULES])}
-    WHEN bound > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict, round(bound, 6) AS bound
+    WHEN bound > {LIFT}::DOUBLE * p THEN 'block' ELSE 'allow' END AS verdict, round(bound, 6) AS bound
 FROM parts JOIN bounds USING (host)
 """
