@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_stages_take_effect_and_agree_with_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    junk = spark.createDataFrame([(10_001, None, None, "src0", 0), (10_002, " 12 -- 7 ", "en", "src0", 9)], docs.schema)
+    junk = spark.createDataFrame([(10_001, None, None, "src0", 0), (10_002, " 12 -- 7 ", "en", "src0", 9), (10_003, "слова на другом языке", None, "src1", 21)], docs.schema)
     table, after = docs.unionByName(junk), []
     for name, stage in corpus_pipeline.STAGES:
         table = saved(stage(spark, table, SF), "stage")
@@ -36,6 +36,16 @@ def test_stages_take_effect_and_agree_with_brute_force(spark):
     assert sorted(r[0] for r in encoded) == sorted(r[0] for r in mixed)
 
 
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, copies long, `row` int, key binary"
+    rows = [(i, t, "en", "s", 0, "f", 7, 1, b"k") for i, t in enumerate(["the cat sat on the mat again", "the cat sat on the mat again", "a dog ran over the hill today", None, ""])] * 2
+    for at, table in (("none", []), ("some", rows)):
+        spark.createDataFrame(table, schema).write.parquet(str(tmp_path / at / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / at))
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert {r.doc_id for r in out.collect()} <= {0, 2}
+
+
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100

@@ -62,10 +62,11 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_keep_first_keeps_one_of_each_group_and_all_columns(spark):
     rows = [(2, "a b c d", "x"), (1, "a b c d", "y"), (5, "other words stand here", "z"), (5, "other words stand here", "z"), (None, "a b c d", "n")]
+    rows += [(7, "quite another text is this", "b"), (7, "quite another text is this", "a"), (7, "the second text of seven stands here", "c"), (8, "the second text of seven stands here", "c"), (1, "one more of the first id", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = simhash.keep_first(docs)
     assert got.columns == docs.columns
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
+    assert sorted(map(tuple, simhash.keep_first(docs.repartition(5)).collect()), key=str) == sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[6], rows[7], rows[9]], key=str)
     assert simhash.keep_first(docs.limit(0)).count() == 0
 
 

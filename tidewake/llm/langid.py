@@ -13,6 +13,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Training uses about so many documents at most, picked by a hash of their id; below that, all.
 MAX_TRAIN_DOCS = 20_000
+#: N-grams of a text overlap and repeat; so many at most count as independent evidence in its score.
+EVIDENCE = 20
 #: Code points that are scored at a time.
 _BLOCK = 1 << 20
 
@@ -94,7 +96,11 @@ def _classify(texts: list[str | None], langs: list[str], prior: np.ndarray, logp
             for f in _features(points):  # only the buckets that occur are looked up, then summed by text
                 total += np.add.reduceat(logp[f], spans, axis=0, dtype=np.float64)[::2]
             best = total.argmax(axis=1)
-            post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            grams = len(ORDERS) * np.maximum(1, ends - starts)
+            weight = np.minimum(grams, EVIDENCE) / grams
+            # the alternative is text of no language, with every bucket alike
+            each = np.concatenate([(total - prior) * weight[:, None], (-np.log(BUCKETS) * grams * weight)[:, None]], axis=1)
+            post = np.exp(each[np.arange(len(at)), best] - np.logaddexp.reduce(each, axis=1))
             for i, k, p in zip(at, best, post):
                 if any(map(str.isalpha, texts[i])):
                     names[i], scores[i] = langs[k], p
@@ -108,8 +114,10 @@ def _share(docs: DataFrame, model: dict):
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for every row, from its whole text alone.
 
-    ``score`` is the posterior probability of the predicted language; equal posteriors go to the language that sorts
-    first.  Text that is NULL or has no letter, or a model that has seen no language: ``und`` with score 0.
+    The language is that of the largest posterior; equal ones go to the language that sorts first.  ``score`` is its
+    probability against the other languages and a text of no language (all buckets alike), from the text's mean log
+    probability of an n-gram over EVIDENCE n-grams at most, so that it doesn't grow with length.  Text that is NULL or has
+    no letter, or a model that has seen no language: ``und`` with score 0.  Very long texts are scored whole.
     """
     shared = _share(docs, model)
 
@@ -132,10 +140,10 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1, max_docs: int = MAX
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with posterior ``least`` or more; all columns stay.
+    """The rows of ``docs`` whose text has a language with score ``least`` or more; all columns stay.
 
-    Rejected are texts that are NULL or have no letter (``und``), and texts that no language explains better than the
-    rest together.  A table without a labelled row rejects ``und`` texts only.
+    Rejected are texts that are NULL or have no letter (``und``), and texts that no language explains better than
+    the rest and no language at all together, such as other scripts.  A table without a labelled row rejects ``und`` texts only.
     """
     model = train(docs.where(crc_fold(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
     if not model["langs"]:

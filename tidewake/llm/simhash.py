@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewake.llm.common import OWN
 from tidewake.scratch import saved
@@ -62,27 +63,32 @@ def close_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return a.join(b, meet & once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
+def _by_fingerprint(known: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, least, class, component_id)`` of ``known(doc_id, fp)``: least doc_id of each fingerprint; a number of all
+    fingerprints that it reaches, and the least doc_id of those."""
+    distinct = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    pairs = saved(close_pairs(distinct, max_bits), "pairs")
+    classes = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    fp_class = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    lowest = fp_class.groupBy("class").agg(F.min("least").alias("class_least"))
+    return saved(fp_class.join(lowest, "class").select("fp", "least", "class", F.col("class_least").alias("component_id")), "classes")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row: links at ``max_bits`` or fewer differing bits, closed transitively.
 
     * NULL text is empty text; empty texts have fingerprint zero and link like any other.
     * NULL doc_id: the row gets its fingerprint, links with nothing, and its component_id is NULL.
     * Rows that repeat a doc_id each give a row; their links are all links of that doc_id.
-    * Empty table: no rows.  Other columns are ignored.
+    * Empty table: no rows.  Other columns are ignored.  Very long texts are hashed whole, 65,536 shingles at a time.
 
     Equal fingerprints collapse first (partial aggregation), so the grid join and the component rounds see distinct
     fingerprints only, however large a group of copies is.
     """
     rows = saved(fingerprints(docs, key, text), "fingerprints")
     known = rows.where(F.col("doc_id").isNotNull())
-    distinct = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    pairs = saved(close_pairs(distinct, max_bits), "pairs")
+    spread = known.join(_by_fingerprint(known, max_bits).select("fp", "component_id"), "fp")
     # an id that has several fingerprints (repeated rows) joins their classes
-    classes = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    fp_class = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    lowest = fp_class.groupBy("class").agg(F.min("least").alias("class_least"))
-    by_fp = saved(fp_class.join(lowest, "class").select("fp", F.col("class_least").alias("component_id")), "classes")
-    spread = known.join(by_fp, "fp")
     repeats = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1 and lo <> hi").select("doc_id")
     if not repeats.isEmpty():
         edges = spread.join(repeats, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
@@ -92,14 +98,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     return spread.select("doc_id", "fp", "component_id").unionByName(alone).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; all columns stay.
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row's text as a further column."""
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+
+    def batches(it):
+        for batch in it:
+            fps = np.array([fingerprint(x) for x in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(batches, schema)
+
+
+def keep_first(docs: DataFrame, max_bits: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicate texts, that with the smallest doc_id; all columns stay.
+
+    * Groups are of texts: rows that repeat a doc_id with texts that are no near-duplicates each stay in their own group.
+    * Of rows that tie in doc_id the smallest fingerprint stays, of those the first in the order of all columns.
+    * Rows without a doc_id stay.  Empty table: no rows.
 
-    A repeated doc_id keeps one row; rows without a doc_id stay.  The text table is matched by a semi join on doc_id, which
-    Spark broadcasts only if the ids turn out small.
+    The text table is matched by semi joins on doc_id, which Spark broadcasts only if the ids turn out small; only texts of
+    repeated doc_ids are fingerprinted again, and the choice among them is an aggregation with partial minima.
     """
-    groups = near_duplicates(docs)
-    mark = OWN + "keep"
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
-    some = docs.where(F.col("doc_id").isNotNull()).join(stay, docs.doc_id.cast("long") == F.col(mark), "left_semi")
-    return some.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    known = saved(fingerprints(docs), "fingerprints").where(F.col("doc_id").isNotNull())
+    mark, fp, id_ = OWN + "keep", OWN + "fp", OWN + "id"
+    groups = _by_fingerprint(known, max_bits)
+    first = groups.groupBy("class").agg(F.min(F.struct("least", "fp")).alias("w")).select(F.col("w.least").alias(mark), F.col("w.fp").alias(fp))
+    repeats = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_))
+    numbered, same = docs.where(F.col("doc_id").isNotNull()), docs.doc_id.cast("long")
+    out = numbered.join(first.join(repeats, F.col(mark) == F.col(id_), "left_anti"), same == F.col(mark), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    if repeats.isEmpty():
+        return out
+    twice = _with_fingerprint(numbered.join(repeats, same == F.col(id_), "left_semi"), fp).withColumn(mark, F.col("doc_id").cast("long"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = twice.join(first, [mark, fp], "left_semi").groupBy(mark, fp).agg(F.min(F.struct(*columns)).alias(OWN + "row"))
+    return out.unionByName(chosen.select(OWN + "row.*"))
