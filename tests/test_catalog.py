@@ -43,4 +43,4 @@ def test_equals_sql(spark, db, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-4) for x, y in zip(a, b)), (a, b)
-    assert want or name in ("claim_integrity", "stops", "speed_anomaly")
+    assert want or name in ("stops", "speed_anomaly")

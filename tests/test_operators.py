@@ -150,3 +150,58 @@ def test_registered_ensembles_and_regions_have_the_surveyed_size(spark, monkeypa
     monkeypatch.setattr(drift, "kde_grid", lambda p, by, n, *a: cells.append(n) or grid(p, by, n, *a))
     catalog.QUERIES["drift_region"](spark, "/root/testdata/sf0.001")
     assert cells == [50]
+
+
+def test_many_cases_meet_points_in_blocks(spark, monkeypatch):
+    from tidewake.operators import scoring
+
+    points = spark.createDataFrame([(str(i % 5), i * 1000, i, 10 + i / 100, 20 - i / 90, float(i % 7)) for i in range(60)], "mmsi string, us long, ord long, lat double, lon double, sog double")
+    cases = spark.createDataFrame([(f"OT-2026-{i:04d}", 10 + i / 50, 20.0, 10.0, 20.1, i * 500) for i in range(25)], scoring.SCENARIO)
+    whole = sorted(map(tuple, scoring.features(points, cases).collect()))
+    monkeypatch.setattr(scoring, "CASES", 8)
+    assert sorted(map(tuple, scoring.features(points, cases).collect())) == whole and len(whole) == 125
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from tidewake.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(80, 6)).round(1)
+    v[10:20] = v[30:40]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (103, [1.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {q: sorted(range(80), key=lambda i: (-round(float(u[q] @ u[i]), 9), i))[:4] for q in range(0, 80, 20)}
+    for size in (64_000_000, 100):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        got = retrieval.nearest(frame, frame.where("id % 20 = 0 and id < 100"), 4).collect()
+        for q, ids in want.items():
+            mine = sorted((r for r in got if r.query_id == q), key=lambda r: -r.score)
+            assert len(mine) == 4 and [round(r.score, 9) for r in mine] == [round(float(u[q] @ u[i]), 9) for i in ids]
+    assert retrieval.nearest(frame, frame.limit(0), 4).count() == 0
+
+
+def test_fusion_counts_ranks_beyond_what_is_looked_at(spark):
+    from tidewake.operators import retrieval
+
+    a = [(i, float(500 - i)) for i in range(500)]
+    b = [(i, float((i * 37) % 500)) for i in range(0, 500, 2)]
+    rank = lambda rows: {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    ra, rb = rank(a), rank(b)
+    want = sorted(((i, 1 / (60 + ra[i]) + (1 / (60 + rb[i]) if i in rb else 0)) for i in ra), key=lambda r: (-r[1], r[0]))[:7]
+    got = retrieval.fused(*(spark.createDataFrame(x, "id long, score double") for x in (a, b)), k=7).collect()
+    assert [r.id for r in got] == [i for i, _ in want] and all(abs(r.score - s) < 1e-12 for r, (_, s) in zip(got, want))
+
+
+def test_newest_first_places(spark):
+    import datetime
+
+    from tidewake.plans import investigation
+
+    at = [datetime.datetime(2026, 1, 1 + k % 3, k % 5) for k in range(20)] + [None]
+    rows = list(enumerate(at))
+    got = {r.id: r.place for r in investigation.newest_first(spark.createDataFrame(rows, "id long, at timestamp"), "at", "id").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1].timestamp() if r[1] else 0), r[0]))
+    assert got == {i: k for k, (i, _) in enumerate(order, 1)}

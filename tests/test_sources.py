@@ -25,6 +25,27 @@ def test_strict_and_lenient_csv(spark, tmp_path):
         ais.read_csv(spark, write(tmp_path, "mmsi,timestamp\n1,2\n"), "strict")
 
 
+def test_times_of_any_type_and_session_zone(spark, tmp_path):
+    frame = spark.sql("SELECT '1' mmsi, TIMESTAMP'2026-01-02 03:04:05.5Z' a, TIMESTAMP_NTZ'2026-01-02 03:04:05.5' b, 1767323045.5D c, 1767323045L d, DATE'2026-01-02' e, '2026-01-02T03:04:05.5' f, 10D latitude, 20D longitude")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            us = {c: ais.parsed(frame.withColumnRenamed(c, "timestamp")).selectExpr("unix_micros(ts) us").first().us for c in "abcdef"}
+            assert us == {"a": 1767323045500000, "b": 1767323045500000, "c": 1767323045500000, "d": 1767323045000000, "e": 1767312000000000, "f": 1767323045500000}, z
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_ingestion_keeps_first_of_equal_reports_and_tracks_of_two(spark, tmp_path):
+    rows = "mmsi,timestamp,latitude,longitude,sog\n1,2026-01-02 03:04:05,10,20,5\n1,2026-01-02 03:04:05,10.0000001,20,6\n1,2026-01-02 03:05:05,10,20,7\n2,2026-01-02 03:04:05,10,20,8\n2,2026-01-02 03:04:05,10,20,9\n3,never,10,20,1\n"
+    points, found, bad = ais.ingested(spark.read.option("header", True).csv(write(tmp_path, rows)))
+    assert sorted((r.mmsi, r.sog) for r in points.collect()) == [("1", 5.0), ("1", 7.0), ("2", 8.0)]
+    assert [(r.mmsi, r.n) for r in found.collect()] == [("1", 2)] and [r.mmsi for r in bad.collect()] == ["3"]
+    nothing = ais.ingested(spark.createDataFrame([], "mmsi string, timestamp string, latitude string, longitude string"))
+    assert [f.count() for f in nothing] == [0, 0, 0]
+
+
 def test_observation_sidecar(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps({"captured_at": "2026-08-20T16:10:00Z", "sensor": "S1", "bbox": [72.8, 14.7, 73.5, 15.2], "orbit": "x"}))
     row = ais.read_observation(spark, str(tmp_path / "o.json")).first()

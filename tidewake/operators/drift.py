@@ -6,6 +6,7 @@ import dataclasses
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +70,55 @@ def statistics(particles: DataFrame, *by: str) -> DataFrame:
     return particles.groupBy(*by).agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.stddev_pop("lat").alias("sd_lat"), F.stddev_pop("lon").alias("sd_lon"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 / (1 + spread))).alias("confidence"))
 
 
+def aggregated(particles: DataFrame, by: str, member: str = "member") -> DataFrame:
+    """One row per ensemble: its members, all their trajectories, the mean of their confidences, deviations of all positions."""
+    each = statistics(particles, by, member).groupBy(by).agg(F.count("*").alias("ensemble_size"), F.sum("n").alias("trajectories"), F.avg("confidence").alias("confidence"))
+    return each.join(particles.groupBy(by).agg(F.stddev_pop("lat").alias("lat_std"), F.stddev_pop("lon").alias("lon_std")), by)
+
+
 def kde_grid(particles: DataFrame, by: str, cells: int = 50, margin: float = 0.1) -> DataFrame:
     """Gaussian density (Scott's bandwidth) of each group on a cells x cells grid: ``(by, gy, gx, lat, lon, density)``.
 
-    Each particle meets the fixed number of grid nodes of its group; the sums are partial before the shuffle.
+    Every task adds up its particles' kernels in one array per group, and arrays' nodes are summed by group.
     """
     p = particles
     s = p.groupBy(by).agg(F.count("*").cast("double").alias("n"), F.var_samp("lat").alias("vy"), F.var_samp("lon").alias("vx"), F.covar_samp("lat", "lon").alias("c"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1")).where("n > 1")
     h2 = F.pow("n", F.lit(-1 / 3))
     s = s.withColumns({"a": F.col("vy") * h2, "b": F.col("vx") * h2, "r": F.col("c") * h2}).withColumn("det", F.col("a") * F.col("b") - F.col("r") * F.col("r")).where("det > 0")
     node = lambda lo, hi, g: F.col(lo) - margin * (F.col(hi) - F.col(lo)) + F.col(g) * ((1 + 2 * margin) * (F.col(hi) - F.col(lo)) / (cells - 1))
-    met = p.select(by, F.col("lat").alias("py"), F.col("lon").alias("px")).join(s, by).withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    met = met.withColumns({"lat": node("y0", "y1", "gy"), "lon": node("x0", "x1", "gx")}).withColumns({"dy": F.col("lat") - F.col("py"), "dx": F.col("lon") - F.col("px")})
-    q = (F.col("b") * F.col("dy") * F.col("dy") - 2 * F.col("r") * F.col("dy") * F.col("dx") + F.col("a") * F.col("dx") * F.col("dx")) / F.col("det")
-    kernel = F.exp(-q / 2) / (F.col("n") * 2 * np.pi * F.sqrt("det"))
-    return met.groupBy(by, "gy", "gx", "lat", "lon").agg(F.sum(kernel).alias("density"))
+    met = p.where("lat is not null and lon is not null").join(s, by).select(F.col(by).alias("g"), "lat", "lon", "n", "a", "b", "r", "det", "y0", "y1", "x0", "x1")
+    span = np.arange(cells) * ((1 + 2 * margin) / (cells - 1)) - margin
+
+    def sums(batches):
+        held: dict = {}
+        kind = None
+
+        def full():
+            for g, total in held.items():
+                gy, gx = np.divmod(np.arange(cells * cells, dtype=np.int32), cells)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(gy), kind), pa.array(gy, pa.int32()), pa.array(gx, pa.int32()), pa.array(total.ravel())], ["g", "gy", "gx", "v"])
+            held.clear()
+
+        for batch in batches:
+            kind, keys = batch.schema.field(0).type, batch.column(0).dictionary_encode()
+            code, rest = keys.indices.to_numpy(), {f: batch.column(i).to_numpy() for i, f in enumerate(batch.schema.names) if i}
+            for c, g in enumerate(keys.dictionary.to_pylist()):
+                mine = np.flatnonzero(code == c)
+                one = {f: float(v[mine[0]]) for f, v in rest.items() if f not in ("lat", "lon")}
+                total = held.setdefault(g, np.zeros((cells, cells)))
+                for i in range(0, len(mine), 256):
+                    part = mine[i : i + 256]
+                    dy = one["y0"] + span * (one["y1"] - one["y0"]) - rest["lat"][part, None]
+                    dx = one["x0"] + span * (one["x1"] - one["x0"]) - rest["lon"][part, None]
+                    q = (one["b"] * dy * dy)[:, :, None] - (2 * one["r"] * dy)[:, :, None] * dx[:, None, :] + (one["a"] * dx * dx)[:, None, :]
+                    total += np.exp(q / (-2 * one["det"])).sum(0) / (one["n"] * 2 * np.pi * np.sqrt(one["det"]))
+            if len(held) * cells * cells > 4_000_000:
+                yield from full()
+        yield from full()
+
+    kind = dict(particles.dtypes)[by]
+    density = met.mapInArrow(sums, f"g {kind}, gy int, gx int, v double").groupBy("g", "gy", "gx").agg(F.sum("v").alias("density")).withColumnRenamed("g", by)
+    return density.join(s, by).select(by, "gy", "gx", node("y0", "y1", "gy").alias("lat"), node("x0", "x1", "gx").alias("lon"), "density")
 
 
 def density_region(grid: DataFrame, by: str, share: float = 0.5) -> DataFrame:

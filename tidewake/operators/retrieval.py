@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.scratch import saved
+
+#: Bytes of query vectors that are broadcast at a time.
+QUERY_BYTES = 64_000_000
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -21,10 +28,12 @@ def ask(evidence: DataFrame, question: str, fallback: int = 2) -> DataFrame:
 def bm25(docs: DataFrame, query: list[str], k: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(id, score)`` of ``docs(id, text)`` by BM25; the k best, ties by id.  Only query words are exploded.
 
-    Scores have nine decimals, so that equal texts tie in whatever order their words are added.
+    Scores have nine decimals, so that equal texts tie in whatever order their words are added.  Texts are split once: what is
+    kept of one are its length and the query's words in it.
     """
     terms = F.array(*[F.lit(t) for t in query])
     rows = docs.select("id", tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(terms, x)).alias("hit"))
+    rows = saved(rows, "hits")
     n, mean = rows.agg(F.count("*"), F.avg("n")).first()
     tf = rows.select("id", "n", F.explode("hit").alias("t")).groupBy("id", "n", "t").agg(F.count("*").alias("tf"))
     df = F.broadcast(tf.groupBy("t").agg(F.count("*").alias("df")))  # one row per query word
@@ -43,11 +52,73 @@ def cosine(vectors: DataFrame, query: list[float], k: int | None = None) -> Data
     return out.orderBy(F.col("score").desc(), "id").limit(k) if k else out
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, score)``: the k rows of ``vectors(id, v)`` with the greatest cosine for each of ``queries(id, v)``.
+
+    Ties go by id; NULL and zero vectors, and vectors of another length, are no answers.  Queries are a stated set: blocks of QUERY_BYTES are broadcast, every task
+    keeps k rows of its own per query, and those meet by query.
+    """
+    dim = queries.agg(F.max(F.size("v"))).first()[0] or 0
+    blocks = -(-queries.count() * max(1, dim) * 8 // QUERY_BYTES)
+    out = None
+    for block in range(max(1, blocks)):
+        part = queries.where((F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == block) & (F.size("v") == dim)).orderBy("id").toArrow()
+        mine = _nearest_block(vectors, part, dim, k)
+        out = mine if out is None else out.unionByName(mine)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
+def _nearest_block(vectors: DataFrame, part: pa.Table, dim: int, k: int) -> DataFrame:
+    def units(column) -> tuple[np.ndarray, np.ndarray]:
+        """(unit vectors, which rows they are of)."""
+        rows = column.to_pylist()
+        fit = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and None not in v]
+        x = np.array([rows[i] for i in fit], np.float64).reshape(len(fit), dim)
+        size = np.sqrt((x * x).sum(1))
+        fine = np.isfinite(size) & (size > 0)
+        return x[fine] / size[fine, None], np.array(fit, int)[fine]
+
+    q, at = units(part.column("v"))
+    shared = vectors.sparkSession.sparkContext.broadcast((q, np.array(part.column("id").to_pylist(), object)[at] if len(at) else np.zeros(0, object)))
+    kinds = [vectors.schema["id"].dataType.simpleString()]
+
+    def scan(batches):
+        q, ids = shared.value
+        score, found, kind = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            x, rows = units(batch.column(1))
+            own = np.array(batch.column(0).to_pylist(), object)[rows].astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+            for i in range(0, len(x), 4096):
+                both = np.concatenate([score, q @ x[i : i + 4096].T], axis=1)
+                named = np.concatenate([found, np.broadcast_to(own[i : i + 4096], (len(q), len(own[i : i + 4096])))], axis=1)
+                order = np.lexsort((named, -both))[:, :k]
+                score, found = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+        if kind is not None and score.size:
+            width = score.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width).tolist(), kind), pa.array(found.ravel(), pa.int64()).cast(kind), pa.array(score.ravel())], ["query_id", "id", "score"])
+
+    return vectors.select("id", "v").mapInArrow(scan, f"query_id {kinds[0]}, id {kinds[0]}, score double")
+
+
 def fused(*rankings: DataFrame, k: int, c: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of top lists ``(id, score)``."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "id")  # over top lists only
-    parts = [r.select("id", (1 / (c + F.row_number().over(w))).alias("share")) for r in rankings]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    """The k best by reciprocal-rank fusion of whole rankings ``(id, score)``; ties by id.
+
+    A row beyond rank ``lists * (c + k) - c`` of every list can't pass the k-th of any one of them, so the rows above it are
+    the candidates.  A candidate's rank in a list is one more than the rows before it, counted in one pass over the list
+    against the candidates, whose number depends on k alone.
+    """
+    depth = len(rankings) * (c + k) - c
+    lists = [saved(r.select("id", "score").where("score is not null"), "ranking") for r in rankings]
+    tops = [r.orderBy(F.col("score").desc(), "id").limit(depth).select("id") for r in lists]
+    candidates = tops[0]
+    for t in tops[1:]:
+        candidates = candidates.unionByName(t)
+    candidates, every = saved(candidates.distinct(), "candidates"), None
+    for r in lists:
+        own = F.broadcast(r.join(F.broadcast(candidates), "id").select(F.col("id").alias("own"), F.col("score").alias("least")))  # lists * depth rows
+        before = (F.col("score") > F.col("least")) | ((F.col("score") == F.col("least")) & (F.col("id") <= F.col("own")))
+        share = r.join(own, before).groupBy(F.col("own").alias("id")).agg((1 / (c + F.count("*"))).alias("share"))
+        every = share if every is None else every.unionByName(share)
     return every.groupBy("id").agg(F.sum("share").alias("score")).orderBy(F.col("score").desc(), "id").limit(k)

@@ -7,18 +7,34 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo
 from tidewake.operators.tracks import HOUR
+from tidewake.scratch import small
 
 # The features' weights.
 WEIGHTS = {"proximity": 0.25, "temporal_overlap": 0.25, "trajectory_consistency": 0.20, "drift_consistency": 0.20, "behavioral_anomaly": 0.10}
 SCENARIO = "case_id string, origin_lat double, origin_lon double, observed_lat double, observed_lon double, release_us long"
+#: Cases that meet the points at a time, and are broadcast together.
+CASES = 1000
 DISCLAIMER = "Rankings are investigative leads, not attribution."
 
 
 def features(points: DataFrame, scenarios: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """``(case_id, mmsi, five features, total)``, unrounded: one aggregation by case and vessel.
 
-    ``scenarios`` is a short table of cases.  Vessels without points have no row.
+    Every case is held against every vessel, so cases are a set of questions: they meet the points in blocks of about CASES,
+    each broadcast, and partial aggregates by case and vessel leave the tasks.  Vessels without points have no row.
     """
+    n = scenarios.count()
+    if n > CASES:
+        blocks = -(-2 * n // CASES)
+        parts = [_features(points, scenarios.where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == k), weights) for k in range(blocks)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+    return _features(points, scenarios, weights)
+
+
+def _features(points: DataFrame, scenarios: DataFrame, weights: dict[str, float]) -> DataFrame:
     c = F.col
     far = geo.flat_km(c("lat"), c("lon"), c("origin_lat"), c("origin_lon"))
     off = F.abs(c("us") - c("release_us")) / HOUR
@@ -44,7 +60,7 @@ def ranked(scores: DataFrame, names: DataFrame | None = None) -> DataFrame:
 def evidence(candidates: DataFrame, fixed: DataFrame) -> DataFrame:
     """The fixed evidence of the cases and one row per candidate: ``(case_id, id, source, title)``."""
     own = candidates.select("case_id", F.concat(F.lit("ais-"), "mmsi").alias("id"), F.lit("ais").alias("source"), F.concat(F.lit("Track of "), "vessel_name").alias("title"))
-    return candidates.select("case_id").distinct().join(F.broadcast(fixed)).select("case_id", "id", "source", "title").unionByName(own)
+    return candidates.select("case_id").distinct().join(small(fixed)).select("case_id", "id", "source", "title").unionByName(own)
 
 
 def claims(candidates: DataFrame, cases: DataFrame) -> DataFrame:
@@ -65,6 +81,18 @@ def unsupported(claims_: DataFrame, evidence_: DataFrame) -> DataFrame:
     return claims_.select("case_id", "n", F.explode("evidence_ids").alias("id")).join(evidence_.select("case_id", "id"), ["case_id", "id"], "left_anti")
 
 
+def candidate(candidates: DataFrame, evidence_: DataFrame, case_id: str, mmsi: str) -> DataFrame:
+    """The candidate of one case and vessel with its evidence as an array; no row if there is none."""
+    one = candidates.where((F.col("case_id") == case_id) & (F.col("mmsi") == mmsi))
+    own = evidence_of(one, evidence_).groupBy("case_id", "mmsi").agg(F.sort_array(F.collect_list(F.struct("id", "source", "title"))).alias("evidence"))
+    return one.join(own, ["case_id", "mmsi"], "left")
+
+
+def rounded(candidates: DataFrame) -> DataFrame:
+    """Features and total to two decimals, as reports show them."""
+    return candidates.withColumns({k: F.round(k, 2) for k in (*WEIGHTS, "total") if k in candidates.columns})
+
+
 def evidence_of(candidates: DataFrame, evidence_: DataFrame) -> DataFrame:
     return candidates.select("case_id", "mmsi", F.explode("evidence_ids").alias("id")).join(evidence_, ["case_id", "id"])
 

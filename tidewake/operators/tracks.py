@@ -93,6 +93,13 @@ def _lerp(a: str, share: Column) -> Column:
     return F.col(a) + (F.col("next_" + a) - F.col(a)) * share
 
 
+def _made(rows: DataFrame, at: Column, *more: Column) -> DataFrame:
+    """The report of each row where ``k`` is NULL, elsewhere a report at ``at`` between it and the next."""
+    share, own = (at - F.col("us")) / (F.col("next_us") - F.col("us")), F.col("k").isNull()
+    between = {c: _lerp(c, share) for c in ("lat", "lon", "sog")} | {c: geo.lerp_bearing(F.col(c), F.col("next_" + c), share) for c in ("cog", "heading")}
+    return rows.select("mmsi", F.when(own, F.col("us")).otherwise(at).alias("us"), *[F.when(own, F.col(c)).otherwise(v).alias(c) for c, v in between.items()], *more)
+
+
 def interpolate(points: DataFrame, minutes: float = 10) -> DataFrame:
     """Tracks on a regular grid from their first report: ``(mmsi, us, lat, lon, sog, cog, heading)``.
 
@@ -102,16 +109,12 @@ def interpolate(points: DataFrame, minutes: float = 10) -> DataFrame:
     """
     step = int(minutes * MINUTE)
     cols = ["us", "lat", "lon", "sog", "cog", "heading"]
-    w = Window.partitionBy("mmsi")
-    rows = with_neighbours(points, *cols).withColumns({"u0": F.min("us").over(w), "u1": F.max("us").over(w)})
-    still = rows.where("u0 = u1").select("mmsi", *cols)
-    first = rows.where("u0 < u1 and pos = 0").select("mmsi", *cols)
-    k = lambda c: F.floor((F.col(c) - F.col("u0")) / F.lit(step))
-    ends = rows.where("u0 < u1 and next_us > us").withColumns({"k0": k("us") + 1, "k1": k("next_us")}).where("k0 <= k1")
-    ticks = ends.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("t", F.col("u0") + F.col("k") * step)
-    share = (F.col("t") - F.col("us")) / (F.col("next_us") - F.col("us"))
-    made = ticks.select("mmsi", F.col("t").alias("us"), *[_lerp(c, share).alias(c) for c in ("lat", "lon", "sog")], *[geo.lerp_bearing(F.col(c), F.col("next_" + c), share).alias(c) for c in ("cog", "heading")])
-    return still.unionByName(first).unionByName(made)
+    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = with_neighbours(points, *cols).withColumns({"u0": F.min("us").over(whole), "u1": F.max("us").over(whole)})
+    k = lambda c: F.floor((F.col(c) - F.col("u0")) / F.lit(step)).cast("long")
+    itself = F.when((F.col("u0") == F.col("u1")) | (F.col("pos") == 0), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
+    ticks = F.when((F.col("next_us") > F.col("us")) & (k("us") + 1 <= k("next_us")), F.sequence(k("us") + 1, k("next_us"))).otherwise(F.array().cast("array<long>"))
+    return _made(rows.withColumn("k", F.explode(F.concat(itself, ticks))), F.col("u0") + F.col("k") * step)
 
 
 def fill_gaps(points: DataFrame, max_minutes: float = 60) -> DataFrame:
@@ -122,8 +125,7 @@ def fill_gaps(points: DataFrame, max_minutes: float = 60) -> DataFrame:
     step = int(min(600.0, max_minutes * 60 / 2) * 1_000_000)
     cols = ["us", "lat", "lon", "sog", "cog", "heading"]
     rows = with_neighbours(points, *cols)
-    gap = F.col("next_us") - F.col("us")
-    ticks = rows.where(gap > int(max_minutes * MINUTE)).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(gap / F.lit(step))))).withColumn("t", F.col("us") + F.col("k") * step)
-    share = (F.col("t") - F.col("us")) / gap
-    made = ticks.select("mmsi", F.col("t").alias("us"), *[_lerp(c, share).alias(c) for c in ("lat", "lon", "sog")], *[geo.lerp_bearing(F.col(c), F.col("next_" + c), share).alias(c) for c in ("cog", "heading")], F.lit(True).alias("synthetic"))
-    return points.select("mmsi", *cols, F.lit(False).alias("synthetic")).unionByName(made)
+    gap, itself = F.col("next_us") - F.col("us"), F.array(F.lit(None).cast("long"))
+    ticks = F.concat(itself, F.sequence(F.lit(1).cast("long"), F.floor(gap / F.lit(step)).cast("long")))
+    each = F.when(gap > int(max_minutes * MINUTE), ticks).otherwise(itself)
+    return _made(rows.withColumn("k", F.explode(each)), F.col("us") + F.col("k") * step, F.col("k").isNotNull().alias("synthetic"))

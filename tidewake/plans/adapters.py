@@ -45,6 +45,7 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         odd(101, F.lit("-1"), odd(103, F.lit("fast"), c("sog").cast("string"))).alias("sog"),
         odd(107, F.lit("361"), c("cog").cast("string")).alias("cog"),
         c("heading").cast("string").alias("heading"),
+        "ord",
     )
 
 

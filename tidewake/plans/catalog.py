@@ -85,6 +85,25 @@ def ais_rejects(spark, d):
     return bad.groupBy("error").agg(F.count("*").alias("n"))
 
 
+def _ingested(spark, d):
+    """Damaged reports of which every seventh comes twice."""
+    raw = adapters.raw_reports(spark, d)
+    return reports.ingested(raw.unionByName(raw.where("ord % 7 = 0").withColumn("ord", F.col("ord") + 1_000_000_000)), F.col("ord"))
+
+
+_FIRST = f"{_raw_sql('')}, k AS (SELECT mmsi, ord, us // 1000000 * 1000000 us, lat, lon FROM r WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY mmsi, us // 1000000, round(lat, 6), round(lon, 6) ORDER BY ord) = 1)"
+
+
+@query(f"{_FIRST} SELECT mmsi, ord, CAST(us AS BIGINT) AS us FROM k")
+def ais_ingest_points(spark, d):
+    return _ingested(spark, d)[0].select("mmsi", "ord", "us")
+
+
+@query(f"{_FIRST} SELECT mmsi, count(*) AS n, CAST(min(us) AS BIGINT) AS t0, CAST(max(us) AS BIGINT) AS t1, round(min(lat), 6) AS min_lat FROM k GROUP BY mmsi HAVING count(*) >= 2")
+def ais_ingest_tracks(spark, d):
+    return _ingested(spark, d)[1].select("mmsi", "n", "t0", "t1", _r("min_lat"))
+
+
 @query(f"WITH {AIS_SQL} SELECT mmsi, ord, us FROM ais")
 def ais_dedupe(spark, d):
     a = ais(spark, d)
@@ -303,10 +322,25 @@ def report_claims(spark, d):
     return c.select("case_id", "n", _r("confidence"), F.array_join("evidence_ids", ",").alias("ids"))
 
 
-@query("SELECT 'OT' AS case_id, 1::BIGINT AS n, '' AS id WHERE false")
+@query(f"WITH {_PARTS} SELECT case_id, 3::BIGINT AS n, 'ais-' || mmsi AS id FROM r WHERE rank = 1 AND right(case_id, 1) IN ('1', '3') UNION ALL SELECT DISTINCT case_id, 1::BIGINT, 'detection-001' FROM r WHERE right(case_id, 1) = '2'")
 def claim_integrity(spark, d):
+    """Reports of which some lost evidence: cases 1 and 3 that of vessels, case 2 the detection."""
+    c, case = _candidates(spark, d), F.right("case_id", F.lit(1))
+    left = scoring.evidence(c, _fixed_evidence(spark, d)).where(~(case.isin("1", "3") & (F.col("source") == "ais")) & ~((case == "2") & (F.col("id") == "detection-001")))
+    return scoring.unsupported(scoring.claims(c, adapters.scenarios(spark, d)), left).select("case_id", "n", "id")
+
+
+@query(f"WITH {_PARTS}, v AS (SELECT min(mmsi) one FROM ais) SELECT case_id, mmsi, round(total, 5) AS total, rank, 'ais-' || mmsi || ':ais,drift-ensemble-001:fixed' AS evidence FROM r, v WHERE case_id = 'OT-2026-0001' AND mmsi = one")
+def candidate_detail(spark, d):
     c = _candidates(spark, d)
-    return scoring.unsupported(scoring.claims(c, adapters.scenarios(spark, d)), scoring.evidence(c, _fixed_evidence(spark, d))).select("case_id", "n", "id")
+    vessel = ais(spark, d).agg(F.min("mmsi")).first()[0] or ""
+    one = scoring.candidate(c, scoring.evidence(c, _fixed_evidence(spark, d)), "OT-2026-0001", vessel)
+    return one.select("case_id", "mmsi", _r("total", 5), "rank", F.array_join(F.transform("evidence", lambda e: F.concat(e["id"], F.lit(":"), e["source"])), ",").alias("evidence"))
+
+
+@query(f"WITH {_PARTS} SELECT case_id, mmsi, {', '.join(f'round({c}, 2) {c}' for c in _FEATURES)} FROM t")
+def candidate_rounded(spark, d):
+    return scoring.rounded(scoring.features(ais(spark, d), adapters.scenarios(spark, d))).select("case_id", "mmsi", *_FEATURES)
 
 
 @query(f"WITH {_PARTS} SELECT case_id, mmsi, unnest(['ais-' || mmsi, 'drift-ensemble-001']) AS id FROM r")
@@ -315,9 +349,9 @@ def candidate_evidence(spark, d):
     return scoring.evidence_of(c, scoring.evidence(c, _fixed_evidence(spark, d))).select("case_id", "mmsi", "id")
 
 
-@query("SELECT o_orderkey, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
 def cases_newest_first(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderdate").alias("created_at")).orderBy(F.col("created_at").desc(), "o_orderkey")
+    return investigation.newest_first(table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("created_at")), "created_at", "o_orderkey")
 
 
 # ---- search and metrics
@@ -328,6 +362,12 @@ def ask_keyword(spark, d):
     return retrieval.ask(adapters.evidence_docs(spark, d), "Is License license. in src3 the").select("id")
 
 
+@query("SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 2")
+def ask_fallback(spark, d):
+    """No document has a word of the question: the first ones answer."""
+    return retrieval.ask(adapters.evidence_docs(spark, d), "Which unheardofword was neverwritten").select("id")
+
+
 _WORDS = "w AS (SELECT doc_id id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w FROM documents)"
 
 
@@ -353,14 +393,21 @@ def vector_topk(spark, d):
     return retrieval.cosine(v, _first_vector(spark, d), 10).select("id", _r("score", 5))
 
 
-_SHARES = " UNION ALL ".join(f"(SELECT id, 1 / (60 + row_number() OVER (ORDER BY s DESC, id))::DOUBLE sh FROM {t} WHERE s IS NOT NULL ORDER BY s DESC, id LIMIT 50)" for t in ("c", "bm"))
+@query("WITH e AS (SELECT vec_id id, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT q.id query_id, e.id, list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v) * list_dot_product(q.v, q.v)) s FROM e q, e WHERE q.id % 20 = 0) SELECT query_id, id, round(s, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10")
+def vector_search(spark, d):
+    """Every vector whose id is divisible by 20 asks for its ten nearest of all."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.nearest(v, v.where("id % 20 = 0"), 10).select("query_id", "id", _r("score", 5))
+
+
+_SHARES = " UNION ALL ".join(f"(SELECT id, 1 / (60 + row_number() OVER (ORDER BY s DESC, id))::DOUBLE sh FROM {t} WHERE s IS NOT NULL)" for t in ("c", "bm"))
 
 
 @query(f"WITH {_COS}, {_BM25}, f AS ({_SHARES}) SELECT id, round(sum(sh), 6) AS score FROM f GROUP BY id ORDER BY sum(sh) DESC, id LIMIT 20")
 def hybrid_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.fused(retrieval.cosine(v, _first_vector(spark, d), 50), retrieval.bm25(docs, ["license", "version", "work"], 50), k=20).select("id", _r("score"))
+    return retrieval.fused(retrieval.cosine(v, _first_vector(spark, d)), retrieval.bm25(docs, ["license", "version", "work"]), k=20).select("id", _r("score"))
 
 
 _FLAGS = "(SELECT quality = 1 p, toxic = 1 a FROM labels)"
@@ -380,9 +427,11 @@ def sar_db_normalize(spark, d):
     return pixels(spark, d).select("scene_id", "y", "x", F.round(raster.normalised(raster.to_db(F.col("v")), -25, 5), 6).alias("v"))
 
 
-@query(f"WITH {PIXEL_SQL} SELECT scene_id, y, x, round(v, 6) AS v FROM px")
+@query(f"WITH {PIXEL_SQL} SELECT scene_id, y, x, round(avg(v * (1 + ty / 10.0::DOUBLE + tx / 100.0::DOUBLE)), 6) AS v FROM px, (SELECT unnest(range(0, 3)) ty), (SELECT unnest(range(0, 4)) tx) WHERE y BETWEEN 24 * ty AND 24 * ty + 31 AND x BETWEEN 24 * tx AND 24 * tx + 31 GROUP BY scene_id, y, x")
 def tile_stitch(spark, d):
-    return raster.stitched(raster.tiles(pixels(spark, d), HEIGHT, WIDTH, 32, 8)).select("scene_id", "y", "x", _r("v"))
+    """Tiles predict differently, and overlaps are averaged."""
+    predicted = raster.tiles(pixels(spark, d), HEIGHT, WIDTH, 32, 8).withColumn("v", F.col("v") * (1 + F.col("tile_row") / 10.0 + F.col("tile_col") / 100.0))
+    return raster.stitched(predicted).select("scene_id", "y", "x", _r("v"))
 
 
 @query(f"WITH {PIXEL_SQL} SELECT scene_id, round(coalesce(avg(v) FILTER (\"on\"), 0), 6) AS v FROM px GROUP BY scene_id")
@@ -423,12 +472,15 @@ def component_sizes(spark, d):
     return raster.component_sizes(pixels(spark, d).where("on"), WIDTH)
 
 
-_CLEANED = f"""{_ON}, big AS (SELECT * FROM lab WHERE component IN (SELECT component FROM lab GROUP BY component HAVING count(*) >= 50)), unset AS (SELECT scene_id, y, x FROM px ANTI JOIN big USING (scene_id, y, x)), {_labelled_sql("hole", "unset")},
-whole AS (SELECT scene_id, y, x FROM big UNION ALL SELECT scene_id, y, x FROM hole WHERE component IN (SELECT component FROM hole GROUP BY component HAVING count(*) < 100)),
-grown AS (SELECT DISTINCT scene_id, y + dy y, x + dx x FROM whole, {_NINE} WHERE y + dy BETWEEN 0 AND {HEIGHT - 1} AND x + dx BETWEEN 0 AND {WIDTH - 1})"""
+def _cleaned_sql(min_area: int, max_hole: int) -> str:
+    """CTEs after ``lab`` that end in ``cleaned``: small components away, small holes filled, closed."""
+    inside = f"y + dy BETWEEN 0 AND {HEIGHT - 1} AND x + dx BETWEEN 0 AND {WIDTH - 1}"
+    return f"""big AS (SELECT * FROM lab WHERE component IN (SELECT component FROM lab GROUP BY component HAVING count(*) >= {min_area})), unset AS (SELECT scene_id, y, x FROM px ANTI JOIN big USING (scene_id, y, x)), {_labelled_sql("hole", "unset")},
+whole AS (SELECT scene_id, y, x FROM big UNION ALL SELECT scene_id, y, x FROM hole WHERE component IN (SELECT component FROM hole GROUP BY component HAVING count(*) < {max_hole})),
+grown AS (SELECT DISTINCT scene_id, y + dy y, x + dx x FROM whole, {_NINE} WHERE {inside}), cleaned AS (SELECT scene_id, y + dy AS y, x + dx AS x FROM grown, {_NINE} WHERE {inside} GROUP BY ALL HAVING count(*) = 9)"""
 
 
-@query(f"WITH RECURSIVE {_CLEANED} SELECT scene_id, y + dy AS y, x + dx AS x FROM grown, {_NINE} WHERE y + dy BETWEEN 0 AND {HEIGHT - 1} AND x + dx BETWEEN 0 AND {WIDTH - 1} GROUP BY ALL HAVING count(*) = 9")
+@query(f"WITH RECURSIVE {_ON}, {_cleaned_sql(50, 100)} SELECT scene_id, y, x FROM cleaned")
 def mask_postprocess(spark, d):
     return raster.postprocessed(pixels(spark, d), HEIGHT, WIDTH)
 
@@ -499,37 +551,61 @@ def drift_uniform_steps(spark, d):
     return p.select("ord", _r("lat"), _r("lon"))
 
 
+@query(f"WITH {AIS_SQL}, m AS (SELECT CAST(mmsi AS BIGINT) % 5 g, ord % 3 k, count(*) n, least(1, 1 / (1 + stddev_pop(lat) + stddev_pop(lon))) c FROM ais GROUP BY ALL), w AS (SELECT CAST(mmsi AS BIGINT) % 5 g, stddev_pop(lat) sy, stddev_pop(lon) sx FROM ais GROUP BY ALL) SELECT g, count(*) AS ensemble_size, CAST(sum(n) AS BIGINT) AS trajectories, round(avg(c), 6) AS confidence, round(any_value(sy), 6) AS lat_std, round(any_value(sx), 6) AS lon_std FROM m JOIN w USING (g) GROUP BY g")
+def drift_aggregate(spark, d):
+    p = ais(spark, d).select((F.col("mmsi").cast("long") % 5).alias("g"), (F.col("ord") % 3).alias("member"), "lat", "lon")
+    return drift.aggregated(p, "g").select("g", "ensemble_size", "trajectories", _r("confidence"), _r("lat_std"), _r("lon_std"))
+
+
 @query(f"WITH {AIS_SQL} SELECT mmsi, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(least(1, 1 / (1 + stddev_pop(lat) + stddev_pop(lon))), 6) AS confidence FROM ais GROUP BY mmsi")
 def drift_stats(spark, d):
     return drift.statistics(ais(spark, d), "mmsi").select("mmsi", "n", _r("lat"), _r("lon"), _r("confidence"))
 
 
-_KDE = f"""{AIS_SQL}, k AS (SELECT CAST(mmsi AS BIGINT) % 5 g, lat, lon FROM ais), s0 AS (SELECT g, count(*)::DOUBLE n, var_samp(lat) vy, var_samp(lon) vx, covar_samp(lat, lon) c, min(lat) y0, max(lat) y1, min(lon) x0, max(lon) x1 FROM k GROUP BY g),
-s AS (SELECT *, vy * pow(n, -1 / 3.0::DOUBLE) a, vx * pow(n, -1 / 3.0::DOUBLE) b, c * pow(n, -1 / 3.0::DOUBLE) r FROM s0), n AS (SELECT *, y0 - 1e-1 * (y1 - y0) + gy * (12e-1 * (y1 - y0) / 9) qy, x0 - 1e-1 * (x1 - x0) + gx * (12e-1 * (x1 - x0) / 9) qx FROM s, (SELECT unnest(generate_series(0, 9)) gy), (SELECT unnest(generate_series(0, 9)) gx))"""
+def _kde_sql(last: int) -> str:
+    """CTEs that end in ``dens(g, gy, gx, density)`` on last + 1 nodes a side."""
+    return f"""{AIS_SQL}, k AS (SELECT CAST(mmsi AS BIGINT) % 5 g, lat, lon FROM ais), s0 AS (SELECT g, count(*)::DOUBLE n, var_samp(lat) vy, var_samp(lon) vx, covar_samp(lat, lon) c, min(lat) y0, max(lat) y1, min(lon) x0, max(lon) x1 FROM k GROUP BY g),
+s AS (SELECT *, vy * pow(n, -1 / 3.0::DOUBLE) a, vx * pow(n, -1 / 3.0::DOUBLE) b, c * pow(n, -1 / 3.0::DOUBLE) r FROM s0), n AS (SELECT *, y0 - 1e-1 * (y1 - y0) + gy * (12e-1 * (y1 - y0) / {last}) qy, x0 - 1e-1 * (x1 - x0) + gx * (12e-1 * (x1 - x0) / {last}) qx FROM s, (SELECT unnest(generate_series(0, {last})) gy), (SELECT unnest(generate_series(0, {last})) gx)),
+dens AS (SELECT g, gy, gx, any_value(qy) qy, any_value(qx) qx, sum(exp(-(b * pow(qy - lat, 2) - 2 * r * (qy - lat) * (qx - lon) + a * pow(qx - lon, 2)) / (a * b - r * r) / 2)) / (any_value(n.n) * 2 * pi() * sqrt(any_value(a * b - r * r))) density FROM n JOIN k USING (g) GROUP BY g, gy, gx)"""
 
 
-@query(f"WITH {_KDE} SELECT g, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(sum(exp(-(b * pow(qy - lat, 2) - 2 * r * (qy - lat) * (qx - lon) + a * pow(qx - lon, 2)) / (a * b - r * r) / 2)) / (any_value(n.n) * 2 * pi() * sqrt(any_value(a * b - r * r))), 4) AS density FROM n JOIN k USING (g) GROUP BY g, gy, gx")
+@query(f"WITH {_kde_sql(9)} SELECT g, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(density, 4) AS density FROM dens")
 def drift_kde_grid(spark, d):
     p = ais(spark, d).select((F.col("mmsi").cast("long") % 5).alias("g"), "lat", "lon")
     return drift.kde_grid(p, "g", 10).select("g", "gy", "gx", _r("density", 4))
 
 
-@query()
+# A point is a corner of the hull if some line through it and another point has no point on its right; gift wrapping from
+# the leftmost, lowest point takes the sharpest right-hand neighbour at each step.
+@query(
+    f"WITH RECURSIVE {AIS_SQL}, p AS (SELECT DISTINCT mmsi, lat y, lon x FROM ais), s AS (SELECT mmsi, min_by(y, (x, y)) y, min(x) x, count(*) n FROM p GROUP BY mmsi), "
+    "e AS (SELECT a.mmsi, a.y ay, a.x ax, b.y AS by_, b.x bx, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) far FROM p a JOIN p b ON a.mmsi = b.mmsi AND (a.y, a.x) <> (b.y, b.x) "
+    "WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.mmsi = a.mmsi AND (c.y, c.x) <> (a.y, a.x) AND (c.y, c.x) <> (b.y, b.x) AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)), "
+    "o AS (SELECT mmsi, ay, ax, max_by(by_, far) ny, max_by(bx, far) nx FROM e GROUP BY mmsi, ay, ax), "
+    "w AS (SELECT mmsi, 0::BIGINT seq, y lat, x lon FROM s UNION ALL SELECT w.mmsi, seq + 1, ny, nx FROM w JOIN o ON o.mmsi = w.mmsi AND ay = lat AND ax = lon JOIN s ON s.mmsi = w.mmsi WHERE seq = 0 OR (lat, lon) <> (s.y, s.x)) "
+    "SELECT mmsi, seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM w"
+)
 def drift_hull(spark, d):
-    return drift.hulls(ais(spark, d).select("mmsi", "lat", "lon"), "mmsi")
+    return drift.hulls(ais(spark, d).select("mmsi", "lat", "lon"), "mmsi").select("mmsi", "seq", _r("lat"), _r("lon"))
 
 
-@query()
+@query(f"WITH {_kde_sql(49)} SELECT g, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(qy, 6) AS lat, round(qx, 6) AS lon, round(density, 4) AS density FROM dens QUALIFY density >= 5e-1 * max(density) OVER (PARTITION BY g)")
 def drift_region(spark, d):
     p = ais(spark, d).select((F.col("mmsi").cast("long") % 5).alias("g"), "lat", "lon")
-    return drift.density_region(drift.kde_grid(p, "g", 50), "g")
+    return drift.density_region(drift.kde_grid(p, "g", 50), "g").select("g", "gy", "gx", _r("lat"), _r("lon"), _r("density", 4))
+
+
+_FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<c_custkey:bigint>>"
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
+@query("WITH b AS (SELECT c_custkey, 15 + 1e-3 * (c_custkey % 400) y, 73 + 1e-3 * (c_custkey % 300) x FROM customer) SELECT c_custkey, 'Feature/Polygon' AS kind, c_custkey AS property, 1 AS rings, k::INT AS point, round(x + 3e-2 * [-1, 1, 1, -1, -1][k + 1], 6) AS lon, round(y + 2e-2 * [-1, -1, 1, 1, -1][k + 1], 6) AS lat FROM b, (SELECT unnest(range(0, 5)) k)")
 def geojson_export(spark, d):
+    """The features as a reader of their text sees them, a row per point."""
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").where(k % 2 == 0).select("c_custkey", geo.box_ring(15 + 0.001 * (k % 400), 73 + 0.001 * (k % 300), 0.02, 0.03).alias("ring"))
-    return scoring.geojson(rows, F.col("ring"), "c_custkey").where(F.get_json_object("feature", "$.properties.c_custkey").cast("long") == k).select("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", geo.box_ring(15 + 0.001 * (k % 400), 73 + 0.001 * (k % 300), 0.02, 0.03).alias("ring"))
+    read = scoring.geojson(rows, F.col("ring"), "c_custkey").withColumn("f", F.from_json("feature", _FEATURE))
+    points = read.select("c_custkey", F.concat("f.type", F.lit("/"), "f.geometry.type").alias("kind"), F.col("f.properties.c_custkey").alias("property"), F.size("f.geometry.coordinates").alias("rings"), F.posexplode(F.col("f.geometry.coordinates")[0]).alias("point", "at"))
+    return points.select("c_custkey", "kind", "property", "rings", "point", F.round(F.col("at")[0], 6).alias("lon"), F.round(F.col("at")[1], 6).alias("lat"))
 
 
 def _rk4_sql(steps: int, seconds: int) -> str:
@@ -597,7 +673,11 @@ def investigation_steps(spark, d):
     return _investigation(spark, d).steps
 
 
-@query()
+_SLICKS = f"""{PIXEL_SQL}, level AS (SELECT *, CASE WHEN greatest(0, least(1, (10 * log10(v + 1e-10) + 25) / 30)) > 8e-1 THEN 9e-1 ELSE 1e-1 END p FROM px), set_px AS (SELECT * FROM level WHERE p > 5e-1), {_labelled_sql("lab", "set_px")}, {_cleaned_sql(5, 20)}, {_labelled_sql("slick", "cleaned")},
+sl AS (SELECT scene_id, component, count(*) / 1e2 area, coalesce(avg(p), 5e-1) c FROM slick LEFT JOIN level USING (scene_id, y, x) GROUP BY scene_id, component)"""
+
+
+@query(f"WITH RECURSIVE {_SLICKS}, z AS (SELECT scene_id, count(*) slicks, sum(area) area_km2, avg(c) confidence FROM sl WHERE area >= 1e-3 GROUP BY scene_id) SELECT scene_id, slicks, round(area_km2, 6) AS area_km2, round(confidence, 6) AS confidence, CASE WHEN confidence >= 8e-1 THEN 'high' WHEN confidence > 3e-1 THEN 'medium' ELSE 'low' END AS level FROM z")
 def segmentation(spark, d):
     slicks = raster.segmented(pixels(spark, d), HEIGHT, WIDTH, (100.0, 0.0, 0.0, 0.0, -100.0, 0.0), lambda level: F.when(level > 0.8, F.lit(0.9)).otherwise(F.lit(0.1)), 32, 8, min_area=5, max_hole=20)
-    return raster.segmentation_summary(slicks)
+    return raster.segmentation_summary(slicks).select("scene_id", "slicks", _r("area_km2"), _r("confidence"), "level")

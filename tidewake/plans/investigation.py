@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import scoring
@@ -50,6 +50,19 @@ def steps(cases: DataFrame, candidates: DataFrame, evidence: DataFrame) -> DataF
     return counted.select("case_id", F.inline(F.array(*[row(k + 1, name, n) for k, (name, n) in enumerate(rows)])))
 
 
+def newest_first(cases: DataFrame, at: str, key: str) -> DataFrame:
+    """``cases`` with ``place``, from 1: newest ``at`` first, ties by ``key``.
+
+    Places are counted within a day; the window over all of them sees one row a day.
+    """
+    dated = cases.withColumn("_day", F.to_date(at))
+    days = dated.groupBy("_day").agg(F.count("*").alias("_n"))
+    newer = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_day").orderBy(F.col(at).desc_nulls_last(), key))
+    rows, before = dated.withColumn("_own", own), days.select(F.col("_day").alias("_d"), newer.alias("_newer"))
+    return rows.join(before, F.col("_day").eqNullSafe(F.col("_d"))).withColumn("place", (F.col("_newer") + F.col("_own")).cast("long")).drop("_day", "_d", "_own", "_newer")
+
+
 def save_cases(report: DataFrame, path: str) -> None:
     """Adds reports to a case store that is partitioned by case."""
     report.write.mode("append").partitionBy("case_id").parquet(path)

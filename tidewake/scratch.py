@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidewake/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that are broadcast at most on our word.
+SMALL = 10_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df``, marked for broadcast if it has ``most`` rows or fewer; otherwise Spark decides how to join it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,7 +2,9 @@
 
 ``strict`` follows the interactive service (headers trimmed and lower-cased, ISO timestamps with offsets, an unparsable
 optional number rejects the row, no de-duplication); ``lenient`` follows the batch library (four fixed timestamp
-formats, an unparsable optional number is NULL, first of equal reports wins, tracks of one point go).
+formats, an unparsable optional number is NULL).  Timestamp columns pass as they are, numbers are seconds since 1970, and
+whatever has no zone is UTC, whatever the session's is.  ``ingested`` makes the batch library's data set of reports: the first
+of equal ones stays, tracks have two points or more.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.operators import tracks
+
 REQUIRED = ("mmsi", "timestamp", "latitude", "longitude")
 OPTIONAL_NUMBERS = ("sog", "cog", "heading")
 OPTIONAL_TEXT = ("imo", "vessel_type")
@@ -33,6 +37,20 @@ def _time(text: Column, mode: str) -> Column:
     return out
 
 
+def _utc(raw: DataFrame, name: str, mode: str) -> Column:
+    """The timestamp of a column of any type: instants stay, numbers are seconds, text is parsed."""
+    kind, c = dict(raw.dtypes)[name], F.col(name)
+    if kind == "timestamp":
+        return c
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`))")
+    if kind == "date":
+        return F.timestamp_micros(F.unix_date(c).cast("long") * 86_400_000_000)
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.timestamp_micros(F.round(c.cast("double") * 1_000_000).cast("long"))
+    return _time(c.cast("string"), mode)
+
+
 def normalised(raw: DataFrame) -> DataFrame:
     """Headers without byte-order mark and spaces, lower-cased."""
     return raw.toDF(*[c.lstrip("﻿").strip().lower() for c in raw.columns])
@@ -47,7 +65,8 @@ def parsed(raw: DataFrame, mode: str = "lenient") -> DataFrame:
     blank = lambda c: text(c).isNull() | (text(c) == "")
     numbers = {c: F.when(~blank(c), _number(text(c))) for c in OPTIONAL_NUMBERS}
     rest = {c: F.nullif(F.trim(text(c)) if mode == "lenient" else text(c), F.lit("")) for c in OPTIONAL_TEXT}
-    out = raw.select(F.trim(text("mmsi")).alias("mmsi"), _time(text("timestamp"), mode).alias("ts"), _number(text("latitude")).alias("lat"), _number(text("longitude")).alias("lon"), *[v.alias(k) for k, v in (numbers | rest).items()], *[(~blank(c) & numbers[c].isNull()).alias(f"bad_{c}") for c in OPTIONAL_NUMBERS])
+    kept = ["_ord"] if "_ord" in raw.columns else []
+    out = raw.select(*kept, F.trim(text("mmsi")).alias("mmsi"), _utc(raw, "timestamp", mode).alias("ts"), _number(text("latitude")).alias("lat"), _number(text("longitude")).alias("lon"), *[v.alias(k) for k, v in (numbers | rest).items()], *[(~blank(c) & numbers[c].isNull()).alias(f"bad_{c}") for c in OPTIONAL_NUMBERS])
     error = F.when(F.coalesce(F.col("mmsi"), F.lit("")) == "", "mmsi is blank").when(F.col("ts").isNull(), "timestamp is not readable").when(~F.coalesce(F.col("lat").between(-90, 90), F.lit(False)), "latitude is not in -90..90").when(~F.coalesce(F.col("lon").between(-180, 180), F.lit(False)), "longitude is not in -180..180").when(F.col("sog") < 0, "sog is negative")
     for c in ("cog", "heading"):
         error = error.when(~F.col(c).between(0, 360), f"{c} is not in 0..360")
@@ -62,6 +81,19 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("error is null").drop("error"), rows.where("error is not null")
 
 
+def ingested(raw: DataFrame, order: Column | None = None, mode: str = "lenient") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, tracks, rejects) of raw reports in one go.
+
+    Of valid reports with equal vessel, time and position (six places) the first by ``order`` stays, by default the first
+    in the table as it is read; tracks are the summaries of vessels with two points or more.
+    """
+    numbered = raw.withColumn("_ord", F.monotonically_increasing_id() if order is None else order)
+    rows = parsed(numbered, mode)
+    good, bad = split(rows)
+    points = tracks.deduplicate(good.withColumn("us", F.unix_micros("ts")).withColumnRenamed("_ord", "ord"))
+    return points, tracks.envelopes(points), bad.drop("_ord")
+
+
 def read_csv(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
     return parsed(spark.read.option("header", True).option("inferSchema", False).csv(path), mode)
 
