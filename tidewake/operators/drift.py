@@ -146,7 +146,7 @@ def hulls(particles: DataFrame, by: str, buffer: float = 0.01) -> DataFrame:
         for order in (pts, pts[::-1]):
             half: list = []
             for p in order:
-                while len(half) > 1 and turn(half[-2], half[-1], p) <= 0:
+                while len(half) > 1 and turn(half[-2], half[-1], p) <= 1e-12:  # on a line but for rounding
                     half.pop()
                 half.append(p)
             halves += half[:-1]

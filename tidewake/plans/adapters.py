@@ -63,14 +63,19 @@ SCENARIO_SQL = """scn AS (SELECT 'OT-2026-000' || r_regionkey case_id, 15.1::DOU
     15.3::DOUBLE + 2e-2 * r_regionkey vlat, 73.3::DOUBLE - 3e-2 * r_regionkey vlon, (SELECT min(epoch_us(ts)) FROM events) + r_regionkey::BIGINT * 86400000000 rus FROM region)"""
 
 
+#: Order numbers whose line items make one scene.
+SCENE_ORDERS = 1500
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as a 64 x 96 scene per return flag; ``v`` is a linear backscatter, ``on`` a mask."""
+    """``lineitem`` as a scene of 64 x 96 per SCENE_ORDERS order numbers, so that scenes are as many as the table is long and
+    alike at every size; ``v`` is a linear backscatter, ``on`` a mask."""
     c = F.col
-    li = table(spark, sf_dir, "lineitem").select((F.ascii("l_returnflag") - 65).cast("long").alias("scene_id"), (c("l_partkey") % 64).alias("y"), (c("l_orderkey") % 96).alias("x"), c("l_quantity").alias("q"))
+    li = table(spark, sf_dir, "lineitem").select(F.floor(c("l_orderkey") / F.lit(SCENE_ORDERS)).cast("long").alias("scene_id"), (c("l_partkey") % 64).alias("y"), ((c("l_orderkey") * 7 + c("l_linenumber") * 13) % 96).alias("x"), c("l_quantity").alias("q"))
     return li.groupBy("scene_id", "y", "x").agg(F.max("q").alias("top")).select("scene_id", "y", "x", (c("top") / 50.0).alias("v"), (c("top") > 30).alias("on"))
 
 
-PIXEL_SQL = """px AS (SELECT CAST(ascii(l_returnflag) - 65 AS BIGINT) scene_id, l_partkey % 64 y, l_orderkey % 96 x, max(l_quantity) / 50.0::DOUBLE v, max(l_quantity) > 30 AS "on" FROM lineitem GROUP BY 1, 2, 3)"""
+PIXEL_SQL = f"""px AS (SELECT CAST(l_orderkey // {SCENE_ORDERS} AS BIGINT) scene_id, l_partkey % 64 y, (l_orderkey * 7 + l_linenumber * 13) % 96 x, max(l_quantity) / 50.0::DOUBLE v, max(l_quantity) > 30 AS "on" FROM lineitem GROUP BY 1, 2, 3)"""
 HEIGHT, WIDTH = 64, 96
 
 

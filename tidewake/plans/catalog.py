@@ -580,7 +580,7 @@ def drift_kde_grid(spark, d):
 @query(
     f"WITH RECURSIVE {AIS_SQL}, p AS (SELECT DISTINCT mmsi, lat y, lon x FROM ais), s AS (SELECT mmsi, min_by(y, (x, y)) y, min(x) x, count(*) n FROM p GROUP BY mmsi), "
     "e AS (SELECT a.mmsi, a.y ay, a.x ax, b.y AS by_, b.x bx, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) far FROM p a JOIN p b ON a.mmsi = b.mmsi AND (a.y, a.x) <> (b.y, b.x) "
-    "WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.mmsi = a.mmsi AND (c.y, c.x) <> (a.y, a.x) AND (c.y, c.x) <> (b.y, b.x) AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)), "
+    "WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.mmsi = a.mmsi AND (c.y, c.x) <> (a.y, a.x) AND (c.y, c.x) <> (b.y, b.x) AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-12)), "
     "o AS (SELECT mmsi, ay, ax, max_by(by_, far) ny, max_by(bx, far) nx FROM e GROUP BY mmsi, ay, ax), "
     "w AS (SELECT mmsi, 0::BIGINT seq, y lat, x lon FROM s UNION ALL SELECT w.mmsi, seq + 1, ny, nx FROM w JOIN o ON o.mmsi = w.mmsi AND ay = lat AND ax = lon JOIN s ON s.mmsi = w.mmsi WHERE seq = 0 OR (lat, lon) <> (s.y, s.x)) "
     "SELECT mmsi, seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM w"
