@@ -25,26 +25,34 @@ def signatures(text: Column) -> Column:
     """The sorted distinct signatures of a text as array<bigint>.
 
     Words are runs of letters and digits, lower-cased.  Each run of anchors followed by two content words (anchors
-    between them are passed over) gives one signature, a hash of the three below 2**32.  A text without any gets one
-    negative signature of all its words, so that it equals its like and nothing else.
+    between them are passed over) gives one signature, a 64-bit hash of the three.  In a text without any, every word is an
+    anchor: it has a signature for each three words in a row, so that its near copies are still like it; one of under
+    three words has one of all its words.
     """
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     # "on the cat sat " -> "on the cat", "sat": each content word behind the anchors before it
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.concat(w, F.lit(" "))).otherwise(F.concat(w, F.lit("|")))), "")
     spots = F.split(marked, r"\|")
     later = F.slice(F.transform(spots, lambda s: F.substring_index(s, " ", -1)), F.lit(2), F.size(spots))
-    chain = F.zip_with(spots, later, lambda s, c: F.when((F.instr(s, " ") > 0) & (F.substring_index(s, " ", -1) != "") & (c != ""), F.xxhash64(s, c).bitwiseAND(F.lit(0xFFFFFFFF))))
+    chain = F.zip_with(spots, later, lambda s, c: F.when((F.instr(s, " ") > 0) & (F.substring_index(s, " ", -1) != "") & (c != ""), F.xxhash64(s, c)))
     found = F.array_sort(F.array_distinct(F.filter(chain, lambda x: x.isNotNull())))
-    whole = F.array(-1 - F.xxhash64(F.array_join(words, " ")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    own = F.filter(words, lambda w: w != "")
+    threes = F.transform(F.sequence(F.lit(1), F.size(own) - 2), lambda i: F.xxhash64(F.get(own, i - 1), F.get(own, i), F.get(own, i + 1)))
+    whole = F.when(F.size(own) < 3, F.array(F.xxhash64(F.array_join(own, " ")))).otherwise(F.array_sort(F.array_distinct(threes)))
     return F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(whole))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard of two signature sets; sets whose sizes are apart by no overlap at all short-cut to 0."""
+    """Jaccard of two signature sets, 0 to 1."""
     both = F.size(F.array_intersect(a, b)).cast("double")
     return F.when(a == b, F.lit(1.0)).when(F.arrays_overlap(a, b), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
+def within_length(an: Column, bn: Column, threshold: float) -> Column:
+    """Whether sets of these sizes can be as like as ``threshold`` at all: no Jaccard is above the shorter by the longer."""
+    return F.least(an, bn) >= F.greatest(an, bn) * threshold - 1e-9
+
+
 def as_text(sigs: Column) -> Column:
     return F.array_join(sigs.cast("array<string>"), ",")
 
@@ -76,7 +84,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     * NULL text is empty.  A table of one document is its own next.
     * NULL doc_id comes after all others; the rows without one are taken as one document.
     * Rows that repeat a doc_id each give a row; the next document is then the row whose text sorts last.
-    * Empty table: no rows.  Other columns are ignored.
+    * Empty table: no rows.  Other columns are ignored.  Very long texts are fingerprinted whole.
 
     Only doc_ids are ordered.  Texts move once, to their doc_id's task; what a document gives to the one before it is
     its signatures and the third that is pasted.
@@ -124,7 +132,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     heads = ranks.join(lone, "id").where(F.col("rank") + F.col("lone") <= cut).select("id", "n", "sig", part.alias("part"))
     left = heads.select(F.col("id").alias("a"), F.col("n").alias("an"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     right = heads.select(F.col("id").alias("b"), F.col("n").alias("bn"), "sig", "part")
-    near = (F.col("bn") * threshold <= F.col("an") + 1e-9) & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b"))))
+    near = within_length(F.col("an"), F.col("bn"), threshold) & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b"))))
     met = left.join(right, ["sig", "part"]).where(near).select("a", "b").distinct()
     full = met.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b")
     pairs = full.withColumn("jaccard", likeness(F.col("x"), F.col("y"))).where(F.col("jaccard") >= threshold)
