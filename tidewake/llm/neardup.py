@@ -19,6 +19,8 @@ SAMPLE = 8192
 SUBSPACE, CODES, MOST_LISTS, BLOCK = 4, 256, 1024, 4096
 #: Queries and members of two blocks that are compared at a time.
 _QUERIES, _MEMBERS = 512, 1024
+#: Bytes of candidates' vectors that are gathered at a time for their cosines.
+_RERANK_BYTES = 64_000_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -123,9 +125,11 @@ def _found(index: Index, a: dict, b: dict, same: bool, threshold: float):
             r, c = mine[r], members[c]
             if same:
                 r, c = r[r < c], c[r < c]
-            if len(r):
-                hit = np.einsum("ij,ij->i", xa[r], xb[c]) >= threshold
-                yield r[hit], c[hit]
+            step = max(1, _RERANK_BYTES // (16 * xa.shape[1]))
+            for k in range(0, len(r), step):
+                some, others = r[k : k + step], c[k : k + step]
+                hit = np.einsum("ij,ij->i", xa[some], xb[others]) >= threshold
+                yield some[hit], others[hit]
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
