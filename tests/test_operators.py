@@ -205,3 +205,31 @@ def test_newest_first_places(spark):
     got = {r.id: r.place for r in investigation.newest_first(spark.createDataFrame(rows, "id long, at timestamp"), "at", "id").collect()}
     order = sorted(rows, key=lambda r: (r[1] is None, -(r[1].timestamp() if r[1] else 0), r[0]))
     assert got == {i: k for k, (i, _) in enumerate(order, 1)}
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from tidewake import scratch
+
+    rows = scratch.saved(spark.range(3), "x")
+    folder = f"{scratch.shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}"
+    assert rows.count() == 3 and os.path.isdir(folder)
+    scratch.clear(spark)
+    assert not os.path.exists(folder) and scratch.saved(spark.range(2), "x").count() == 2
+
+
+def test_outlines_have_holes_and_keep_corners_apart(spark):
+    from tidewake.operators import raster
+
+    rows = [(0, y, x) for y in range(1, 6) for x in range(1, 6) if not (2 <= y <= 3 and x == 3) and (y, x) != (4, 4)] + [(0, 6, 6), (1, 0, 0)]
+    got = {(r.scene_id, r.component): [[(p.lon, p.lat) for p in ring] for ring in r.rings] for r in raster.outlines(spark.createDataFrame(rows, "scene_id long, y long, x long"), 10, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)).collect()}
+    assert got[(1, 1 << 40)] == [[(1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0), (1.0, 0.0)]]
+    assert got[(0, 66)] == [[(7.0, 6.0), (7.0, 7.0), (6.0, 7.0), (6.0, 6.0), (7.0, 6.0)]]
+    outer, *holes = got[(0, 11)]
+
+    def area(ring):  # positive if the region is on the right hand, rows downwards
+        return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:])) / 2
+
+    assert area(outer) == 25.0 and sorted(map(area, holes)) == [-3.0]  # two holes that meet in a corner have one ring
+    assert all(r[0] == r[-1] and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(r, r[1:])) for r in [outer, *holes])

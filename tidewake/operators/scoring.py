@@ -102,7 +102,11 @@ def report(claims_: DataFrame) -> DataFrame:
     return claims_.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("n", "claim", "evidence_ids", "confidence"))).alias("claims"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids")).withColumn("disclaimer", F.lit(DISCLAIMER))
 
 
-def geojson(features_: DataFrame, ring: Column, *properties: str) -> DataFrame:
-    """One GeoJSON Feature per row; a FeatureCollection is their concatenation, written by any text sink."""
-    coordinates = F.array(F.transform(ring, lambda p: F.array(p["lon"], p["lat"])))
+def geojson(features_: DataFrame, ring: Column, *properties: str, many: bool = False) -> DataFrame:
+    """One GeoJSON Feature per row; a FeatureCollection is their concatenation, written by any text sink.
+
+    ``ring`` is a closed ring of (lon, lat) structs, or with ``many`` an array of them, the outer one first.
+    """
+    line = lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"]))
+    coordinates = F.transform(ring, line) if many else F.array(line(ring))
     return features_.select(*properties, F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))

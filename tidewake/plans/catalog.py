@@ -493,6 +493,24 @@ def mask_polygons(spark, d):
     return out.select("scene_id", "component", "pixels", *[_r(c) for c in out.columns[3:]])
 
 
+_RINGS = f"""{PIXEL_SQL}, set_px AS (SELECT * FROM px WHERE v > 8e-1), {_labelled_sql("lab", "set_px")}, pl AS (SELECT l.*, n.id FROM lab l JOIN lab_n n USING (scene_id, y, x)),
+way(d, fy, fx, oy, ox, ey, ex) AS (VALUES (0, 0, 1, -1, 0, 0, 1), (1, 1, 0, 0, 1, 1, 1), (2, 0, -1, 1, 0, 1, 0), (3, -1, 0, 0, -1, 0, 0)),
+ed AS (SELECT p.scene_id, p.component, d, p.id * 4 + d e, CASE WHEN f.id IS NULL THEN p.id * 4 + (d + 1) % 4 WHEN g.id IS NULL THEN f.id * 4 + d ELSE g.id * 4 + (d + 3) % 4 END nx, p.y + ey cy, p.x + ex cx
+FROM pl p CROSS JOIN way LEFT JOIN pl o ON o.scene_id = p.scene_id AND o.y = p.y + oy AND o.x = p.x + ox LEFT JOIN pl f ON f.scene_id = p.scene_id AND f.y = p.y + fy AND f.x = p.x + fx LEFT JOIN pl g ON g.scene_id = p.scene_id AND g.y = p.y + fy + oy AND g.x = p.x + fx + ox WHERE o.id IS NULL),
+wk AS (SELECT e AS ring, e, nx, 0::BIGINT seq FROM ed WHERE e < nx UNION ALL SELECT ring, ed.e, ed.nx, seq + 1 FROM wk JOIN ed ON ed.e = wk.nx WHERE ed.e > ring),
+whole AS (SELECT scene_id, component, ring, seq, cx, cy FROM wk JOIN ed USING (e) WHERE ring IN (SELECT ring FROM wk WHERE nx = ring) AND ed.e % 4 <> ed.nx % 4),
+numbered AS (SELECT scene_id, component, dense_rank() OVER (PARTITION BY scene_id, component ORDER BY ring) - 1 AS ring, row_number() OVER (PARTITION BY ring ORDER BY seq) - 1 AS point, cx, cy, count(*) OVER (PARTITION BY ring) n FROM whole)"""
+
+
+@query(f"WITH RECURSIVE {_RINGS} SELECT scene_id, component, ring::INT AS ring, point::INT AS point, round(1e2 * cx, 6) AS lon, round(-1e2 * cy, 6) AS lat FROM numbered UNION ALL SELECT scene_id, component, ring::INT, n::INT, round(1e2 * cx, 6), round(-1e2 * cy, 6) FROM numbered WHERE point = 0")
+def slick_rings(spark, d):
+    """Outlines of bright pixels, as a reader of their GeoJSON sees them, a row per point."""
+    out = raster.outlines(pixels(spark, d).where("v > 0.8"), WIDTH, (100.0, 0.0, 0.0, 0.0, -100.0, 0.0))
+    read = scoring.geojson(out, F.col("rings"), "scene_id", "component", many=True).withColumn("f", F.from_json("feature", "struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>>"))
+    rings = read.where("f.geometry.type = 'Polygon'").select("scene_id", "component", F.posexplode("f.geometry.coordinates").alias("ring", "line"))
+    return rings.select("scene_id", "component", "ring", F.posexplode("line").alias("point", "at")).select("scene_id", "component", "ring", "point", F.round(F.col("at")[0], 6).alias("lon"), F.round(F.col("at")[1], 6).alias("lat"))
+
+
 def _degrees_sql() -> str:
     """Per row of pixels, and per pixel, the area and the sides' lengths on the ellipsoid."""
     sides = {"top": ("hi", "0", "hi", "1e-3"), "bottom": ("lo", "0", "lo", "1e-3"), "side": ("lo", "0", "hi", "0")}

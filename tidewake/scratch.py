@@ -22,13 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of our own in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts lineage, and is not recomputed."""
-    path = f"{shared_dir(df.sparkSession)}/tidewake/{uuid.uuid4().hex}/{name}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has left in the shared folder; DataFrames that read them are void then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows that are broadcast at most on our word.
 SMALL = 10_000
 
