@@ -233,3 +233,13 @@ def test_outlines_have_holes_and_keep_corners_apart(spark):
 
     assert area(outer) == 25.0 and sorted(map(area, holes)) == [-3.0]  # two holes that meet in a corner have one ring
     assert all(r[0] == r[-1] and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(r, r[1:])) for r in [outer, *holes])
+
+
+def test_region_polygons_fall_back_to_hulls(spark):
+    from tidewake.operators import drift
+
+    rows = [(1, 10.0 + i % 7 / 10, 20.0 + i % 5 / 10) for i in range(40)] + [(2, 5.0, 6.0), (3, 1.0, 1.0), (3, 2.0, 2.0), (3, 3.0, 3.0)]
+    got = {(r.g, r.part): [[(p.lon, p.lat) for p in ring] for ring in r.rings] for r in drift.region_polygons(spark.createDataFrame(rows, "g long, lat double, lon double"), "g", 20).collect()}
+    assert {g for g, _ in got} == {1, 2, 3} and all(ring[0] == ring[-1] for rings in got.values() for ring in rings)
+    assert any(min(x for x, _ in rings[0]) < 20.2 < max(x for x, _ in rings[0]) for (g, _), rings in got.items() if g == 1)
+    assert len(got[(2, 0)][0]) == 5

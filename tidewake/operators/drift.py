@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo
 from tidewake.operators import drift_steps as steps
+from tidewake.operators import raster
+from tidewake.scratch import saved
 
 # Ranges from which members draw their coefficients.
 RANGES = {"current": (0.8, 1.2), "wind": (0.02, 0.04), "diffusion": (5.0, 20.0)}
@@ -127,6 +129,25 @@ def density_region(grid: DataFrame, by: str, share: float = 0.5) -> DataFrame:
     return grid.withColumn("top", F.max("density").over(w)).where(F.col("density") >= share * F.col("top")).drop("top")
 
 
+def region_polygons(particles: DataFrame, by: str, cells: int = 50, share: float = 0.5) -> DataFrame:
+    """``(by, part, rings)``: regions of origin as polygons, closed rings of (lon, lat) structs, the outer one first.
+
+    A region is all grid cells around nodes of ``density_region``; parts that don't touch are numbered from 0.  Groups without
+    a density (under two particles, or all on a line) get their hull.  ``by`` is a number.
+    """
+    grid = saved(kde_grid(particles, by, cells), "density")
+    nodes = density_region(grid, by, share).select(F.col(by).alias("scene_id"), F.col("gy").cast("long").alias("y"), F.col("gx").cast("long").alias("x"))
+    shapes = raster.outlines(nodes, cells, (1.0, 0.0, -0.5, 0.0, 1.0, -0.5)).withColumnRenamed("scene_id", by)
+    axis = lambda c: [F.min(c).alias(f"{c}0"), ((F.max(c) - F.min(c)) / (cells - 1)).alias(f"{c}1")]
+    placed = shapes.join(grid.groupBy(by).agg(*axis("lat"), *axis("lon")), by)
+    at = lambda p: F.struct((F.col("lon0") + p["lon"] * F.col("lon1")).alias("lon"), (F.col("lat0") + p["lat"] * F.col("lat1")).alias("lat"))
+    part = (F.row_number().over(Window.partitionBy(by).orderBy("component")) - 1).cast("int").alias("part")
+    regions = placed.select(by, part, F.transform("rings", lambda ring: F.transform(ring, at)).alias("rings"))
+    others = hulls(particles.join(grid.select(by).distinct(), by, "left_anti"), by)
+    lines = others.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))).alias("h"))
+    return regions.unionByName(lines.select(by, F.lit(0).alias("part"), F.array(F.transform("h", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))).alias("rings")))
+
+
 def hulls(particles: DataFrame, by: str, buffer: float = 0.01) -> DataFrame:
     """``(by, seq, lat, lon)``: the closed convex hull of each group, a small box if it has no area.
 

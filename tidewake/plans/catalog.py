@@ -493,7 +493,7 @@ def mask_polygons(spark, d):
     return out.select("scene_id", "component", "pixels", *[_r(c) for c in out.columns[3:]])
 
 
-_RINGS = f"""{PIXEL_SQL}, set_px AS (SELECT * FROM px WHERE v > 8e-1), {_labelled_sql("lab", "set_px")}, pl AS (SELECT l.*, n.id FROM lab l JOIN lab_n n USING (scene_id, y, x)),
+_TRACED = f"""{_labelled_sql("lab", "set_px")}, pl AS (SELECT l.*, n.id FROM lab l JOIN lab_n n USING (scene_id, y, x)),
 way(d, fy, fx, oy, ox, ey, ex) AS (VALUES (0, 0, 1, -1, 0, 0, 1), (1, 1, 0, 0, 1, 1, 1), (2, 0, -1, 1, 0, 1, 0), (3, -1, 0, 0, -1, 0, 0)),
 ed AS (SELECT p.scene_id, p.component, d, p.id * 4 + d e, CASE WHEN f.id IS NULL THEN p.id * 4 + (d + 1) % 4 WHEN g.id IS NULL THEN f.id * 4 + d ELSE g.id * 4 + (d + 3) % 4 END nx, p.y + ey cy, p.x + ex cx
 FROM pl p CROSS JOIN way LEFT JOIN pl o ON o.scene_id = p.scene_id AND o.y = p.y + oy AND o.x = p.x + ox LEFT JOIN pl f ON f.scene_id = p.scene_id AND f.y = p.y + fy AND f.x = p.x + fx LEFT JOIN pl g ON g.scene_id = p.scene_id AND g.y = p.y + fy + oy AND g.x = p.x + fx + ox WHERE o.id IS NULL),
@@ -502,6 +502,9 @@ whole AS (SELECT scene_id, component, ring, seq, cx, cy FROM wk JOIN ed USING (e
 numbered AS (SELECT scene_id, component, dense_rank() OVER (PARTITION BY scene_id, component ORDER BY ring) - 1 AS ring, row_number() OVER (PARTITION BY ring ORDER BY seq) - 1 AS point, cx, cy, count(*) OVER (PARTITION BY ring) n FROM whole)"""
 
 
+_RINGS = f"{PIXEL_SQL}, set_px AS (SELECT * FROM px WHERE v > 8e-1), {_TRACED}"
+
+
 @query(f"WITH RECURSIVE {_RINGS} SELECT scene_id, component, ring::INT AS ring, point::INT AS point, round(1e2 * cx, 6) AS lon, round(-1e2 * cy, 6) AS lat FROM numbered UNION ALL SELECT scene_id, component, ring::INT, n::INT, round(1e2 * cx, 6), round(-1e2 * cy, 6) FROM numbered WHERE point = 0")
 def slick_rings(spark, d):
     """Outlines of bright pixels, as a reader of their GeoJSON sees them, a row per point."""
@@ -613,6 +616,18 @@ def drift_region(spark, d):
     return drift.density_region(drift.kde_grid(p, "g", 50), "g").select("g", "gy", "gx", _r("lat"), _r("lon"), _r("density", 4))
 
 
+_REGION_RINGS = f"""{_kde_sql(49)}, set_px AS (SELECT g AS scene_id, gy AS y, gx AS x FROM dens QUALIFY density >= 5e-1 * max(density) OVER (PARTITION BY g)), {_TRACED},
+place AS (SELECT g, min(qy) y0, (max(qy) - min(qy)) / 49 y1, min(qx) x0, (max(qx) - min(qx)) / 49 x1 FROM dens GROUP BY g),
+made AS (SELECT scene_id g, dense_rank() OVER (PARTITION BY scene_id ORDER BY component) - 1 AS part, ring, point, n, x0 + (cx - 5e-1) * x1 lon, y0 + (cy - 5e-1) * y1 lat FROM numbered JOIN place ON g = scene_id)"""
+
+
+@query(f"WITH RECURSIVE {_REGION_RINGS} SELECT g, part::INT AS part, ring::INT AS ring, point::INT AS point, round(lon, 6) AS lon, round(lat, 6) AS lat FROM made UNION ALL SELECT g, part::INT, ring::INT, n::INT, round(lon, 6), round(lat, 6) FROM made WHERE point = 0")
+def drift_region_rings(spark, d):
+    p = ais(spark, d).select((F.col("mmsi").cast("long") % 5).alias("g"), "lat", "lon")
+    rings = drift.region_polygons(p, "g").select("g", "part", F.posexplode("rings").alias("ring", "line"))
+    return rings.select("g", "part", "ring", F.posexplode("line").alias("point", "at")).select("g", "part", "ring", "point", F.round("at.lon", 6).alias("lon"), F.round("at.lat", 6).alias("lat"))
+
+
 _FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<c_custkey:bigint>>"
 
 
