@@ -57,7 +57,7 @@ def test_whole_table_equals_sql(spark):
 
 
 def one(n, **changes):
-    return warc.record(*({"page_id": 1, "url": "u", "digest": hashlib.sha1(b"x" * n).hexdigest(), "size": n, "refers_to": None, "row": 0, "part": 0, "chunk": b"x" * n} | changes).values())
+    return warc.record(*({"page_id": 1, "url": b"u", "digest": hashlib.sha1(b"x" * n).hexdigest(), "size": n, "refers_to": None, "row": 0, "part": 0, "chunk": b"x" * n} | changes).values())
 
 
 def test_damage_is_an_error(spark, tmp_path):
@@ -77,7 +77,7 @@ def test_damage_is_an_error(spark, tmp_path):
 
 
 def test_bytes_that_are_no_utf8_come_back(spark, tmp_path):
-    pages = spark.sql("SELECT 1L page_id, 'u' url, cast(x'ff00fec3' AS string) html UNION ALL SELECT 2L, 'v', repeat(cast(x'80c3' AS string), 700)")
+    pages = spark.sql("SELECT 1L page_id, cast(x'68ff2f' AS string) url, cast(x'ff00fec3' AS string) html UNION ALL SELECT 2L, 'v', repeat(cast(x'80c3' AS string), 700)")
     got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(pages, str(tmp_path / "w"), segment=256).collect()}
     assert got == {i: (len(b), hashlib.sha1(b).hexdigest()) for i, b in ((1, b"\xff\x00\xfe\xc3"), (2, b"\x80\xc3" * 700))}
 

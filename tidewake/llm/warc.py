@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import salted_left_join
-from tidewake.scratch import saved, shared_dir
+from tidewake.scratch import fresh, saved
 
 #: Most payload bytes in one record; larger payloads continue in further records (segments).
 SEGMENT = 256 * 1024
@@ -42,13 +41,14 @@ def classified(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 def _record(headers: dict, block: bytes) -> bytes:
     lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items() if v is not None)
-    return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+    return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
 
 def record(page_id, url, digest, size, refers_to, row, part, chunk: bytes, segment: int = SEGMENT) -> bytes:
     """The WARC record of one chunk (from 0) of a page's payload, or of a revisit."""
     name = f"urn:x-page:{'null' if page_id is None else page_id}:{row}"
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or name
+    url = (url or b"").decode("utf-8", "surrogateescape")  # bytes that are no UTF-8 stay as they are
+    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) or name
     common = {"WARC-Target-URI": uri, "WARC-Date": DATE, "WARC-Payload-Digest": f"sha1:{digest}"}
     if refers_to is not None:
         return _record({"WARC-Type": "revisit", "WARC-Record-ID": f"<{name}>", **common, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:x-page:{refers_to}>", "X-Payload-Length": size}, b"")
@@ -86,7 +86,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     rows = classified(pages).withColumn("row", F.monotonically_increasing_id()).withColumn("body", F.col("html").cast("binary"))
     last = F.when(F.col("body").isNull() | (F.col("bytes") == 0), 0).otherwise(F.floor((F.col("bytes") - 1) / F.lit(segment))).cast("int")
     chunk = F.substring(F.col("body"), F.col("part") * segment + 1, F.lit(segment))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("page_id", "url", "digest", "bytes", "refers_to", "row", "part", chunk.alias("chunk"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("page_id", F.col("url").cast("binary"), "digest", "bytes", "refers_to", "row", "part", chunk.alias("chunk"))
     rows.mapInArrow(lots, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_LOTS).text(path)
 
 
@@ -134,7 +134,7 @@ def parse(packed):
     """Rows of one archive: a whole record is digested as it streams by; a segment is a chunk row of its payload."""
     stream = _Stream(packed)
     while (head := stream.head()) is not None:
-        first, *lines = head.decode("utf-8", "surrogatepass").strip().split("\r\n")
+        first, *lines = head.decode("utf-8", "surrogateescape").strip().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
         h = dict(line.split(": ", 1) for line in lines)
@@ -237,7 +237,7 @@ def round_trip(pages: DataFrame, path: str | None = None, segment: int = SEGMENT
     * Rows that repeat a page_id each give a record; those with the largest page_id of a payload are all responses.
     * Empty table: no rows.  Other columns are ignored.
     """
-    path = path or f"{shared_dir(pages.sparkSession)}/tidewake/{uuid.uuid4().hex}/warc"
+    path = path or fresh(pages.sparkSession, "warc")
     write(pages, path, segment)
     return read(pages.sparkSession, path)
 
