@@ -139,11 +139,11 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1, max_docs: int = MAX
     return predict(docs, model).select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """The rows of ``docs`` whose text has a language with score ``least`` or more; all columns stay.
 
-    Rejected are texts that are NULL or have no letter (``und``), and texts that no language explains better than
-    the rest and no language at all together, such as other scripts.  A table without a labelled row rejects ``und`` texts only.
+    Rejected are texts that are NULL or have no letter (``und``), and texts that are better explained by no language than by any,
+    such as other scripts; texts in several languages or with few words among numbers stay.  A table without a labelled row rejects ``und`` texts only.
     """
     model = train(docs.where(crc_fold(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
     if not model["langs"]:
