@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, langid, licences, lm, mixing, neardup, simhash, spotsigs, urls, warc
+from tidewake.llm import audit, bpe, langid, licences, lm, mixing, neardup, packing, runs, simhash, spotsigs, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), ids=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.judged(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_planted(_table(spark, sf_dir, "documents"))
+    return runs.digests(runs.find(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_licences, op3_lm_score, op4_bpe, op5_warc, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_licences, op3_lm_score, op4_bpe, op5_warc, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing, op11_packing, op12_filter_audit, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE, "op6_url_filter": urls.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op6_url_filter": urls.ORACLE, "op12_filter_audit": audit.ORACLE}
