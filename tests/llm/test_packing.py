@@ -56,7 +56,6 @@ def test_ids_are_those_of_the_library(library):
     rng, tool = random.Random(3), packing.encoder(packing.TOKENIZER)
     for _ in range(600):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60)))
-        assert " ".join(packing.words(text)) == text
         assert tool.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 

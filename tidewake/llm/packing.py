@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import functools
-import os
-import re
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -21,79 +20,35 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT, END = 2048, 0
 #: Sequences' worth of tokens that one block has, and open bins that it may keep.
 BLOCK, OPEN_BINS = 4096, 8192
-#: Characters of words that a Python worker remembers the ids of.
-CACHE = 6_000_000
-
 # ---- ids
 
 
-#: A space between two characters that are no white space: words on its sides are encoded on their own.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space beyond ASCII, and separators that only Python takes for white space.
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_NEAR = [pair for c in " \t\n\x0b\x0c\r" for pair in (f" {c}", f"{c} ")]
-
-
-def words(text: str) -> list[str]:
-    """``text`` cut at its spaces between two characters that are no white space; " ".join gives it back."""
-    if text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _NEAR) or _WIDE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
-
-
 class Encoder:
-    """Ids of whole texts by a byte-level tokenizer: words are encoded once and remembered, their ids are joined.
-
-    In such a tokenizer a single space belongs to the word behind it, so no token reaches over it.
-    """
+    """Ids of whole texts as the tokenizers library gives them for a byte-level BPE file, by the tiktoken library, which takes a quarter of
+    the time.  The file's vocabulary becomes its ranks; that needs ids in the order of merges, as such files have them."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tool = Tokenizer.from_file(path)
-        self.tool.no_padding()
-        self.tool.no_truncation()
-        size = self.tool.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        if self._ids("ab") + self._ids(" cd") != self._ids("ab cd"):
-            raise ValueError(f"{path} joins words over spaces")
-        lead = (self.tool.id_to_token(self._ids(" cd")[0]) or " ")[0]
-        self.leads = np.array([(self.tool.id_to_token(i) or "").startswith(lead) for i in range(size)])
-        self.seen: dict[str, bytes] = {}
-        self.held = 0
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tool.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: set[str]) -> None:
-        """Encodes words with a space before them, many in one text; the tokens that start with a space tell them apart."""
-        lots = [sorted(new)[i : i + 128] for i in range(0, len(new), 128)]
-        for lot, found in zip(lots, self.tool.encode_batch_fast([" " + " ".join(lot) for lot in lots], add_special_tokens=False)):
-            ids = np.array(found.ids, self.dtype)
-            at = np.flatnonzero(self.leads[ids])
-            if len(at) == len(lot) and at[0] == 0:
-                raw, ends = ids.tobytes(), [*(at[1:] * self.dtype.itemsize).tolist(), len(ids) * self.dtype.itemsize]
-                begins = [0, *ends[:-1]]
-                self.seen.update((w, raw[b:e]) for w, b, e in zip(lot, begins, ends))
-            else:  # white space inside of a word
-                self.seen.update((w, np.array(self._ids(" " + w), self.dtype).tobytes()) for w in lot)
+        import tiktoken
+
+        said = json.load(open(path, encoding="utf-8"))
+        model, cut = said["model"], said["pre_tokenizer"] or {}
+        if said["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges"):
+            raise ValueError(f"{path} is no plain byte-level BPE")
+        vocabulary = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [vocabulary[x + y] for x, y in pairs]
+        if order != sorted(order):
+            raise ValueError(f"{path} has ids that are not in the order of its merges")
+        # bytes that print stand for themselves, the others for the characters from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        special = {t["content"]: t["id"] for t in said["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+        self.special = set(special)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.dtype)
-        first, *rest = words(text)
-        out = [np.array(self._ids(first), self.dtype).tobytes()]
-        try:
-            out.extend(map(self.seen.__getitem__, rest))
-        except KeyError:
-            if self.held > CACHE:
-                self.seen, self.held = {}, 0
-            new = {w for w in rest if w not in self.seen}
-            self.held += sum(map(len, new)) + 8 * len(new)
-            self._learn(new)
-            out[1:] = map(self.seen.__getitem__, rest)
-        return np.frombuffer(b"".join(out), self.dtype)
+        return np.frombuffer(self.core.encode_to_tiktoken_buffer(text, self.special), "<u4")
 
 
 @functools.cache
@@ -161,7 +116,7 @@ def pieces(docs: DataFrame, path: str = TOKENIZER, limit: int = LIMIT, end: int
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.append(tool.encode(text.as_py() or "").astype("<u4"), np.uint32(end)).astype("<u4")
+                got = np.append(tool.encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 at, to = 0, len(got) % limit or limit
                 for k in range(-(-len(got) // limit)):
                     part = got[at:to]
