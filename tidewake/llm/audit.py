@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.scratch import saved
+
 # ---- the transducer
 
 #: What a byte is: white space, a capital, a symbol, any other byte that begins a character, or one that goes on with it.
@@ -259,7 +261,7 @@ def interactions(rows: DataFrame, labels: DataFrame) -> DataFrame:
     * A part without failures has its rows, with zeros.  Empty table: no rows.
     """
     c, whole = F.col, math.factorial(len(FILTERS))
-    every = _cells(rows, labels).select("part", "fails", "good", "toxic", "n", F.inline(_steps(FILTERS)))
+    every = _cells(saved(rows, "judged"), labels).select("part", "fails", "good", "toxic", "n", F.inline(_steps(FILTERS)))
     own, earlier = c("fails").bitwiseAND(c("own")) != 0, c("fails").bitwiseAND(c("earlier")) != 0
     n = lambda when: F.sum(F.when(when, c("n")).otherwise(0)).cast("long")
     share = F.when(own, c("n") * F.floor(whole / F.bit_count("fails"))).otherwise(0)
