@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions import geodesy
-from tidewake.operators.components import components
+from tidewake.operators import blocks
+from tidewake.operators.blocks import labelled
 from tidewake.scratch import saved
 
 KEYS = ("scene_id", "y", "x")
@@ -51,19 +52,6 @@ def closed(mask: DataFrame, height: int, width: int) -> DataFrame:
     return _around(grown).groupBy(*KEYS).agg(F.count("*").alias("n")).where(inside & (F.col("n") == 9)).select(*KEYS)
 
 
-def labelled(mask: DataFrame, width: int) -> DataFrame:
-    """``(scene_id, y, x, component)`` of set pixels, joined by their four neighbours; scenes never join.
-
-    ``scene_id`` is a number; a component is the smallest pixel number in it.
-    """
-    number = (F.col("scene_id").cast("long") * (1 << 40) + F.col("y") * width + F.col("x")).cast("long")
-    at = mask.select(*KEYS, number.alias("id"))
-    right = at.select("scene_id", "y", (F.col("x") - 1).alias("x"), F.col("id").alias("v"))
-    below = at.select("scene_id", (F.col("y") - 1).alias("y"), "x", F.col("id").alias("v"))
-    edges = at.join(right.unionByName(below), list(KEYS)).select(F.col("id").alias("u"), "v")
-    return at.join(components(edges), F.col("id") == F.col("node"), "left").select(*KEYS, F.coalesce("component", "id").alias("component"))
-
-
 def component_sizes(mask: DataFrame, width: int) -> DataFrame:
     return labelled(mask, width).groupBy("scene_id", "component").agg(F.count("*").alias("size"))
 
@@ -108,46 +96,9 @@ def polygons(mask: DataFrame, width: int, affine: tuple[float, float, float, flo
     return rows.groupBy("scene_id", "component").agg(F.count("*").alias("pixels"), F.sum(area).alias("area_km2"), F.sum(outline).alias("perimeter_km"), F.avg("px").alias("cx"), F.avg("py").alias("cy"), F.min("px").alias("min_x"), F.max("px").alias("max_x"), F.min("py").alias("min_y"), F.max("py").alias("max_y"), F.coalesce(F.avg("p"), F.lit(0.5)).alias("confidence"))
 
 
-#: Ways along a pixel's sides with the pixel on the right hand: east on its top, south, west, north; rows grow downwards.
-_AHEAD = ((0, 1), (1, 0), (0, -1), (-1, 0))
-#: Corner of a pixel, as (down, right), at which each way ends.
-_ENDS = ((0, 1), (1, 1), (1, 0), (0, 0))
-
-
-def outlines(mask: DataFrame, width: int, affine: tuple[float, float, float, float, float, float]) -> DataFrame:
-    """``(scene_id, component, rings)`` of set pixels: closed rings of (lon, lat) structs along pixel sides, the outer one first.
-
-    ``affine`` maps corners (x, y) to coordinates.  Rings have their turns only; pixels that touch in a corner alone are apart.
-    Each open side of a pixel knows the side that follows it from its eight neighbours; sides are joined to rings as
-    components, and numbered along a ring by doubling how far each looks ahead, so no task walks a ring.
-    """
-    a, b, c, d, e, f = affine
-    lab = labelled(mask, width).withColumn("id", F.col("scene_id").cast("long") * (1 << 40) + F.col("y") * width + F.col("x"))
-    around = [(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1) if (p, q) != (0, 0)]
-    told = F.explode(F.array(*[F.struct(F.lit(-p).alias("dy"), F.lit(-q).alias("dx"), F.lit(1 << k).alias("bit")) for k, (p, q) in enumerate(around)]))
-    seen = lab.select("scene_id", "y", "x", told.alias("t")).select("scene_id", (F.col("y") + F.col("t.dy")).alias("y"), (F.col("x") + F.col("t.dx")).alias("x"), F.col("t.bit").alias("bit"))
-    near = lab.join(seen.groupBy(*KEYS).agg(F.sum("bit").alias("bits")), list(KEYS), "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
-    has = lambda p, q: F.col("bits").bitwiseAND(F.lit(1 << around.index((p, q)))) != 0
-
-    def side(k: int):
-        (fy, fx), (oy, ox), (ey, ex) = _AHEAD[k], _AHEAD[k - 1], _ENDS[k]
-        moved = lambda p, q, way: (F.col("id") + (p * width + q)) * 4 + way % 4
-        after = F.when(~has(fy, fx), moved(0, 0, k + 1)).when(~has(fy + oy, fx + ox), moved(fy, fx, k)).otherwise(moved(fy + oy, fx + ox, k - 1))
-        return F.when(~has(oy, ox), F.struct(moved(0, 0, k).alias("u"), after.alias("v"), (F.col("y") + ey).alias("cy"), (F.col("x") + ex).alias("cx")))
-
-    sides = near.select("scene_id", "component", F.explode(F.filter(F.array(*[side(k) for k in range(4)]), lambda s: s.isNotNull())).alias("s")).select("scene_id", "component", "s.*")
-    sides = saved(sides, "sides")
-    rings = saved(sides.join(components(sides.select("u", "v")).withColumnRenamed("component", "ring"), F.col("u") == F.col("node")).drop("node"), "rings")
-    ahead = saved(rings.select("u", F.when(F.col("v") != F.col("ring"), F.col("v")).alias("to"), F.lit(1).cast("long").alias("left")), "ahead")
-    while not ahead.where("to is not null").isEmpty():
-        far = ahead.select(F.col("u").alias("to"), F.col("to").alias("then"), F.col("left").alias("more"))
-        ahead = saved(ahead.join(far, "to", "left").select("u", F.col("then").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "ahead")
-    turns = rings.where(F.pmod("u", F.lit(4)) != F.pmod("v", F.lit(4))).join(ahead.select("u", "left"), "u")
-    point = F.struct((-F.col("left")).alias("at"), (a * F.col("cx") + b * F.col("cy") + c).alias("lon"), (d * F.col("cx") + e * F.col("cy") + f).alias("lat"))
-    lines = turns.groupBy("scene_id", "component", "ring").agg(F.sort_array(F.collect_list(point)).alias("line"))
-    lines = lines.withColumn("line", F.transform("line", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))))
-    closed_ = F.concat("line", F.slice("line", 1, 1))
-    return lines.groupBy("scene_id", "component").agg(F.sort_array(F.collect_list(F.struct("ring", closed_.alias("line")))).alias("r")).select("scene_id", "component", F.transform("r", lambda x: x["line"]).alias("rings"))
+def outlines(mask: DataFrame, width: int, affine: tuple[float, float, float, float, float, float], side: int = blocks.SIDE) -> DataFrame:
+    """``(scene_id, component, rings)`` of set pixels; see :func:`tidewake.operators.blocks.outlines`."""
+    return blocks.outlines(labelled(mask, width, side), width, affine, side)
 
 
 def masked_mean(value: Column, mask: Column) -> Column:
@@ -184,16 +135,32 @@ def reprojected(pixels: DataFrame, affine: tuple[float, float, float, float, flo
     return met.groupBy("scene_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
+def levels(pixels: DataFrame, low: float = -25.0, high: float = 5.0, vector: Column | None = None) -> DataFrame:
+    """``(scene_id, y, x, level)``: pixels calibrated, in dB, and normalised to 0 .. 1."""
+    return pixels.select(*KEYS, normalised(to_db(calibrated(F.col("v"), F.lit(None).cast("double") if vector is None else vector)), low, high).alias("level"))
+
+
+def measured(whole: DataFrame, height: int, width: int, affine: tuple[float, float, float, float, float, float], min_area_km2: float = 0.001, min_area: int = 50, max_hole: int = 100, degrees: bool = False) -> DataFrame:
+    """Measured slicks of probabilities ``(scene_id, y, x, p)``: set above one half, cleaned, measured."""
+    mask = saved(postprocessed(whole.withColumn("on", F.col("p") > 0.5), height, width, min_area, max_hole), "mask")
+    return polygons(mask, width, affine, whole, degrees).where(F.col("area_km2") >= min_area_km2)
+
+
 def segmented(pixels: DataFrame, height: int, width: int, affine: tuple[float, float, float, float, float, float], scorer: Callable[[Column], Column], tile: int = 512, overlap: int = 32, low: float = -25.0, high: float = 5.0, vector: Column | None = None, min_area_km2: float = 0.001, min_area: int = 50, max_hole: int = 100, degrees: bool = False) -> DataFrame:
     """Measured slicks of scenes ``(scene_id, y, x, v)``: calibrated, in dB, normalised, tiled, scored, stitched, cleaned, measured.
 
-    ``scorer`` makes a probability of a tile's normalised value; a pixel is set above one half.
+    ``scorer`` makes a probability of a pixel's normalised value; :func:`segmented_tiles` takes scorers that see a whole tile.
     """
-    level = normalised(to_db(calibrated(F.col("v"), F.lit(None).cast("double") if vector is None else vector)), low, high)
-    scored = tiles(pixels.select(*KEYS, level.alias("level")), height, width, tile, overlap).withColumn("p", scorer(F.col("level")))
-    whole = saved(stitched(scored, "p"), "stitched")
-    mask = saved(postprocessed(whole.withColumn("on", F.col("p") > 0.5), height, width, min_area, max_hole), "mask")
-    return polygons(mask, width, affine, whole, degrees).where(F.col("area_km2") >= min_area_km2)
+    scored = tiles(levels(pixels, low, high, vector), height, width, tile, overlap).withColumn("p", scorer(F.col("level")))
+    return measured(saved(stitched(scored, "p"), "stitched"), height, width, affine, min_area_km2, min_area, max_hole, degrees)
+
+
+def segmented_tiles(pixels: DataFrame, height: int, width: int, affine: tuple[float, float, float, float, float, float], scorer: blocks.Scorer, tile: int = 512, overlap: int = 32, halo: int = 0, low: float = -25.0, high: float = 5.0, vector: Column | None = None, min_area_km2: float = 0.001, min_area: int = 50, max_hole: int = 100, degrees: bool = False) -> DataFrame:
+    """:func:`segmented` with a scorer of matrices, which sees a tile and its ``halo`` at once (:func:`tidewake.operators.blocks.scored`)."""
+    made = blocks.blocks_of(levels(pixels, low, high, vector), height, width, tile, "level")
+    p = blocks.scored(made, height, width, scorer, tile, overlap, halo)
+    whole = blocks.pixels_of(p, "scene_id", value="p") if overlap == 0 else blocks.stitched(p)
+    return measured(saved(whole, "stitched"), height, width, affine, min_area_km2, min_area, max_hole, degrees)
 
 
 def segmentation_summary(slicks: DataFrame) -> DataFrame:

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, geodesy
 from tidewake.operators import anomalies, drift, drift_steps, evaluation, raster, retrieval, scoring, tracks
 from tidewake.plans import adapters, investigation
 from tidewake.plans.adapters import AIS_SQL, ERROR_SQL, HEIGHT, PIXEL_SQL, SCENARIO_SQL, WIDTH, ais, pixels, table
+from tidewake.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tidewake.sources import ais as reports
 
 ROUTE = [(15.1, 73.1), (15.3, 73.2), (15.45, 73.35)]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def _r(name: str, places: int = 6):
     return F.round(name, places).alias(name)
@@ -714,3 +699,6 @@ sl AS (SELECT scene_id, component, count(*) / 1e2 area, coalesce(avg(p), 5e-1) c
 def segmentation(spark, d):
     slicks = raster.segmented(pixels(spark, d), HEIGHT, WIDTH, (100.0, 0.0, 0.0, 0.0, -100.0, 0.0), lambda level: F.when(level > 0.8, F.lit(0.9)).otherwise(F.lit(0.1)), 32, 8, min_area=5, max_hole=20)
     return raster.segmentation_summary(slicks).select("scene_id", "slicks", _r("area_km2"), _r("confidence"), "level")
+
+
+from tidewake.plans import scenes  # noqa: E402, F401  registers its queries
