@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo
+from tidewake.operators import contours, raster
 from tidewake.operators import drift_steps as steps
-from tidewake.operators import raster
 from tidewake.scratch import saved
 
 # Ranges from which members draw their coefficients.
@@ -143,11 +143,26 @@ def region_polygons(particles: DataFrame, by: str, cells: int = 50, share: float
     at = lambda p: F.struct((F.col("lon0") + p["lon"] * F.col("lon1")).alias("lon"), (F.col("lat0") + p["lat"] * F.col("lat1")).alias("lat"))
     part = (F.row_number().over(Window.partitionBy(by).orderBy("component")) - 1).cast("int").alias("part")
     regions = placed.select(by, part, F.transform("rings", lambda ring: F.transform(ring, at)).alias("rings"))
+    return _with_hulls(regions, particles, grid, by)
+
+
+def _with_hulls(regions: DataFrame, particles: DataFrame, grid: DataFrame, by: str) -> DataFrame:
+    """``regions``, and the hulls of groups that have no density."""
     others = hulls(particles.join(grid.select(by).distinct(), by, "left_anti"), by)
     lines = others.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))).alias("h"))
     return regions.unionByName(lines.select(by, F.lit(0).alias("part"), F.array(F.transform("h", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))).alias("rings")))
 
 
+def region_contours(particles: DataFrame, by: str, cells: int = 50, share: float = 0.5, holes: bool = False) -> DataFrame:
+    """``(by, part, rings)``: regions of origin as polygons between interpolated level lines of the density, the largest part first.
+
+    Without ``holes`` parts are the outermost lines alone, the union of what all lines enclose.  Groups without a density get their hull.
+    """
+    grid = saved(kde_grid(particles, by, cells), "density")
+    lines = contours.polygons(contours.segments(grid, by, cells, share), by)
+    return _with_hulls(lines if holes else contours.union(lines, by), particles, grid, by)
+
+
 def hulls(particles: DataFrame, by: str, buffer: float = 0.01) -> DataFrame:
     """``(by, seq, lat, lon)``: the closed convex hull of each group, a small box if it has no area.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, geodesy
-from tidewake.operators import anomalies, drift, drift_steps, evaluation, raster, retrieval, scoring, tracks
+from tidewake.operators import anomalies, contours, drift, drift_steps, evaluation, raster, retrieval, scoring, tracks
 from tidewake.plans import adapters, investigation
 from tidewake.plans.adapters import AIS_SQL, ERROR_SQL, HEIGHT, PIXEL_SQL, SCENARIO_SQL, WIDTH, ais, pixels, table
 from tidewake.plans.registry import QUERIES, SQL, query  # noqa: F401
@@ -613,6 +613,51 @@ def drift_region_rings(spark, d):
     return rings.select("g", "part", "ring", F.posexplode("line").alias("point", "at")).select("g", "part", "ring", "point", F.round("at.lon", 6).alias("lon"), F.round("at.lat", 6).alias("lat"))
 
 
+def _contour_sql(last: int) -> str:
+    """CTEs that end in ``seg(g, u, v, lat, lon)``, sides between crossings of half the peak; ``edge`` numbers a cell's side by its nodes."""
+    n, high = last + 3, [f"(d{k} >= lv)" for k in range(4)]
+    edge = [f"(((cy + {i + 1}) * {n} + cx + {j + 1}) * 2 + {w})" for i, j, w in ((0, 0, 0), (0, 1, 1), (1, 0, 0), (0, 0, 1))]
+    at = [("cy", f"cx + {'(lv - d0) / (d1 - d0)'}"), ("cy + (lv - d1) / (d2 - d1)", "cx + 1"), ("cy + 1", "cx + (lv - d3) / (d2 - d3)"), ("cy + (lv - d0) / (d3 - d0)", "cx")]
+    each = " UNION ALL ".join(f"SELECT g, {edge[k]} u, CASE WHEN NOT {high[(k + 3) % 4]} THEN {edge[(k + 3) % 4]} WHEN NOT {high[(k + 2) % 4]} THEN {edge[(k + 2) % 4]} ELSE {edge[(k + 1) % 4]} END v, y0 + ({at[k][0]}) * y1 lat, x0 + ({at[k][1]}) * x1 lon FROM cell WHERE {high[k]} AND NOT {high[(k + 1) % 4]}" for k in range(4))
+    corners = ", ".join(f"coalesce(c{k}.density, 0) d{k}" for k in range(4))
+    joins = " ".join(f"LEFT JOIN dens c{k} ON c{k}.g = t.g AND c{k}.gy = cy + {i} AND c{k}.gx = cx + {j}" for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0))))
+    return f"""{_kde_sql(last)}, t AS (SELECT g, 5e-1 * max(density) lv, min(qy) y0, (max(qy) - min(qy)) / {last} y1, min(qx) x0, (max(qx) - min(qx)) / {last} x1 FROM dens GROUP BY g),
+cell AS (SELECT t.*, cy, cx, {corners} FROM t, (SELECT unnest(generate_series(-1, {last})) cy), (SELECT unnest(generate_series(-1, {last})) cx) {joins}), seg AS ({each})"""
+
+
+@query(f"WITH {_contour_sql(49)} SELECT g, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, round(lat, 6) AS lat, round(lon, 6) AS lon FROM seg")
+def drift_contour_segments(spark, d):
+    p = ais(spark, d).select((F.col("mmsi").cast("long") % 5).alias("g"), "lat", "lon")
+    return contours.segments(drift.kde_grid(p, "g", 50), "g", 50).select("g", "u", "v", _r("lat"), _r("lon"))
+
+
+@query(f"WITH {_contour_sql(49)} SELECT a.g, round(sum((a.lon - t.x0) * (b.lat - t.y0) - (b.lon - t.x0) * (a.lat - t.y0)) / 2 / (t.x1 * t.y1), 4) AS cells FROM seg a JOIN seg b ON a.g = b.g AND a.v = b.u JOIN t ON t.g = a.g GROUP BY a.g, t.x1, t.y1")
+def drift_region_contours(spark, d):
+    """What the lines of each region enclose, its holes taken out, in cells of its grid."""
+    p = ais(spark, d).select((F.col("mmsi").cast("long") % 5).alias("g"), "lat", "lon")
+    lines = drift.region_contours(p, "g", holes=True).select("g", F.explode("rings").alias("r"))
+    area = F.expr("aggregate(sequence(1, size(r) - 1), 0D, (s, i) -> s + (r[i - 1].lon - r[0].lon) * (r[i].lat - r[0].lat) - (r[i].lon - r[0].lon) * (r[i - 1].lat - r[0].lat)) / 2")
+    size = p.groupBy("g").agg((1.44 / 49 / 49 * (F.max("lat") - F.min("lat")) * (F.max("lon") - F.min("lon"))).alias("cell"))
+    return lines.groupBy("g").agg(F.sum(area).alias("area")).join(size, "g").select("g", F.round(F.col("area") / F.col("cell"), 4).alias("cells"))
+
+
+@query(
+    "WITH b AS (SELECT c_custkey // 20 g, 73 + 1e-3 * (c_custkey * 7 % 100) x0, 15 + 1e-3 * (c_custkey * 13 % 90) y0, 1e-3 * (10 + c_custkey % 17) w, 1e-3 * (5 + c_custkey % 11) h FROM customer), "
+    "q AS (SELECT g, round(x0, 3) x0, round(x0 + w, 3) x1, round(y0, 3) y0, round(y0 + h, 3) y1 FROM b), "
+    "xs AS (SELECT g, x, lead(x) OVER (PARTITION BY g ORDER BY x) nx FROM (SELECT g, x0 x FROM q UNION SELECT g, x1 FROM q)), ys AS (SELECT g, y, lead(y) OVER (PARTITION BY g ORDER BY y) ny FROM (SELECT g, y0 y FROM q UNION SELECT g, y1 FROM q)) "
+    "SELECT g, round(sum((nx - x) * (ny - y)) * 1000000, 3) AS area FROM xs JOIN ys USING (g) WHERE nx IS NOT NULL AND ny IS NOT NULL AND EXISTS (SELECT 1 FROM q WHERE q.g = xs.g AND x0 <= x AND nx <= x1 AND y0 <= y AND ny <= y1) GROUP BY g"
+)
+def polygon_union(spark, d):
+    """Overlapping boxes of twenty customers each, as polygons without overlap."""
+    k, three = F.col("c_custkey"), lambda c: F.round(c, 3)
+    x0, y0 = 73 + 0.001 * (k * 7 % 100), 15 + 0.001 * (k * 13 % 90)
+    box = table(spark, d, "customer").select(F.floor(k / 20).alias("g"), three(x0).alias("x0"), three(x0 + 0.001 * (10 + k % 17)).alias("x1"), three(y0).alias("y0"), three(y0 + 0.001 * (5 + k % 11)).alias("y1"))
+    ring = F.array(*[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
+    made = contours.union(box.select("g", F.array(ring).alias("rings")), "g").select("g", F.explode("rings").alias("r"))
+    area = F.expr("aggregate(sequence(1, size(r) - 1), 0D, (s, i) -> s + (r[i - 1].lon - r[0].lon) * (r[i].lat - r[0].lat) - (r[i].lon - r[0].lon) * (r[i - 1].lat - r[0].lat)) / 2")
+    return made.groupBy("g").agg(F.round(F.sum(area) * 1_000_000, 3).alias("area"))
+
+
 _FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<c_custkey:bigint>>"
 
 
