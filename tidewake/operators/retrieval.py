@@ -11,6 +11,8 @@ from tidewake.scratch import saved
 
 #: Bytes of query vectors that are broadcast at a time.
 QUERY_BYTES = 64_000_000
+#: Bytes of scores that a task holds of a block of queries, and vectors that it scores at a time.
+SCORE_BYTES, SLICE = 64_000_000, 1024
 
 
 def tokens(text: Column) -> Column:
@@ -55,51 +57,79 @@ def cosine(vectors: DataFrame, query: list[float], k: int | None = None) -> Data
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, id, score)``: the k rows of ``vectors(id, v)`` with the greatest cosine for each of ``queries(id, v)``.
 
-    Ties go by id; NULL and zero vectors, and vectors of another length, are no answers.  Queries are a stated set: blocks of QUERY_BYTES are broadcast, every task
-    keeps k rows of its own per query, and those meet by query.
+    Ties go by id, of any type that has an order; NULL and zero vectors, and vectors of another length than the query, are no answers.  Queries are a
+    stated set: blocks of them, bounded in bytes and so that their scores against SLICE vectors are, are broadcast in turn; every task keeps k rows of its own
+    per query, and those meet by query.
     """
-    dim = queries.agg(F.max(F.size("v"))).first()[0] or 0
-    blocks = -(-queries.count() * max(1, dim) * 8 // QUERY_BYTES)
+    size, n = queries.agg(F.max(F.size("v")), F.count("*")).first()
+    blocks = max(1, -(-n // max(1, min(QUERY_BYTES // (8 * max(1, size or 1)), SCORE_BYTES // (8 * (k + SLICE))))))
+    ordered = vectors.select("id", "v").where("id is not null and v is not null").sortWithinPartitions("id")
     out = None
-    for block in range(max(1, blocks)):
-        part = queries.where((F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == block) & (F.size("v") == dim)).orderBy("id").toArrow()
-        mine = _nearest_block(vectors, part, dim, k)
+    for block in range(blocks):
+        part = queries.select("id", "v").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        mine = _nearest_block(ordered, part, k)
         out = mine if out is None else out.unionByName(mine)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
-
-
-def _nearest_block(vectors: DataFrame, part: pa.Table, dim: int, k: int) -> DataFrame:
-    def units(column) -> tuple[np.ndarray, np.ndarray]:
-        """(unit vectors, which rows they are of)."""
-        rows = column.to_pylist()
-        fit = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and None not in v]
-        x = np.array([rows[i] for i in fit], np.float64).reshape(len(fit), dim)
-        size = np.sqrt((x * x).sum(1))
-        fine = np.isfinite(size) & (size > 0)
-        return x[fine] / size[fine, None], np.array(fit, int)[fine]
-
-    q, at = units(part.column("v"))
-    shared = vectors.sparkSession.sparkContext.broadcast((q, np.array(part.column("id").to_pylist(), object)[at] if len(at) else np.zeros(0, object)))
-    kinds = [vectors.schema["id"].dataType.simpleString()]
+    place = "__tw_place"
+    return out.withColumn(place, F.row_number().over(best)).where(F.col(place) <= k).drop(place)
+
+
+def _units(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: (unit vectors, which rows they are of); vectors with NULLs, without a finite length or of length 0 are left out."""
+    rows, by = column.to_pylist(), {}
+    for i, v in enumerate(rows):
+        if v and None not in v:
+            by.setdefault(len(v), []).append(i)
+    out = {}
+    for dim, at in by.items():
+        x = np.array([rows[i] for i in at], np.float64)
+        length = np.sqrt((x * x).sum(1))
+        fine = np.isfinite(length) & (length > 0)
+        out[dim] = x[fine] / length[fine, None], np.array(at)[fine]
+    return out
+
+
+class _Best:
+    """The k best of each of some queries so far.  Vectors come in the order of their ids, so of equal scores the first stays."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries, k
+        self.score, self.names = np.full((len(queries), k), -np.inf), np.full((len(queries), k), None, object)
+
+    def add(self, x: np.ndarray, names: np.ndarray) -> None:
+        s = np.round(self.q @ x.T, 12)  # so that vectors of one direction tie
+        better = s > self.score[:, -1:]
+        rows, columns = np.flatnonzero(better.any(1)), np.flatnonzero(better.any(0))
+        if not len(rows):
+            return
+        both = np.concatenate([self.score[rows], s[np.ix_(rows, columns)]], axis=1)
+        order = np.argsort(-both, axis=1, kind="stable")[:, : self.k]
+        named = np.concatenate([self.names[rows], np.broadcast_to(names[columns], (len(rows), len(columns)))], axis=1)
+        self.score[rows], self.names[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+
+
+def _nearest_block(vectors: DataFrame, part: pa.Table, k: int) -> DataFrame:
+    ids = np.array([*part.column("id").to_pylist(), None], object)[:-1]
+    shared = vectors.sparkSession.sparkContext.broadcast({dim: (q, ids[at]) for dim, (q, at) in _units(part.column("v")).items()})
+    of, kind = part.schema.field("id").type, vectors.schema["id"].dataType.simpleString()
 
     def scan(batches):
-        q, ids = shared.value
-        score, found, kind = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64), None
+        best = {dim: _Best(q, k) for dim, (q, _) in shared.value.items()}
+        own = None
         for batch in batches:
-            kind = batch.schema.field(0).type
-            x, rows = units(batch.column(1))
-            own = np.array(batch.column(0).to_pylist(), object)[rows].astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-            for i in range(0, len(x), 4096):
-                both = np.concatenate([score, q @ x[i : i + 4096].T], axis=1)
-                named = np.concatenate([found, np.broadcast_to(own[i : i + 4096], (len(q), len(own[i : i + 4096])))], axis=1)
-                order = np.lexsort((named, -both))[:, :k]
-                score, found = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
-        if kind is not None and score.size:
-            width = score.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width).tolist(), kind), pa.array(found.ravel(), pa.int64()).cast(kind), pa.array(score.ravel())], ["query_id", "id", "score"])
-
-    return vectors.select("id", "v").mapInArrow(scan, f"query_id {kinds[0]}, id {kinds[0]}, score double")
+            own = batch.schema.field(0).type
+            names = np.array([*batch.column(0).to_pylist(), None], object)[:-1]
+            for dim, (x, rows) in _units(batch.column(1)).items():
+                for i in range(0, len(x) if dim in best else 0, SLICE):
+                    best[dim].add(x[i : i + SLICE], names[rows[i : i + SLICE]])
+        for dim, b in best.items():
+            asked, place = np.nonzero(np.isfinite(b.score))
+            for i in range(0, len(asked), 1 << 16):
+                r, c = asked[i : i + (1 << 16)], place[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[dim][1][r].tolist(), of), pa.array(b.names[r, c].tolist(), own), pa.array(b.score[r, c])], ["query_id", "id", "score"])
+
+    asked = {"int64": "bigint", "int32": "int", "string": "string"}.get(str(of), kind)
+    return vectors.mapInArrow(scan, f"query_id {asked}, id {kind}, score double")
 
 
 def fused(*rankings: DataFrame, k: int, c: int = 60) -> DataFrame:

@@ -2,6 +2,9 @@
 
 Points need ``mmsi, us`` (epoch microseconds), ``lat, lon`` and optionally ``sog, cog, heading``; ``ord`` breaks ties.  Tracks stay
 implicit: all windows here share one partitioning and order, so Spark shuffles and sorts once for a chain of them.
+
+A window over a vessel is one task.  Where one vessel may hold much of a table, ``chunk_hours`` cuts tracks into stretches of time: windows
+run over (vessel, stretch), and what crosses an edge is carried by a window over one summary row per stretch.  Results are the same.
 """
 
 from __future__ import annotations
@@ -18,24 +21,86 @@ def by_time() -> Window:
     return Window.partitionBy("mmsi").orderBy("us", "ord")
 
 
-def with_neighbours(points: DataFrame, *columns: str) -> DataFrame:
-    """``pos`` (from 0), and ``prev_*`` and ``next_*`` of the columns."""
-    w = by_time()
-    out = {"pos": (F.row_number().over(w) - 1).cast("long")}
+#: Prefix of helper columns, so that they can't clash with a caller's.
+OWN = "__tw_"
+
+
+def _chunk(hours: float) -> Column:
+    return F.floor(F.col("us") / F.lit(int(hours * HOUR)))
+
+
+def _carried(points: DataFrame, hours: float, columns: tuple[str, ...] = (), total: Column | None = None, per_vessel: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per vessel and stretch: its number of reports, those before, the values of the report before and of the one after it, the
+    vessel's first and last time, the sum of ``total`` over earlier stretches, and aggregates of the whole vessel."""
+    at, ends = F.struct("us", "ord"), F.struct(*columns) if columns else F.struct("us")
+    sums = [F.sum(total).alias(OWN + "total")] if total is not None else []
+    each = points.groupBy("mmsi", _chunk(hours).alias(OWN + "chunk")).agg(F.count("*").alias(OWN + "n"), F.min_by(ends, at).alias(OWN + "first"), F.max_by(ends, at).alias(OWN + "last"), F.min("us").alias(OWN + "low"), F.max("us").alias(OWN + "high"), *sums)
+    v = Window.partitionBy("mmsi").orderBy(OWN + "chunk")
+    earlier, whole = v.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("mmsi")
+    out = {"before": F.coalesce(F.sum(OWN + "n").over(earlier), F.lit(0)), "prev": F.lag(OWN + "last").over(v), "next": F.lead(OWN + "first").over(v), "u0": F.min(OWN + "low").over(whole), "u1": F.max(OWN + "high").over(whole)}
+    if total is not None:
+        out["sum"] = F.coalesce(F.sum(OWN + "total").over(earlier), F.lit(0))
+    rows = each.select(F.col("mmsi").alias(OWN + "mmsi"), F.col(OWN + "chunk").alias(OWN + "of"), F.col(OWN + "n"), *[c.alias(OWN + k) for k, c in out.items()])
+    if per_vessel:
+        stats = points.groupBy(F.col("mmsi").alias(OWN + "v")).agg(*per_vessel)
+        rows = rows.join(stats, F.col(OWN + "mmsi").eqNullSafe(F.col(OWN + "v"))).drop(OWN + "v")
+    return rows
+
+
+def _meet(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    return rows.join(carried, rows["mmsi"].eqNullSafe(carried[OWN + "mmsi"]) & rows[OWN + "chunk"].eqNullSafe(carried[OWN + "of"]))
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.drop(*[c for c in rows.columns if c.startswith(OWN)])
+
+
+def with_neighbours(points: DataFrame, *columns: str, chunk_hours: float | None = None, keep: tuple[str, ...] = (), per_vessel: tuple[Column, ...] = ()) -> DataFrame:
+    """``pos`` (from 0), and ``prev_*`` and ``next_*`` of the columns.
+
+    ``keep`` names of u0, u1 (a vessel's first and last time) stay as columns, and so do the aggregates ``per_vessel``.
+    """
+    if chunk_hours is None:
+        w, whole = by_time(), Window.partitionBy("mmsi")
+        out = {"pos": (F.row_number().over(w) - 1).cast("long")}
+        for c in columns:
+            out |= {f"prev_{c}": F.lag(c).over(w), f"next_{c}": F.lead(c).over(w)}
+        out |= {k: v for k, v in (("u0", F.min("us").over(whole)), ("u1", F.max("us").over(whole))) if k in keep}
+        rows = points.withColumns(out)
+        if per_vessel:
+            stats = points.groupBy(F.col("mmsi").alias(OWN + "v")).agg(*per_vessel)
+            rows = rows.join(stats, rows["mmsi"].eqNullSafe(stats[OWN + "v"])).drop(OWN + "v")
+        return rows
+    w = Window.partitionBy("mmsi", OWN + "chunk").orderBy("us", "ord")
+    inner = {OWN + "row": F.row_number().over(w)}
+    for c in columns:
+        inner |= {f"prev_{c}": F.lag(c).over(w), f"next_{c}": F.lead(c).over(w)}
+    rows = _meet(points.withColumn(OWN + "chunk", _chunk(chunk_hours)).withColumns(inner), _carried(points, chunk_hours, columns, per_vessel=per_vessel))
+    out = {"pos": (F.col(OWN + "before") + F.col(OWN + "row") - 1).cast("long")}
     for c in columns:
-        out |= {f"prev_{c}": F.lag(c).over(w), f"next_{c}": F.lead(c).over(w)}
-    return points.withColumns(out)
+        out[f"prev_{c}"] = F.when(F.col(OWN + "row") == 1, F.col(f"{OWN}prev.{c}")).otherwise(F.col(f"prev_{c}"))
+        out[f"next_{c}"] = F.when(F.col(OWN + "row") == F.col(OWN + "n"), F.col(f"{OWN}next.{c}")).otherwise(F.col(f"next_{c}"))
+    return _plain(rows.withColumns(out | {k: F.col(OWN + k) for k in keep}))
+
+
+def running_sum(points: DataFrame, name: str, value: Column, chunk_hours: float | None = None) -> DataFrame:
+    """``name``: the sum of ``value`` over a vessel's reports up to each."""
+    if chunk_hours is None:
+        return points.withColumn(name, F.sum(value).over(by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    w = Window.partitionBy("mmsi", OWN + "chunk").orderBy("us", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = points.withColumn(OWN + "chunk", _chunk(chunk_hours)).withColumn(OWN + "inner", F.sum(value).over(w))
+    return _plain(_meet(rows, _carried(points, chunk_hours, total=value)).withColumn(name, F.col(OWN + "inner") + F.col(OWN + "sum")))
 
 
 def deduplicate(points: DataFrame) -> DataFrame:
     """The first report (by ``ord``) of each vessel, time and position rounded to six places."""
     key = Window.partitionBy("mmsi", "us", F.round("lat", 6), F.round("lon", 6)).orderBy("ord")
-    return points.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
+    return points.withColumn(OWN + "n", F.row_number().over(key)).where(F.col(OWN + "n") == 1).drop(OWN + "n")
 
 
 def at_least(points: DataFrame, n: int = 2) -> DataFrame:
     """Points of tracks with ``n`` points or more."""
-    return points.withColumn("_n", F.count("*").over(Window.partitionBy("mmsi"))).where(F.col("_n") >= n).drop("_n")
+    return points.withColumn(OWN + "n", F.count("*").over(Window.partitionBy("mmsi"))).where(F.col(OWN + "n") >= n).drop(OWN + "n")
 
 
 def summaries(points: DataFrame) -> DataFrame:
@@ -83,10 +148,10 @@ def boxes_join(index: DataFrame, boxes: DataFrame, cell: float = 0.25) -> DataFr
     return met.where(overlap & (F.floor(left / cell) == F.col("cx")) & (F.floor(low / cell) == F.col("cy"))).select("box_id", "mmsi")
 
 
-def gaps(points: DataFrame, max_hours: float = 6.0) -> DataFrame:
+def gaps(points: DataFrame, max_hours: float = 6.0, chunk_hours: float | None = None) -> DataFrame:
     """``(mmsi, pos0, pos1, hours)`` of consecutive reports more than ``max_hours`` apart."""
     hours = (F.col("us") - F.col("prev_us")) / HOUR
-    return with_neighbours(points, "us").where(hours > max_hours).select("mmsi", (F.col("pos") - 1).alias("pos0"), F.col("pos").alias("pos1"), hours.alias("hours"))
+    return with_neighbours(points, "us", chunk_hours=chunk_hours).where(hours > max_hours).select("mmsi", (F.col("pos") - 1).alias("pos0"), F.col("pos").alias("pos1"), hours.alias("hours"))
 
 
 def _lerp(a: str, share: Column) -> Column:
@@ -100,7 +165,7 @@ def _made(rows: DataFrame, at: Column, *more: Column) -> DataFrame:
     return rows.select("mmsi", F.when(own, F.col("us")).otherwise(at).alias("us"), *[F.when(own, F.col(c)).otherwise(v).alias(c) for c, v in between.items()], *more)
 
 
-def interpolate(points: DataFrame, minutes: float = 10) -> DataFrame:
+def interpolate(points: DataFrame, minutes: float = 10, chunk_hours: float | None = None) -> DataFrame:
     """Tracks on a regular grid from their first report: ``(mmsi, us, lat, lon, sog, cog, heading)``.
 
     Each report makes the ticks of the half-open stretch that ends at the next one, so there is no range join.  A channel
@@ -109,22 +174,21 @@ def interpolate(points: DataFrame, minutes: float = 10) -> DataFrame:
     """
     step = int(minutes * MINUTE)
     cols = ["us", "lat", "lon", "sog", "cog", "heading"]
-    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = with_neighbours(points, *cols).withColumns({"u0": F.min("us").over(whole), "u1": F.max("us").over(whole)})
+    rows = with_neighbours(points, *cols, chunk_hours=chunk_hours, keep=("u0", "u1"))
     k = lambda c: F.floor((F.col(c) - F.col("u0")) / F.lit(step)).cast("long")
     itself = F.when((F.col("u0") == F.col("u1")) | (F.col("pos") == 0), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
     ticks = F.when((F.col("next_us") > F.col("us")) & (k("us") + 1 <= k("next_us")), F.sequence(k("us") + 1, k("next_us"))).otherwise(F.array().cast("array<long>"))
     return _made(rows.withColumn("k", F.explode(F.concat(itself, ticks))), F.col("u0") + F.col("k") * step)
 
 
-def fill_gaps(points: DataFrame, max_minutes: float = 60) -> DataFrame:
+def fill_gaps(points: DataFrame, max_minutes: float = 60, chunk_hours: float | None = None) -> DataFrame:
     """Reports and, in gaps longer than ``max_minutes``, ticks every min(10 minutes, half of it); ``synthetic`` tells them apart.
 
     If the gap divides evenly, the last tick has the time of the next report.
     """
     step = int(min(600.0, max_minutes * 60 / 2) * 1_000_000)
     cols = ["us", "lat", "lon", "sog", "cog", "heading"]
-    rows = with_neighbours(points, *cols)
+    rows = with_neighbours(points, *cols, chunk_hours=chunk_hours)
     gap, itself = F.col("next_us") - F.col("us"), F.array(F.lit(None).cast("long"))
     ticks = F.concat(itself, F.sequence(F.lit(1).cast("long"), F.floor(gap / F.lit(step)).cast("long")))
     each = F.when(gap > int(max_minutes * MINUTE), ticks).otherwise(itself)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, geodesy
-from tidewake.operators import anomalies, contours, drift, drift_steps, evaluation, raster, retrieval, scoring, tracks
+from tidewake.operators import anomalies, contours, drift, drift_steps, evaluation, raster, retrieval, scoring, track_index, tracks
 from tidewake.plans import adapters, investigation
 from tidewake.plans.adapters import AIS_SQL, ERROR_SQL, HEIGHT, PIXEL_SQL, SCENARIO_SQL, WIDTH, ais, pixels, table
 from tidewake.plans.registry import QUERIES, SQL, query  # noqa: F401
+from tidewake.scratch import fresh
 from tidewake.sources import ais as reports
 
 ROUTE = [(15.1, 73.1), (15.3, 73.2), (15.45, 73.35)]
@@ -746,4 +747,86 @@ def segmentation(spark, d):
     return raster.segmentation_summary(slicks).select("scene_id", "slicks", _r("area_km2"), _r("confidence"), "level")
 
 
+# ---- a hot vessel: half of all reports, worked on in stretches of a day
+
+_HOT_SQL = AIS_SQL.replace("CAST(user_id AS VARCHAR) mmsi", "CASE WHEN event_id % 2 = 0 THEN '7' ELSE CAST(user_id AS VARCHAR) END mmsi")
+DAY = 24.0
+
+
+def _hot(spark, d):
+    a = ais(spark, d)
+    return a.withColumn("mmsi", F.when(F.col("ord") % 2 == 0, "7").otherwise(F.col("mmsi")))
+
+
+def _as_hot(name: str) -> str:
+    return SQL[name].replace(AIS_SQL, _HOT_SQL)
+
+
+@query(_as_hot("track_interpolate"))
+def hot_interpolate(spark, d):
+    out = tracks.interpolate(_hot(spark, d), 60, DAY)
+    return out.select("mmsi", "us", _r("lat"), _r("lon"), _r("sog"), _r("heading", 5))
+
+
+@query(_as_hot("track_fill_gaps"))
+def hot_fill_gaps(spark, d):
+    out = tracks.fill_gaps(_hot(spark, d), 60, DAY)
+    return out.select("mmsi", "us", _r("lat"), _r("lon"), _r("sog"), _r("heading", 5))
+
+
+@query(_as_hot("stops"))
+def hot_stops(spark, d):
+    return anomalies.stops(_hot(spark, d), 12.0, 30, DAY).select("mmsi", "pos0", "pos1")
+
+
+@query(_as_hot("course_change"))
+def hot_course_change(spark, d):
+    return anomalies.course_change(_hot(spark, d), chunk_hours=DAY).select("mmsi", "pos", _r("turn", 5))
+
+
+@query(_as_hot("loitering"))
+def hot_loitering(spark, d):
+    return anomalies.loitering(_hot(spark, d), chunk_hours=DAY)
+
+
+# ---- paths in boxes and circles, by a stored index
+
+_LEG_SQL = f"{_WITH}, leg AS (SELECT mmsi, pos, us us0, n_us us1, lat lat0, lon lon0, n_lat lat1, n_lon lon1, n_lon - lon dx, n_lat - lat dy FROM pos WHERE n_us IS NOT NULL)"
+
+
+def _clip_sql(x0: str, y0: str, x1: str, y1: str) -> tuple[str, str]:
+    """Where a leg's line enters and leaves a box: each side that it faces bounds the one, each that it has behind it the other."""
+    t = lambda a, d, v: f"CASE WHEN {d} <> 0 THEN ({v} - {a}) / {d} END"
+    first = [f"CASE WHEN {d} > 0 THEN {t(a, d, low)} WHEN {d} < 0 THEN {t(a, d, high)} WHEN {a} < {low} OR {a} > {high} THEN 2 ELSE 0 END" for a, d, low, high in (("lon0", "dx", x0, x1), ("lat0", "dy", y0, y1))]
+    last = [f"CASE WHEN {d} > 0 THEN {t(a, d, high)} WHEN {d} < 0 THEN {t(a, d, low)} ELSE 1 END" for a, d, low, high in (("lon0", "dx", x0, x1), ("lat0", "dy", y0, y1))]
+    return f"greatest(0, {', '.join(first)})", f"least(1, {', '.join(last)})"
+
+
+def _stored(spark, d):
+    path = fresh(spark, "legs")
+    track_index.write(ais(spark, d), path, 16)
+    return track_index.read(spark, path)
+
+
+@query(f"{_LEG_SQL}, c AS (SELECT *, {_clip_sql('73.02::DOUBLE', '15.03::DOUBLE', '73.09::DOUBLE', '15.08::DOUBLE')[0]} f, {_clip_sql('73.02::DOUBLE', '15.03::DOUBLE', '73.09::DOUBLE', '15.08::DOUBLE')[1]} l FROM leg) SELECT mmsi, pos, CAST(round((us0 + f * (us1 - us0)) / 1e6::DOUBLE, 2) AS DOUBLE) AS enters FROM c WHERE f <= l")
+def paths_in_box(spark, d):
+    out = track_index.through_box(_stored(spark, d), 73.02, 15.03, 73.09, 15.08)
+    return out.select("mmsi", "pos", F.round(F.col("enters_us") / 1e6, 2).alias("enters"))
+
+
+_WITHIN = "cos(radians(15.1::DOUBLE))"
+
+
+@query(f"{_LEG_SQL}, k AS (SELECT mmsi, pos, (lon0 - 73.05::DOUBLE) * 111 * {_WITHIN} x, (lat0 - 15.1::DOUBLE) * 111 y, dx * 111 * {_WITHIN} u, dy * 111 v FROM leg), t AS (SELECT *, CASE WHEN u * u + v * v > 0 THEN greatest(0, least(1, -(x * u + y * v) / (u * u + v * v))) ELSE 0 END t FROM k), e AS (SELECT mmsi, pos, sqrt(pow(x + t * u, 2) + pow(y + t * v, 2)) km FROM t) SELECT mmsi, pos, round(km, 6) AS km FROM e WHERE km <= 2")
+def paths_within(spark, d):
+    return track_index.within(_stored(spark, d), 15.1, 73.05, 2).select("mmsi", "pos", _r("km"))
+
+
+@query(f"{_LEG_SQL}, b AS (SELECT n_nationkey AS box_id, 73 + 2e-2 * n_nationkey x0, 15 + 2e-2 * n_nationkey y0 FROM nation) SELECT box_id, mmsi, count(*) AS legs FROM b, leg WHERE {_clip_sql('x0', 'y0', 'x0 + 1e-2', 'y0 + 2e-2')[0]} <= {_clip_sql('x0', 'y0', 'x0 + 1e-2', 'y0 + 2e-2')[1]} GROUP BY box_id, mmsi")
+def paths_in_boxes(spark, d):
+    k = F.col("n_nationkey")
+    boxes = table(spark, d, "nation").select(k.alias("box_id"), (73 + 0.02 * k).alias("min_lon"), (15 + 0.02 * k).alias("min_lat")).withColumns({"max_lon": F.col("min_lon") + 0.01, "max_lat": F.col("min_lat") + 0.02})
+    return track_index.through_boxes(_stored(spark, d), boxes, 0.05).groupBy("box_id", "mmsi").agg(F.count("*").alias("legs"))
+
+
 from tidewake.plans import scenes  # noqa: E402, F401  registers its queries

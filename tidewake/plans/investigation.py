@@ -61,13 +61,3 @@ def newest_first(cases: DataFrame, at: str, key: str) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("_day").orderBy(F.col(at).desc_nulls_last(), key))
     rows, before = dated.withColumn("_own", own), days.select(F.col("_day").alias("_d"), newer.alias("_newer"))
     return rows.join(before, F.col("_day").eqNullSafe(F.col("_d"))).withColumn("place", (F.col("_newer") + F.col("_own")).cast("long")).drop("_day", "_d", "_own", "_newer")
-
-
-def save_cases(report: DataFrame, path: str) -> None:
-    """Adds reports to a case store that is partitioned by case."""
-    report.write.mode("append").partitionBy("case_id").parquet(path)
-
-
-def find_case(store: DataFrame, case_id: str) -> DataFrame:
-    """One case; partitions of others are not read."""
-    return store.where(F.col("case_id") == case_id)
