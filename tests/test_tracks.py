@@ -97,7 +97,7 @@ def test_paths_through_boxes_equal_brute_force_and_files_are_passed_over(spark,
     frame = spark.createDataFrame(boxes, "box_id int, min_lon double, min_lat double, max_lon double, max_lat double")
     got = [(r.box_id, r.mmsi, r.pos) for r in track_index.through_boxes(index, frame, 0.05).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
-    k, *box = boxes[0]
+    k, *box = boxes[max(range(25), key=lambda i: sum(w[0] == i for w in want))]
     one = track_index.through_box(index, *box).collect()
     assert {(k, r.mmsi, r.pos) for r in one} == {w for w in want if w[0] == k} and all(r.enters_us <= r.leaves_us for r in one)
     middle = sorted(r.enters_us for r in one)[len(one) // 2]
