@@ -88,3 +88,14 @@ def test_tags_labels_and_score_equal_brute_force():
         assert row[5] == ",".join(sorted(want | tagged)), text
         assert row[6] == pytest.approx(1 - 0.2**found * 0.05**n)
         assert len(list(filter(None, row[7].split(";")))) == n
+
+
+def test_words_behind_a_tag_that_are_no_licences():
+    for line in ("see the file COPYING", "none of your business", "TBD", "NOASSERTION"):
+        row = licences.scan(f"License-Expression: {line}")
+        assert row[5] == "" and row[6] == 0.5 and row[7] == "" and row[8] is None
+    mixed = licences.scan("SPDX-License-Identifier: MIT OR Whatever")
+    assert mixed[5] == "mit" and mixed[6] == 0.5 and mixed[8] is None
+    for name in ("MIT", "GPL-2.0-or-later", "LGPL-2.1+", "Apache-2.0", "BSD-3-Clause", "CC-BY-NC-SA-4.0", "LicenseRef-my.own-1", "0BSD", "MPL-2.0"):
+        assert licences.is_identifier(name) and licences.scan(f"spdx-license-identifier: {name}")[6] >= 0.95
+    assert licences.is_identifier("gpl-2.0-with-classpath-exception-2.0") and not licences.is_identifier("gpl-2.0-with-glasses")

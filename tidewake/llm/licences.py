@@ -44,6 +44,14 @@ TAGS = ("spdx license identifier", "license expression")
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc-by", "cc0", "zlib", "unlicense", "bsl", "python")
 RESTRICTED = ("cc-by-nc", "cc-by-nd", "cc-by-sa")
 
+# Forms of lower-cased licence identifiers and of exceptions, as the SPDX list has them, and references to licences of one's own.
+IDENTIFIERS = re.compile(
+    r"mit(-0|-cmu|-feh|-modern-variant)?|apache(-[12]\.[01])?|[al]?gpl(-?v?[123](\.[01])?)?(-only|-or-later|\+)?|gfdl-1\.[123](-only|-or-later|\+)?|bsd(-[1-4]-clause(-[a-z-]+)?)?|0bsd|isc|mpl-[12]\.[01](\+|-no-copyleft-exception)?|epl-[12]\.0|eupl-1\.[012]"
+    r"|cddl-1\.[01]|cc0-1\.0|cc-by(-nc)?(-nd|-sa)?(-[1234]\.[05])?(-[a-z]+)?|zlib|libpng(-2\.0)?|unlicense|wtfpl|bsl-1\.0|busl-1\.1|python-2\.0(\.1)?|psf-2\.0|artistic-[12]\.0(-[a-z]+)?|x11|ncsa|postgresql|openssl|ofl-1\.[01]|upl-1\.0|ms-[pr]l|osl-[123]\.[01]|afl-[123]\.[012]"
+    r"|blueoak-1\.0\.0|json|curl|ruby|vim|php-3\.0[01]?|unicode-(dfs-201[56]|3\.0|tou)|hpnd|ijg|bzip2-1\.0\.[56]|w3c|zpl-[12]\.[01]|(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
+EXCEPTIONS = re.compile(r"[a-z0-9.-]*exception[a-z0-9.-]*|linux-syscall-note|(documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+")
+
 #: Every byte outside a word becomes a space, A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _TOKEN = re.compile(r"\s*(\(|\)|/|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
@@ -112,6 +120,12 @@ def evaluate(postfix: list[str], allowed=lambda name: name.startswith(PERMISSIVE
     return stack[0][1], stack[0][2] if sound else None
 
 
+def is_identifier(name: str) -> bool:
+    """Whether a name is of a known form; of a WITH pair, both parts."""
+    licence, _, exception = name.lower().partition("-with-")
+    return bool(IDENTIFIERS.fullmatch(licence)) and (not exception or bool(EXCEPTIONS.fullmatch(exception)))
+
+
 @functools.cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -151,8 +165,9 @@ def scan(text: str | None) -> tuple:
             if m := _BEHIND_TAG.match(raw, int(ends[last])):
                 postfix = to_postfix(m[1].decode("utf-8", "replace"))
                 names, fits = evaluate(postfix) if postfix else (set(), None)
-                labels |= names
-                if fits is None:
+                real = names if fits is None else {n for n in names if is_identifier(n)}
+                labels |= real
+                if fits is None or real != names:  # words that are no licences, as in "see the file"
                     broken += 1
                 else:
                     expressions.append(" ".join(postfix))
@@ -166,7 +181,7 @@ def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     ``n_base`` counts all places of base phrases, ``first_word``/``last_word`` are the smallest and largest word numbers
     at which one starts (NULL without any).  ``score`` is the noisy-or evidence of notices (0.8 each), parsed tags (0.95)
-    and unparsable tags (0.5); ``expressions`` are the parsed tags in postfix order and ``permissive`` whether all can be
+    and unparsable tags (0.5), those with a name of no known form (:data:`IDENTIFIERS`) among them; ``expressions`` are the parsed tags in postfix order and ``permissive`` whether all can be
     met with permissive licences (NULL without a tag).  NULL text counts as empty: zeros, empty strings.  NULL and
     repeated keys give a row each.  Whole texts are scanned in one pass, map side only.
     """
