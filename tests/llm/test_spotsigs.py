@@ -4,7 +4,7 @@ import random
 import regex
 import xxhash
 
-from tidewake.llm import spotsigs
+from tidewake.llm import queries, spotsigs
 
 SCHEMA = "doc_id long, text string, sigs string"
 
@@ -104,3 +104,22 @@ def test_similar_pairs_equal_brute_force(spark):
     reps = sorted(set(rep.values()))
     want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-12}
     assert {(r.a, r.b) for r in pairs.collect()} == want and want
+
+
+def test_any_doc_id_may_occur(spark):
+    rows = [(-(1 << 62), "abcdef", ""), (-(1 << 63), "ghijkl", ""), ((1 << 63) - 1, "mnopqr", ""), (None, "stuvwx", "")]
+    got = {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprint(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {(1 << 63) - 1: "mnopab", -(1 << 62): "abcdgh", -(1 << 63): "ghijst", None: "stuvmn"}
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_classes_of_a_whole_table_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = {r.doc_id: frozenset(r.s) for r in docs.select("doc_id", spotsigs.signatures(spotsigs.F.coalesce("text", spotsigs.F.lit(""))).alias("s")).collect()}
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-12
+    links = {d: sum(s != t and like(s, t) for t in first) for s, d in first.items()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in queries.op7_spotsigs_classes(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: (first[s], links[first[s]]) for d, s in sets.items()} and any(links.values())

@@ -68,8 +68,16 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(docs))
 
 
+def op7_spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents with like fingerprints: those of equal fingerprints, and how many classes are like each."""
+    pairs, members = spotsigs.similar_pairs(_table(spark, sf_dir, "documents"))
+    both = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
+    links = both.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_licences, op3_lm_score, op4_bpe, op5_warc, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing, op11_packing, op12_filter_audit, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_licences, op3_lm_score, op4_bpe, op5_warc, op6_url_filter, op7_spotsigs, op8_langid, op9_simhash, op10_mixing, op11_packing, op12_filter_audit, op13_periodic_runs, op7_spotsigs_classes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -64,7 +64,7 @@ def _next_lower(ids: DataFrame) -> DataFrame:
     same step on range numbers, until one range is left.
     """
     low, high = ids.agg(F.min("k"), F.max("k")).first()
-    if low is None or high // SPAN == low // SPAN:
+    if low is None or high - low < SPAN:  # ranges of numbers around 0 would stay two for ever
         return ids.select("k", F.lead("k").over(Window.partitionBy(F.lit(0)).orderBy(F.col("k").desc())).alias("next"))
     ranged = ids.withColumn("r", F.floor(F.col("k") / F.lit(float(SPAN))) if max(abs(low), abs(high)) < 1 << 52 else F.shiftright("k", int(math.log2(SPAN))))
     within = ranged.select("k", "r", F.lead("k").over(Window.partitionBy("r").orderBy(F.col("k").desc())).alias("next"))
@@ -74,6 +74,16 @@ def _next_lower(ids: DataFrame) -> DataFrame:
     return within.join(after, "r", "left").select("k", F.coalesce("next", "head").alias("next"))
 
 
+def _unused(ids: DataFrame) -> int:
+    """A number that is no doc_id, to stand for NULL where rows meet: below all, or above all, or the first gap."""
+    low, high = ids.agg(F.min("k"), F.max("k")).first()
+    if low is None or low > -(1 << 63):
+        return (low or 0) - 1
+    if high < (1 << 63) - 1:
+        return high + 1
+    return ids.where(F.col("k") < high).select((F.col("k") + 1).alias("k")).join(ids.where("k is not null"), "k", "left_anti").agg(F.min("k")).first()[0]
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
@@ -89,7 +99,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     Only doc_ids are ordered.  Texts move once, to their doc_id's task; what a document gives to the one before it is
     its signatures and the third that is pasted.
     """
-    key, nothing = OWN + "key", -(1 << 62)
+    key, nothing = OWN + "key", _unused(docs.select(F.col("doc_id").cast("long").alias("k")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(nothing)))
     ids = saved(rows.groupBy("k").agg(F.count("*").alias("n"), F.max(F.floor(F.char_length("text") / F.lit(3))).alias("need")), "ids")
     real = ids.where(F.col("k") != nothing).select("k")
