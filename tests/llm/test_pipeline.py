@@ -49,3 +49,17 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
+
+
+def test_columns_with_dots_and_of_kinds_without_an_order(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `c d` int, m map<string,int>, `__x.y` array<map<string,int>>"
+    rows = [(i, t, "en", "s", 0, "f", 7, {"k": i}, [{"z": i}]) for i, t in enumerate(["the cat sat on the mat again", "the cat sat on the mat again", "a dog ran over the hill today", None])] * 3
+    rows += [(0, "quite another text under the same number", "en", "s", 0, None, None, None, None)] * 2
+    frame = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = saved(stage(spark, frame, ""), "stage")
+        assert out.columns == frame.columns and {r.doc_id for r in out.collect()} <= {0, 1, 2, 3}
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 0, 2, 3]
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0

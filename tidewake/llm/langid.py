@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import crc_fold
+from tidewake.llm.common import crc_fold, mapped
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -47,6 +47,9 @@ def _blocks(texts: list[str | None]):
             yield at, starts, ends - len(pad), np.concatenate([y for x in held for y in (x, pad)])
             at, held, size = [], [], 0
 
+#: Languages that a model may have.
+MOST_LANGS = 1000
+
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
     """A model from ``docs(doc_id, text, lang)``; rows with NULL text or lang teach nothing.
@@ -75,6 +78,9 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
             hit = np.append(np.flatnonzero(total), -1)  # bucket -1 counts documents
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(hit), "bucket": pa.array(hit, pa.int64()), "n": pa.array(np.append(total[hit[:-1]], seen[lang]), pa.int64())})
 
+    several = rows.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if several > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values; the model has a column of numbers for each and goes to every task")
     found = rows.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(found["lang"]), key=lambda x: x.encode())
     place = {x: i for i, x in enumerate(langs)}
@@ -155,4 +161,4 @@ def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
             names, scores = _classify(batch.column(where).to_pylist(), *shared.value)
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return mapped(docs, batches)

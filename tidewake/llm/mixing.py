@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import OWN, salted_left_join
+from tidewake.llm.common import OWN, quoted, salted_left_join
 from tidewake.scratch import saved
 
 #: Weights of the sources in code-point order, repeating.
@@ -118,4 +118,4 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     took = copies(docs, seed).where("copies > 0").select(F.col("doc_id").alias(OWN + "id"), F.col("source").alias(OWN + "source"), F.col("size").alias(OWN + "size"), F.col("copies").alias(OWN + "copies"))
     words = F.coalesce(F.regexp_count(docs["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col(OWN + "id")) & docs["source"].eqNullSafe(F.col(OWN + "source")) & (words == F.col(OWN + "size"))
-    return docs.join(took, same).withColumn(OWN + "copy", F.explode(F.expr(f"sequence(1L, {OWN}copies)"))).select(*[docs[c] for c in docs.columns])
+    return docs.join(took, same).withColumn(OWN + "copy", F.explode(F.expr(f"sequence(1L, {OWN}copies)"))).select(*[docs[quoted(c)] for c in docs.columns])

@@ -7,9 +7,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
-from tidewake.llm.common import OWN
+from tidewake.llm.common import OWN, mapped, quoted
 from tidewake.scratch import saved
 from tidewake.operators.components import components
 
@@ -101,21 +101,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the fingerprint of each row's text as a further column."""
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def batches(it):
         for batch in it:
             fps = np.array([fingerprint(x) for x in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(batches, schema)
+    return mapped(docs, batches, [StructField(name, LongType())])
 
 
 def keep_first(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicate texts, that with the smallest doc_id; all columns stay.
 
     * Groups are of texts: rows that repeat a doc_id with texts that are no near-duplicates each stay in their own group.
-    * Of rows that tie in doc_id the smallest fingerprint stays, of those the first in the order of all columns.
+    * Of rows that tie in doc_id the smallest fingerprint stays, of those the first by the JSON text of all columns.
     * Rows without a doc_id stay.  Empty table: no rows.
 
     The text table is matched by semi joins on doc_id, which Spark broadcasts only if the ids turn out small; only texts of
@@ -131,6 +130,6 @@ def keep_first(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     if repeats.isEmpty():
         return out
     twice = _with_fingerprint(numbered.join(repeats, same == F.col(id_), "left_semi"), fp).withColumn(mark, F.col("doc_id").cast("long"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = twice.join(first, [mark, fp], "left_semi").groupBy(mark, fp).agg(F.min(F.struct(*columns)).alias(OWN + "row"))
-    return out.unionByName(chosen.select(OWN + "row.*"))
+    whole = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    chosen = twice.join(first, [mark, fp], "left_semi").groupBy(mark, fp).agg(F.min_by(whole, F.to_json(whole)).alias(OWN + "row"))
+    return out.unionByName(chosen.select(*[F.col(f"{OWN}row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
