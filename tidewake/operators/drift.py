@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewake.functions import geo
 from tidewake.operators import contours, raster
 from tidewake.operators import drift_steps as steps
-from tidewake.scratch import saved
+from tidewake.scratch import saved, small
 
 # Ranges from which members draw their coefficients.
 RANGES = {"current": (0.8, 1.2), "wind": (0.02, 0.04), "diffusion": (5.0, 20.0)}
@@ -211,3 +211,49 @@ def gridded(points: DataFrame, field: DataFrame, t_step: float, y_step: float, x
     met = ask.where("w > 0").join(field, ["ti", "yi", "xi"], "left").groupBy("_id").agg(F.sum(F.col("w") * F.col("u")).alias("su"), F.sum(F.col("w") * F.col("v")).alias("sv"), F.count_if(F.col("u").isNull()).alias("out"))
     inside = F.col("out") == 0
     return rows.join(met, "_id", "left").withColumns({"u": F.when(inside, F.col("su")).otherwise(0.0), "v": F.when(inside, F.col("sv")).otherwise(0.0)}).drop("_id", "su", "sv", "out")
+
+
+def _bracketed(points: DataFrame, value: str, axis: DataFrame, name: str) -> DataFrame:
+    """``points`` with ``name_lo`` and ``name_hi``, the nodes of ``axis(a)`` around ``value`` (NULL outside of them).
+
+    An as-of join by buckets: stretches between neighbouring nodes enter the buckets of equal width that they cover, as many as there are nodes;
+    a point is in one bucket, and of the stretches there in one.
+    """
+    nodes = axis.select(F.col("a").cast("double").alias("a")).where("a is not null").distinct()
+    low, high, n = nodes.agg(F.min("a"), F.max("a"), F.count("*")).first()
+    if not n:
+        return points.withColumns({f"{name}_lo": F.lit(None).cast("double"), f"{name}_hi": F.lit(None).cast("double")})
+    width = (high - low) / max(1, n - 1) or 1.0
+    bucket = lambda c: F.floor((c - low) / width).cast("long")
+    spans = nodes.select(F.col("a").alias(f"{name}_lo"), F.lead("a").over(Window.orderBy("a")).alias(f"{name}_hi"))  # one row a node of an axis
+    spans = spans.withColumn("last", F.col(f"{name}_hi").isNull()).withColumn(f"{name}_hi", F.coalesce(f"{name}_hi", f"{name}_lo"))
+    spans = small(spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col(f"{name}_lo")), bucket(F.col(f"{name}_hi"))))))
+    at = F.col(value)
+    inside = (at >= spans[f"{name}_lo"]) & ((at < spans[f"{name}_hi"]) | (spans["last"] & (at == spans[f"{name}_lo"])))
+    return points.join(spans, (bucket(at) == spans["bucket"]) & inside, "left").drop("bucket", "last")
+
+
+def gridded_uneven(points: DataFrame, field: DataFrame) -> DataFrame:
+    """``points(.., t, lat, lon)`` with (u, v) by trilinear interpolation of ``field(t, y, x, u, v)`` whose axes may have nodes at any distances.
+
+    The axes are the distinct values of t, y and x.  A point finds its stretch on each axis by an as-of join and meets the corners by equality; it
+    is 0 outside of the grid and where a corner that counts is missing.
+    """
+    rows = points.withColumn("_id", F.monotonically_increasing_id())
+    axes = {"t": "t", "y": "lat", "x": "lon"}
+    found = rows.select("_id", *axes.values())
+    for k, value in axes.items():
+        found = _bracketed(found, value, field.select(F.col(k).alias("a")), k)
+    found = found.where(" and ".join(f"{k}_lo is not null" for k in axes))
+    share = {k: F.when(F.col(f"{k}_hi") > F.col(f"{k}_lo"), (F.col(v) - F.col(f"{k}_lo")) / (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).otherwise(0.0) for k, v in axes.items()}
+    found = found.withColumns({f"{k}_f": c for k, c in share.items()})
+    corners = F.explode(F.array(*[F.struct(*[F.lit(c >> i & 1).alias(k) for i, k in enumerate(axes)]) for c in range(8)]))
+    pick = {k: F.when(F.col(f"n.{k}") == 1, F.col(f"{k}_hi")).otherwise(F.col(f"{k}_lo")).alias(f"{k}_at") for k in axes}
+    weight = F.lit(1.0)
+    for k in axes:
+        weight = weight * F.when(F.col(f"n.{k}") == 1, F.col(f"{k}_f")).otherwise(1 - F.col(f"{k}_f"))
+    asked = found.withColumn("n", corners).select("_id", *pick.values(), weight.alias("w")).where("w > 0")
+    nodes = field.select(*[F.col(k).cast("double").alias(f"{k}_at") for k in axes], "u", "v")
+    met = asked.join(nodes, [f"{k}_at" for k in axes], "left").groupBy("_id").agg(F.sum(F.col("w") * F.col("u")).alias("_u"), F.sum(F.col("w") * F.col("v")).alias("_v"), F.count_if(F.col("u").isNull()).alias("_out"))
+    inside = F.col("_out") == 0
+    return rows.join(met, "_id", "left").withColumns({"u": F.when(inside, F.col("_u")).otherwise(0.0), "v": F.when(inside, F.col("_v")).otherwise(0.0)}).drop("_id", "_u", "_v", "_out")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, geodesy
+from tidewake.functions import sql as sql_functions
 from tidewake.operators import anomalies, contours, drift, drift_steps, evaluation, raster, retrieval, scoring, track_index, tracks
 from tidewake.plans import adapters, investigation
 from tidewake.plans.adapters import AIS_SQL, ERROR_SQL, HEIGHT, PIXEL_SQL, SCENARIO_SQL, WIDTH, ais, pixels, table
@@ -747,6 +748,70 @@ def segmentation(spark, d):
     return raster.segmentation_summary(slicks).select("scene_id", "slicks", _r("area_km2"), _r("confidence"), "level")
 
 
+# ---- fields that vary, in members, and on uneven axes
+
+
+def _eddy_sql(n: int, seconds: int) -> str:
+    """CTEs ``s0`` .. ``s<n>`` of Runge-Kutta steps of an eddy and a daily wind with each member's coefficients; the clock runs back."""
+    def velocity(lat: str, lon: str, us: str) -> tuple[str, str]:
+        dx, dy = f"(({lon} - 73.2::DOUBLE) * 111000 * cos(radians({lat})))", f"(({lat} - 15.2::DOUBLE) * 111000)"
+        near = f"sqrt({dx} * {dx} + {dy} * {dy}) < 50000"
+        daily = f"(1 + 3e-1 * sin(2 * pi() * (floor(({us} % 86400000000) / 60000000) / 60 - 6) / 24))"
+        return f"c * CASE WHEN {near} THEN -5e-1 * {dy} / 50000 ELSE 0 END + w * 5.0::DOUBLE * {daily}", f"c * CASE WHEN {near} THEN 5e-1 * {dx} / 50000 ELSE 0 END + w * 2.0::DOUBLE * {daily}"
+
+    at = lambda k, dt: (f"(lat + v{k} * {dt} / 111000)", f"(lon + u{k} * {dt} / (111000 * cos(radians(lat))))", f"(us + {dt * 1000000})")
+    out = ["s0 AS (SELECT mmsi, ord, m, 8e-1 + 1e-1 * m c, 2e-2 + 5e-3 * m w, lat, lon, us FROM ais, (SELECT unnest([0, 1, 2, 3]) m))"]
+    for i in range(n):
+        u1, v1 = velocity("lat", "lon", "us")
+        src = f"(SELECT *, {u1} u1, {v1} v1 FROM s{i})"
+        for k, (of, dt) in enumerate(((1, seconds // 2), (2, seconds // 2), (3, seconds)), 2):
+            u, v = velocity(*at(of, dt))
+            src = f"(SELECT *, {u} u{k}, {v} v{k} FROM {src})"
+        out.append(f"s{i + 1} AS (SELECT mmsi, ord, m, c, w, lat + (v1 + 2 * v2 + 2 * v3 + v4) / 6 * {seconds} / 111000 lat, lon + (u1 + 2 * u2 + 2 * u3 + u4) / 6 * {seconds} / (111000 * cos(radians(lat))) lon, us - {seconds * 1000000} us FROM {src})")
+    return ", ".join(out)
+
+
+def _eddied(spark, d):
+    m = ais(spark, d).select("mmsi", "ord", "lat", "lon", "us", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("m"))
+    rows = m.withColumns({"c": 0.8 + 0.1 * F.col("m"), "w": 0.02 + 0.005 * F.col("m")})
+    velocity = drift_steps.combined(drift_steps.eddy(15.2, 73.2), drift_steps.diurnal(5.0, 2.0), F.col("c"), F.col("w"))
+    return drift_steps.advected(rows, velocity, 1800.0, 3, backward=True)
+
+
+@query(f"WITH {AIS_SQL}, {_eddy_sql(3, 1800)} SELECT ord, m, round(lat, 6) AS lat, round(lon, 6) AS lon, us FROM s3")
+def drift_eddy_steps(spark, d):
+    return _eddied(spark, d).select("ord", "m", _r("lat"), _r("lon"), "us")
+
+
+@query(f"WITH {AIS_SQL}, {_eddy_sql(3, 1800)}, e AS (SELECT mmsi, m, count(*) n, least(1, greatest(0, 1 / (1 + stddev_pop(lat) + stddev_pop(lon)))) k FROM s3 GROUP BY mmsi, m), t AS (SELECT mmsi, stddev_pop(lat) a, stddev_pop(lon) b FROM s3 GROUP BY mmsi) SELECT mmsi, count(*) AS ensemble_size, CAST(sum(n) AS BIGINT) AS trajectories, round(avg(k), 6) AS confidence, round(any_value(a), 6) AS lat_std, round(any_value(b), 6) AS lon_std FROM e JOIN t USING (mmsi) GROUP BY mmsi")
+def drift_eddy_ensemble(spark, d):
+    """The ensemble of four members that each have the same particles and coefficients of their own."""
+    out = drift.aggregated(_eddied(spark, d), "mmsi", "m")
+    return out.select("mmsi", "ensemble_size", "trajectories", _r("confidence"), _r("lat_std"), _r("lon_std"))
+
+
+@query(f"WITH {AIS_SQL}, p AS (SELECT ord, (us % 3600000000) / 3600000000.0::DOUBLE t, lat, lon FROM ais) SELECT ord, CASE WHEN t BETWEEN 0 AND 0.9 AND lat BETWEEN 15 AND 15.36 AND lon BETWEEN 73.01 AND 73.4 THEN round(t * lat * lon, 4) ELSE 0 END AS u, CASE WHEN t BETWEEN 0 AND 0.9 AND lat BETWEEN 15 AND 15.36 AND lon BETWEEN 73.01 AND 73.4 THEN round(lat - 2 * lon, 4) ELSE 0 END AS v FROM p")
+def field_uneven(spark, d):
+    """A field that is linear in each of time, latitude and longitude, which interpolation must give back, on nodes of growing distances."""
+    p = ais(spark, d).withColumn("t", (F.col("us") % 3_600_000_000) / 3_600_000_000.0)
+    axes = {"t": [0.0, 0.05, 0.4, 0.9], "y": [15 + k * k / 100 for k in range(7)], "x": [73.01, 73.02, 73.05, 73.051, 73.2, 73.4]}
+    one = table(spark, d, "region").where("r_regionkey = 0")
+    grid = one.select(*[F.array(*[F.lit(v) for v in a]).alias(k) for k, a in axes.items()])
+    for k in axes:
+        grid = grid.withColumn(k, F.explode(k))
+    field = grid.withColumns({"u": F.col("t") * F.col("y") * F.col("x"), "v": F.col("y") - 2 * F.col("x")})
+    return drift.gridded_uneven(p, field).select("ord", _r("u", 4), _r("v", 4))
+
+
+@query(SQL["geo_legs"])
+def geo_legs_sql(spark, d):
+    """The legs by the engine's functions in SQL."""
+    sql_functions.register(spark)
+    tracks.with_neighbours(ais(spark, d), "us", "lat", "lon", "cog").createOrReplaceTempView("tidewake_legs")
+    at = "prev_lat, prev_lon, lat, lon"
+    return spark.sql(f"SELECT ord, round(tw_haversine_km({at}), 6) AS haversine, round(tw_bearing({at}), 5) AS bearing, round(tw_flat_km({at}), 6) AS flat, round(tw_flat_bearing({at}), 5) AS flat_bearing, round(tw_turn(cog, prev_cog), 6) AS turn FROM tidewake_legs WHERE prev_us IS NOT NULL")
+
+
 # ---- a hot vessel: half of all reports, worked on in stretches of a day
 
 _HOT_SQL = AIS_SQL.replace("CAST(user_id AS VARCHAR) mmsi", "CASE WHEN event_id % 2 = 0 THEN '7' ELSE CAST(user_id AS VARCHAR) END mmsi")
