@@ -90,3 +90,20 @@ def diurnal_wind(hour: Column, minute: Column, u: float, v: float) -> tuple[Colu
     """(u, v) of a wind that swings by 30 % over the day."""
     swing = 1 + 0.3 * F.sin(2 * math.pi * (hour + minute / 60.0 - 6) / 24)
     return u * swing, v * swing
+
+
+def round_half_even(v: Column, places: int = 2) -> Column:
+    """``v`` rounded by its exact binary value, halves to the even digit: 2.675, which is a little less, becomes 2.67.
+
+    Spark's own functions round the shortest decimal that reads back as ``v``.  The error of v * 10**places is found by splitting v into halves whose
+    products are exact; values of 2**52 and more, by then whole numbers, stay.
+    """
+    scale = float(10**places)
+    big = v * float((1 << 27) + 1)
+    high = big - (big - v)
+    product = v * scale
+    error = (high * scale - product) + (v - high) * scale
+    low = F.floor(product).cast("double")
+    beyond = (product - low - 0.5) + error
+    up = F.when((beyond > 0) | ((beyond == 0) & (F.pmod(low, F.lit(2.0)) == 1)), 1.0).otherwise(0.0)
+    return F.when(F.abs(product) < float(1 << 52), (low + up) / scale).otherwise(v)

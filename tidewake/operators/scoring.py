@@ -35,13 +35,15 @@ def features(points: DataFrame, scenarios: DataFrame, weights: dict[str, float]
 
 
 def _features(points: DataFrame, scenarios: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """What depends on a vessel alone is gathered once a vessel; only distances and hours are taken of every case and report."""
     c = F.col
     far = geo.flat_km(c("lat"), c("lon"), c("origin_lat"), c("origin_lon"))
     off = F.abs(c("us") - c("release_us")) / HOUR
-    met = points.join(F.broadcast(scenarios))
     at, pos, sog = F.struct("us", "ord"), F.struct("lat", "lon"), F.coalesce("sog", F.lit(0.0))
+    vessels = points.groupBy(c("mmsi").alias("vessel")).agg(F.min_by(pos, at).alias("p"), F.max_by(pos, at).alias("q"), (F.max(sog) - F.min(sog)).alias("v"))
     keys = ["case_id", "origin_lat", "origin_lon", "observed_lat", "observed_lon"]
-    a = met.groupBy(*keys, "mmsi").agg(F.min(far).alias("d"), F.min(off).alias("h"), F.min_by(pos, at).alias("p"), F.max_by(pos, at).alias("q"), (F.max(sog) - F.min(sog)).alias("v"))
+    met = points.select("mmsi", "us", "lat", "lon").join(F.broadcast(scenarios)).groupBy(*keys, "mmsi").agg(F.min(far).alias("d"), F.min(off).alias("h"))
+    a = met.join(vessels, c("mmsi").eqNullSafe(c("vessel")))
     turn = geo.wrap_degrees(geo.flat_bearing(c("p.lat"), c("p.lon"), c("q.lat"), c("q.lon")), geo.flat_bearing(c("origin_lat"), c("origin_lon"), c("observed_lat"), c("observed_lon")))
     parts = {"proximity": 100 * F.exp(-c("d") / 18), "temporal_overlap": 100 * F.exp(-c("h") / 2.5), "trajectory_consistency": 100 * (1 - turn / 180), "drift_consistency": F.greatest(F.lit(0.0), 100 - 4 * c("d")), "behavioral_anomaly": F.least(F.lit(100.0), 8 * c("v"))}
     out = a.select("case_id", "mmsi", *[v.alias(k) for k, v in parts.items()])
@@ -53,7 +55,7 @@ def ranked(scores: DataFrame, names: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("case_id").orderBy(F.col("total").desc(), "mmsi")
     out = scores.withColumn("rank", F.row_number().over(w).cast("long"))
     named = out.join(names, "mmsi", "left") if names is not None else out.withColumn("vessel_name", F.lit(None).cast("string"))
-    shown = lambda k: F.format_string("%.2f", F.round(k, 2))
+    shown = lambda k: F.format_string("%.2f", geo.round_half_even(F.col(k)))
     return named.withColumns({"vessel_name": F.coalesce("vessel_name", F.concat(F.lit("Vessel "), "mmsi")), "evidence_ids": F.array(F.concat(F.lit("ais-"), "mmsi"), F.lit("drift-ensemble-001")), "explanation": F.concat(F.lit("Total "), shown("total"), F.lit("; proximity "), shown("proximity"), F.lit(", overlap "), shown("temporal_overlap"))})
 
 
@@ -89,8 +91,8 @@ def candidate(candidates: DataFrame, evidence_: DataFrame, case_id: str, mmsi: s
 
 
 def rounded(candidates: DataFrame) -> DataFrame:
-    """Features and total to two decimals, as reports show them."""
-    return candidates.withColumns({k: F.round(k, 2) for k in (*WEIGHTS, "total") if k in candidates.columns})
+    """Features and total to two decimals, as reports show them; see :func:`tidewake.functions.geo.round_half_even`."""
+    return candidates.withColumns({k: geo.round_half_even(F.col(k)) for k in (*WEIGHTS, "total") if k in candidates.columns})
 
 
 def evidence_of(candidates: DataFrame, evidence_: DataFrame) -> DataFrame:
