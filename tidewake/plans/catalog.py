@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo, geodesy
 from tidewake.functions import sql as sql_functions
-from tidewake.operators import anomalies, contours, drift, drift_steps, evaluation, raster, retrieval, scoring, track_index, tracks
+from tidewake.operators import anomalies, contours, drift, drift_steps, evaluation, nearest, raster, retrieval, scoring, track_index, tracks
 from tidewake.plans import adapters, investigation
 from tidewake.plans.adapters import AIS_SQL, ERROR_SQL, HEIGHT, PIXEL_SQL, SCENARIO_SQL, WIDTH, ais, pixels, table
 from tidewake.plans.registry import QUERIES, SQL, query  # noqa: F401
@@ -812,6 +812,26 @@ def geo_legs_sql(spark, d):
     return spark.sql(f"SELECT ord, round(tw_haversine_km({at}), 6) AS haversine, round(tw_bearing({at}), 5) AS bearing, round(tw_flat_km({at}), 6) AS flat, round(tw_flat_bearing({at}), 5) AS flat_bearing, round(tw_turn(cog, prev_cog), 6) AS turn FROM tidewake_legs WHERE prev_us IS NOT NULL")
 
 
+# ---- routes as tables
+
+_PLACES = "pl AS (SELECT 15 + 1e-3 * (c_custkey * 37 % 500) plat, 73 + 1e-3 * (c_custkey * 91 % 400) plon FROM customer)"
+
+
+def _places(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select((15 + 0.001 * (k * 37 % 500)).alias("lat"), (73 + 0.001 * (k * 91 % 400)).alias("lon"))
+
+
+@query(f"WITH {AIS_SQL}, {_PLACES} SELECT ord, round(min({_hav('lat', 'lon', 'plat', 'plon')}), 6) AS km FROM ais, pl GROUP BY ord")
+def nearest_vertex(spark, d):
+    return nearest.nearest(ais(spark, d), _places(spark, d)).select("ord", F.round("near_km", 6).alias("km"))
+
+
+@query(_runs_sql(f"NOT EXISTS (SELECT 1 FROM pl WHERE {_hav('lat', 'lon', 'plat', 'plon')} <= 1.5::DOUBLE)").replace(_WITH, f"{_WITH}, {_PLACES}", 1))
+def route_deviation_table(spark, d):
+    return nearest.route_deviation(ais(spark, d), _places(spark, d), 1.5).select("mmsi", "pos0", "pos1")
+
+
 # ---- a hot vessel: half of all reports, worked on in stretches of a day
 
 _HOT_SQL = AIS_SQL.replace("CAST(user_id AS VARCHAR) mmsi", "CASE WHEN event_id % 2 = 0 THEN '7' ELSE CAST(user_id AS VARCHAR) END mmsi")
