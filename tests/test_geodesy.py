@@ -60,3 +60,29 @@ def test_components_in_degrees_measure_like_their_ring(spark):
     box = ring([(73.002, 15.193), (73.012, 15.193), (73.012, 15.197), (73.002, 15.197), (73.002, 15.193)])
     assert abs(got.area_km2 / value(spark, geodesy.ring_geodesic_km2(box)) - 1) < 1e-5
     assert abs(got.perimeter_km / value(spark, geodesy.ring_geodesic_km(box)) - 1) < 1e-6
+
+
+def test_projections_by_code(spark):
+    import math
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tidewake.functions import geodesy
+
+    def at(epsg, lat, lon):
+        x, y = geodesy.projection(epsg)(F.lit(float(lat)), F.lit(float(lon)))
+        return tuple(spark.range(1).select(x.alias("x"), y.alias("y")).first())
+
+    assert at(4326, 3, 4) == (4, 3)
+    assert at(3857, 45, 90) == pytest.approx((10018754.171394622, 5621521.486192066), abs=1e-3)
+    # on the latitude where a polar map is true, its circle is as long as the parallel
+    e2 = geodesy.E2
+    radius = lambda lat: 6378137 * math.cos(math.radians(lat)) / math.sqrt(1 - e2 * math.sin(math.radians(lat)) ** 2)
+    assert at(3413, 70, -45) == pytest.approx((0, -radius(70)), abs=1e-3) and at(3413, 70, 45) == pytest.approx((radius(70), 0), abs=1e-3)
+    assert at(3031, -71, 0) == pytest.approx((0, radius(71)), abs=1e-3) and at(3031, -71, 90) == pytest.approx((radius(71), 0), abs=1e-3)
+    assert at(3413, 90, 0) == pytest.approx((0, 0), abs=1e-6)
+    east, north = at(32643, 15.5, 75.5)
+    assert at(32743, -15.5, 75.5) == pytest.approx((east, 10_000_000 - north)) and at(32643, -15.5, 75.5) == pytest.approx((east, -north))
+    with pytest.raises(ValueError):
+        geodesy.projection(27700)

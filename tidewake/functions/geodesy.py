@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 A_KM, FLATTENING = 6378.137, 1 / 298.257223563
 UTM_SCALE, FALSE_EAST, FALSE_NORTH = 0.9996, 500.0, 10_000.0
 E2 = FLATTENING * (2 - FLATTENING)
+# Latitudes at which the polar maps of EPSG 3413 and 3031 are true, and the meridians that run down and up from the pole.
+POLAR = {3413: (70.0, -45.0), 3031: (-71.0, 0.0)}
 E = math.sqrt(E2)
 #: Third flattening, and the radius of the circle whose quarter is as long as a quarter meridian.
 N = FLATTENING / (2 - FLATTENING)
@@ -86,3 +88,42 @@ def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[
     chi = F.asin(F.sin(xi) / F.cosh(eta))
     lat = chi + _series(FROM_CONFORMAL, lambda k, c: c * F.sin(2 * k * chi))
     return F.degrees(lat), 6 * zone - 183 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+
+
+def to_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(x, y) in metres on the web's Mercator map, a sphere of the equator's radius."""
+    return 1000 * A_KM * F.radians(lon), 1000 * A_KM * F.log(F.tan(F.radians(45 + lat / 2)))
+
+
+def to_polar(lat: Column, lon: Column, true_at: float, meridian: float) -> tuple[Column, Column]:
+    """(x, y) in metres on the stereographic map around the pole on the side of ``true_at``, the latitude where it is true."""
+    sign = 1.0 if true_at > 0 else -1.0
+
+    def t(phi: Column) -> Column:
+        s = E * F.sin(phi)
+        return F.tan(math.pi / 4 - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(E / 2))
+
+    true = math.radians(abs(true_at))
+    s = E * math.sin(true)
+    scale = 1000 * A_KM * math.cos(true) / math.sqrt(1 - s * s) / (math.tan(math.pi / 4 - true / 2) / ((1 - s) / (1 + s)) ** (E / 2))
+    r, turn = scale * t(F.radians(sign * lat)), F.radians(lon - meridian)
+    return r * F.sin(turn), -sign * r * F.cos(turn)
+
+
+def projection(epsg: int):
+    """A function of (lat, lon) to the coordinates of a reference system: degrees, web Mercator, polar stereographic, UTM on WGS 84."""
+    if epsg == 4326:
+        return lambda lat, lon: (lon, lat)
+    if epsg == 3857:
+        return to_mercator
+    if epsg in POLAR:
+        return lambda lat, lon: to_polar(lat, lon, *POLAR[epsg])
+    if 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
+
+        def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
+            """UTM with northings that go on below the equator, or from 10,000 km in a southern zone."""
+            east, north = to_utm(F.abs(lat), lon, F.lit(epsg % 100))
+            return east, F.when(lat < 0, -north).otherwise(north) + (10_000_000.0 if epsg > 32700 else 0.0)
+
+        return utm
+    raise ValueError(f"EPSG:{epsg} is not known here")

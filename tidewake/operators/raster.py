@@ -113,10 +113,11 @@ def valid_scene(scene: Column, crs: str = "EPSG:4326") -> Column:
     return F.coalesce((scene["crs"] == crs) & ~identity & (F.abs(a["a"]) >= 1e-10) & (F.abs(a["e"]) >= 1e-10), F.lit(False))
 
 
-def reprojected(pixels: DataFrame, affine: tuple[float, float, float, float, float, float], zone: int, degrees: tuple[float, float, float, float, float, float], height: int, width: int) -> DataFrame:
-    """Pixels ``(scene_id, y, x, v)`` of a UTM grid on a grid of degrees, ``height`` x ``width``, by bilinear weights.
+def reprojected(pixels: DataFrame, affine: tuple[float, float, float, float, float, float], zone: int | Callable[[Column, Column], tuple[Column, Column]], degrees: tuple[float, float, float, float, float, float], height: int, width: int) -> DataFrame:
+    """Pixels ``(scene_id, y, x, v)`` of a map's grid on a grid of degrees, ``height`` x ``width``, by bilinear weights.
 
-    ``affine`` maps (x, y) to metres and ``degrees`` maps the new (x, y) to (lon, lat).  Each new pixel looks up the four old ones
+    ``zone`` is a UTM zone in the north, or a function of (lat, lon) to the map's coordinates, as :func:`tidewake.functions.geodesy.projection` gives
+    by EPSG code.  ``affine`` maps (x, y) to those coordinates and ``degrees`` maps the new (x, y) to (lon, lat).  Each new pixel looks up the four old ones
     around its centre by an equi-join; where some are missing the weights of the others count, and without any it is left out.
     """
     a, b, c, d, e, f = affine
@@ -125,7 +126,7 @@ def reprojected(pixels: DataFrame, affine: tuple[float, float, float, float, flo
     grid = pixels.select("scene_id").distinct().withColumn("ty", axis(height)).withColumn("tx", axis(width))
     u, v = F.col("tx") + 0.5, F.col("ty") + 0.5
     at = grid.withColumns({"lon": degrees[0] * u + degrees[1] * v + lon0, "lat": degrees[3] * u + degrees[4] * v + lat0})
-    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"), F.lit(zone))
+    east, north = zone(F.col("lat"), F.col("lon")) if callable(zone) else geodesy.to_utm(F.col("lat"), F.col("lon"), F.lit(zone))
     det, de, dn = a * e - b * d, F.col("east") - c, F.col("north") - f
     at = at.withColumns({"east": east, "north": north}).select("scene_id", "ty", "tx", ((e * de - b * dn) / det - 0.5).alias("px"), ((a * dn - d * de) / det - 0.5).alias("py"))
     corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))

@@ -454,6 +454,14 @@ def raster_reproject(spark, d):
 _ON = f'{PIXEL_SQL}, set_px AS (SELECT * FROM px WHERE "on"), {_labelled_sql("lab", "set_px")}'
 
 
+@query(f"""WITH {PIXEL_SQL}, g AS (SELECT scene_id, ty, tx, 75 + 9e-4 * (tx + 5e-1) lon, 15012e-3 - 9e-4 * (ty + 5e-1) lat FROM (SELECT DISTINCT scene_id FROM px), (SELECT unnest(range(0, 66)) ty), (SELECT unnest(range(0, 98)) tx)),
+u AS (SELECT scene_id, ty, tx, 6378137.0::DOUBLE * radians(lon) east, 6378137.0::DOUBLE * ln(tan(radians(45 + lat / 2))) north, (east - 8348900) / 100 - 5e-1 cx, (1690600 - north) / 100 - 5e-1 cy FROM g), c AS (SELECT *, floor(cx) + i x4, floor(cy) + j y4 FROM u, (SELECT unnest([0, 1]) i), (SELECT unnest([0, 1]) j)),
+w AS (SELECT c.scene_id, ty, tx, v, (1 - abs(cx - x4)) * (1 - abs(cy - y4)) w FROM c JOIN px ON px.scene_id = c.scene_id AND x = x4 AND y = y4) SELECT scene_id, ty AS y, tx AS x, round(sum(w * v) / sum(w), 5) AS v FROM w GROUP BY ALL""")
+def raster_reproject_mercator(spark, d):
+    out = raster.reprojected(pixels(spark, d), (100.0, 0.0, 8_348_900.0, 0.0, -100.0, 1_690_600.0), geodesy.projection(3857), (0.0009, 0.0, 75.0, 0.0, -0.0009, 15.012), 66, 98)
+    return out.select("scene_id", "y", "x", _r("v", 5))
+
+
 @query(f"WITH RECURSIVE {_ON} SELECT scene_id, component, count(*) AS size FROM lab GROUP BY ALL")
 def component_sizes(spark, d):
     return raster.component_sizes(pixels(spark, d).where("on"), WIDTH)
