@@ -25,30 +25,29 @@ def by_time() -> Window:
 OWN = "__tw_"
 
 
-def _chunk(hours: float) -> Column:
-    return F.floor(F.col("us") / F.lit(int(hours * HOUR)))
+#: Vessel and stretch without NULLs: windows, summaries and the join that brings them together share one partitioning by plain equality.
+_KEYS = (OWN + "key", OWN + "chunk")
 
 
-def _carried(points: DataFrame, hours: float, columns: tuple[str, ...] = (), total: Column | None = None, per_vessel: tuple[Column, ...] = ()) -> DataFrame:
-    """One row per vessel and stretch: its number of reports, those before, the values of the report before and of the one after it, the
-    vessel's first and last time, the sum of ``total`` over earlier stretches, and aggregates of the whole vessel."""
+def _keyed(points: DataFrame, hours: float) -> DataFrame:
+    vessel = F.coalesce(F.concat(F.lit("="), F.col("mmsi").cast("string")), F.lit("null"))
+    return points.withColumns({_KEYS[0]: vessel, _KEYS[1]: F.coalesce(F.floor(F.col("us") / F.lit(int(hours * HOUR))), F.lit(-(1 << 62)))})
+
+
+def _carried(points: DataFrame, columns: tuple[str, ...] = (), total: Column | None = None, per_vessel: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per vessel and stretch of keyed ``points``: its number of reports, those before, the values of the report before and of the one after it,
+    the vessel's first and last time, the sum of ``total`` over earlier stretches, and aggregates of the whole vessel."""
     at, ends = F.struct("us", "ord"), F.struct(*columns) if columns else F.struct("us")
     sums = [F.sum(total).alias(OWN + "total")] if total is not None else []
-    each = points.groupBy("mmsi", _chunk(hours).alias(OWN + "chunk")).agg(F.count("*").alias(OWN + "n"), F.min_by(ends, at).alias(OWN + "first"), F.max_by(ends, at).alias(OWN + "last"), F.min("us").alias(OWN + "low"), F.max("us").alias(OWN + "high"), *sums)
-    v = Window.partitionBy("mmsi").orderBy(OWN + "chunk")
-    earlier, whole = v.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("mmsi")
+    each = points.groupBy(*_KEYS).agg(F.count("*").alias(OWN + "n"), F.min_by(ends, at).alias(OWN + "first"), F.max_by(ends, at).alias(OWN + "last"), F.min("us").alias(OWN + "low"), F.max("us").alias(OWN + "high"), *sums)
+    whole = Window.partitionBy(_KEYS[0])
+    v = whole.orderBy(_KEYS[1])
+    earlier = v.rowsBetween(Window.unboundedPreceding, -1)
     out = {"before": F.coalesce(F.sum(OWN + "n").over(earlier), F.lit(0)), "prev": F.lag(OWN + "last").over(v), "next": F.lead(OWN + "first").over(v), "u0": F.min(OWN + "low").over(whole), "u1": F.max(OWN + "high").over(whole)}
     if total is not None:
         out["sum"] = F.coalesce(F.sum(OWN + "total").over(earlier), F.lit(0))
-    rows = each.select(F.col("mmsi").alias(OWN + "mmsi"), F.col(OWN + "chunk").alias(OWN + "of"), F.col(OWN + "n"), *[c.alias(OWN + k) for k, c in out.items()])
-    if per_vessel:
-        stats = points.groupBy(F.col("mmsi").alias(OWN + "v")).agg(*per_vessel)
-        rows = rows.join(stats, F.col(OWN + "mmsi").eqNullSafe(F.col(OWN + "v"))).drop(OWN + "v")
-    return rows
-
-
-def _meet(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    return rows.join(carried, rows["mmsi"].eqNullSafe(carried[OWN + "mmsi"]) & rows[OWN + "chunk"].eqNullSafe(carried[OWN + "of"]))
+    rows = each.select(*_KEYS, OWN + "n", *[c.alias(OWN + k) for k, c in out.items()])
+    return rows.join(points.groupBy(_KEYS[0]).agg(*per_vessel), _KEYS[0]) if per_vessel else rows
 
 
 def _plain(rows: DataFrame) -> DataFrame:
@@ -71,11 +70,11 @@ def with_neighbours(points: DataFrame, *columns: str, chunk_hours: float | None
             stats = points.groupBy(F.col("mmsi").alias(OWN + "v")).agg(*per_vessel)
             rows = rows.join(stats, rows["mmsi"].eqNullSafe(stats[OWN + "v"])).drop(OWN + "v")
         return rows
-    w = Window.partitionBy("mmsi", OWN + "chunk").orderBy("us", "ord")
+    w, keyed = Window.partitionBy(*_KEYS).orderBy("us", "ord"), _keyed(points, chunk_hours)
     inner = {OWN + "row": F.row_number().over(w)}
     for c in columns:
         inner |= {f"prev_{c}": F.lag(c).over(w), f"next_{c}": F.lead(c).over(w)}
-    rows = _meet(points.withColumn(OWN + "chunk", _chunk(chunk_hours)).withColumns(inner), _carried(points, chunk_hours, columns, per_vessel=per_vessel))
+    rows = keyed.withColumns(inner).join(_carried(keyed, columns, per_vessel=per_vessel), list(_KEYS))
     out = {"pos": (F.col(OWN + "before") + F.col(OWN + "row") - 1).cast("long")}
     for c in columns:
         out[f"prev_{c}"] = F.when(F.col(OWN + "row") == 1, F.col(f"{OWN}prev.{c}")).otherwise(F.col(f"prev_{c}"))
@@ -87,9 +86,9 @@ def running_sum(points: DataFrame, name: str, value: Column, chunk_hours: float
     """``name``: the sum of ``value`` over a vessel's reports up to each."""
     if chunk_hours is None:
         return points.withColumn(name, F.sum(value).over(by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    w = Window.partitionBy("mmsi", OWN + "chunk").orderBy("us", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = points.withColumn(OWN + "chunk", _chunk(chunk_hours)).withColumn(OWN + "inner", F.sum(value).over(w))
-    return _plain(_meet(rows, _carried(points, chunk_hours, total=value)).withColumn(name, F.col(OWN + "inner") + F.col(OWN + "sum")))
+    w, keyed = Window.partitionBy(*_KEYS).orderBy("us", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow), _keyed(points, chunk_hours)
+    rows = keyed.withColumn(OWN + "inner", F.sum(value).over(w))
+    return _plain(rows.join(_carried(keyed, total=value), list(_KEYS)).withColumn(name, F.col(OWN + "inner") + F.col(OWN + "sum")))
 
 
 def deduplicate(points: DataFrame) -> DataFrame:
