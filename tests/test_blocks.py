@@ -1,7 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 
 from tidewake.operators import blocks, raster
+from tidewake.plans import catalog
 from tidewake.plans.scenes import smoothing
 
 
@@ -152,3 +154,17 @@ def test_segmentation_by_a_scorer_of_tiles(spark):
     whole = raster.segmented_tiles(frame, 64, 80, (100.0, 0, 0, 0, -100.0, 0), smoothing())
     a, b = ([tuple(r) for r in f.collect()] for f in (by_tile, whole))
     assert len(a) == 1 and a == [pytest.approx(b[0])] and abs(a[0][2] - 25 * 60) < 40
+
+
+def test_confidence_does_not_hang_on_the_order_of_a_sum(spark):
+    rows = [(1, 0, 0, 0.5000000000000004), (1, 0, 1, 0.75), (1, 0, 2, 0.4), (2, 0, 0, 0.5000000000000003), (3, 0, 0, 0.500001)]
+    got = {r.scene_id: (r.confidence, r.uncertainty) for r in blocks.confidence(spark.createDataFrame(rows, "scene_id long, y int, x int, p double")).collect()}
+    assert got == {1: (0.75, "medium"), 2: (0.0, "low"), 3: (0.500001, "medium")}
+
+
+def test_confidence_of_scenes_with_pixels_at_the_threshold_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
+    want = {r[0]: (pytest.approx(r[1], abs=1e-6), r[2]) for r in con.execute(catalog.SQL["segment_confidence"]).fetchall()}
+    assert {r.scene_id: (r.confidence, r.uncertainty) for r in catalog.QUERIES["segment_confidence"](spark, sf).collect()} == want

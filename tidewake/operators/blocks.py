@@ -153,8 +153,11 @@ def stitched(table: DataFrame) -> DataFrame:
 
 
 def confidence(p: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``(scene_id, confidence, uncertainty)`` of pixels ``(scene_id, y, x, p)``: the mean p above the threshold, 0 if none is, and its level."""
-    mean = F.coalesce(F.avg(F.when(F.col("p") > threshold, F.col("p"))), F.lit(0.0))
+    """``(scene_id, confidence, uncertainty)`` of pixels ``(scene_id, y, x, p)``: the mean p above the threshold, 0 if none is, and its level.
+
+    A p that is above it by no more than what the order of a sum changes (1e-12) is at it, not above.
+    """
+    mean = F.coalesce(F.avg(F.when(F.col("p") - threshold > 1e-12, F.col("p"))), F.lit(0.0))
     level = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") > 0.3, "medium").otherwise("low")
     return p.groupBy("scene_id").agg(mean.alias("confidence")).withColumn("uncertainty", level)
 
