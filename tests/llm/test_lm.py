@@ -181,3 +181,40 @@ def test_edges(spark):
     assert lm.score(spark.createDataFrame([], schema), how=few).count() == 0
     only = [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")]
     same(lm.score(spark.createDataFrame([(*d, "x", 1) for d in only], schema), how=few).collect(), only)
+
+
+def test_by_default_every_window_of_the_corpus_trains():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], rng.integers(0, 90))) for _ in range(300)]
+    shape, w, flat, n = toy(texts, rng)
+    square = {k: np.ones_like(v) for k, v in w.items()}
+    s, seen = lm.Stream(shape, flat, n), []
+    count = lm.further({k: v.copy() for k, v in w.items()}, square, shape, flat, n, 5, state={})
+    assert count == s.windows > 100
+    # what changes in any one window changes the weights
+    for at in (0, len(flat) // 3, len(flat) - 1):
+        changed, copies = flat.copy(), [{k: v.copy() for k, v in w.items()} for _ in range(2)]
+        changed[at] = coded(["alpha"])[0][0] if flat[at] != coded(["alpha"])[0][0] else coded(["beta"])[0][0]
+        for copy, ids in zip(copies, (flat, changed)):
+            lm.further(copy, square, shape, ids, n, 5, state={})
+        seen.append(max(np.abs(copies[0][k] - copies[1][k]).max() for k in w))
+    assert min(seen) > 0
+
+
+def test_gradients_of_consecutive_windows_are_the_sum_of_each_ones():
+    rng = np.random.default_rng(9)
+    shape, w, flat, n = toy(["alpha beta gamma delta " * 200, "a b", "", "red red green " * 60, "blue"], rng)
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    s = lm.Stream(shape, flat, n)
+    every = np.arange(s.windows)
+    steps = [int((s.target[(i + 1) * lm.STRIDE : (i + 2) * lm.STRIDE] != -2).sum()) for i in every]
+    loss, g = lm.gradients(w, shape, s, every)
+    alone = [lm.gradients(w, shape, s, every[i : i + 1]) for i in every]
+    assert loss == pytest.approx(np.average([a[0] for a in alone], weights=steps), rel=1e-5)
+    apart = lm.gradients(w, shape, s, every[::2])
+    for k in g:
+        want = sum(a[1].get(k, 0) * c for a, c in zip(alone, steps)) / sum(steps)
+        assert g[k] == pytest.approx(want, rel=1e-3, abs=1e-5), k
+        if k in apart[1]:
+            want = sum(alone[i][1].get(k, 0) * steps[i] for i in every[::2]) / sum(steps[::2])
+            assert apart[1][k] == pytest.approx(want, rel=1e-3, abs=1e-5), k
