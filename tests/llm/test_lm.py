@@ -218,3 +218,37 @@ def test_gradients_of_consecutive_windows_are_the_sum_of_each_ones():
         if k in apart[1]:
             want = sum(alone[i][1].get(k, 0) * steps[i] for i in every[::2]) / sum(steps[::2])
             assert apart[1][k] == pytest.approx(want, rel=1e-3, abs=1e-5), k
+
+
+@pytest.mark.parametrize("rows", [0, 1, lm.STRIDE, 128, 300])
+def test_products_by_pieces_equal_whole_ones(rows):
+    rng = np.random.default_rng(10)
+    x, w, d = rng.normal(size=(rows, 20)), rng.normal(size=(17, 5)), rng.normal(size=(rows, 6))
+    assert lm._times(x[:, :17], w) == pytest.approx(x[:, :17] @ w)
+    assert lm._across(x[:, 3:], d) == pytest.approx(x[:, 3:].T @ d)
+
+
+@pytest.mark.parametrize("apart", [1, 2])
+def test_windows_computed_some_at_a_time_have_the_same_gradients_and_scores(monkeypatch, apart):
+    """Neighbours that fall into different groups share a stride, whose gradients come from both."""
+    rng = np.random.default_rng(11)
+    shape, w, flat, n = toy(["alpha beta gamma delta " * 200, "a b", "", "red red green " * 60, "blue"], rng)
+    s, found = lm.Stream(shape, flat, n), []
+    for together, dtype in ((1000, np.float64), (7, np.float64), (1, np.float64), (7, np.float32)):
+        monkeypatch.setattr(lm, "_TOGETHER", together)
+        typed = {k: v.astype(dtype) for k, v in w.items()}
+        found.append((*lm.gradients(typed, shape, s, np.arange(0, s.windows, apart)), lm.scores(w, shape, flat, n)))
+        assert {k: (v.shape, np.float64 if k == "R" else dtype) for k, v in w.items() if k in found[-1][1]} == {k: (v.shape, v.dtype) for k, v in found[-1][1].items()}
+    assert s.windows > 20
+    for loss, g, scored in found[1:]:
+        assert loss == pytest.approx(found[0][0], rel=1e-5) and scored == pytest.approx(found[0][2], rel=1e-5)
+        assert g.keys() == found[0][1].keys()
+        for k in g:
+            assert g[k] == pytest.approx(found[0][1][k], rel=1e-3, abs=1e-6), k
+
+
+def test_blocks_hold_the_bytes_of_words_of_slices_and_nulls():
+    texts = pa.array(["zzz", " The café ÉLAN\tthe \x1c", None, "", "a\x0bb the"], pa.string())
+    block = lm.Block(texts.slice(1))
+    assert [[block.words[i] for i in part] for part in np.split(block.at, np.cumsum(block.sizes)[:-1])] == [(t or "").encode().lower().split() for t in texts.slice(1).to_pylist()]
+    assert lm.Block(pa.array([None, ""], pa.string())).words == []
