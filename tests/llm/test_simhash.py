@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewake.llm import simhash
 from tidewake.operators.components import components
@@ -75,3 +76,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {300: 300, 301: 300}
     assert got == want
+
+
+def test_cells_of_a_small_table_are_not_broadcast(spark):
+    fps = spark.range(5000).select((F.col("id") * 7919).alias("fp"))
+    pairs = simhash.close_pairs(fps)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -51,6 +51,7 @@ def close_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     Each fingerprint is a point of popcounts, one per segment; Manhattan distance between points never exceeds the
     Hamming distance.  On the integer grid two points at distance 2 or less share a cell within distance 1 of both, so
     each fingerprint enters its own cell and the 2 x 16 next to it, equal cells meet, and xor-popcount decides exactly.
+    Both sides are always shuffled: Spark sizes them as before the explode, 33 times too low, and would broadcast one.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("the grid finds pairs at 2 bits or fewer")
@@ -60,7 +61,7 @@ def close_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     a, b = at.alias("a"), at.alias("b")
     meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
     once = (F.col("a.own") != F.col("b.own")) | (F.col("a.cell") == F.col("a.own"))  # equal points share 33 cells
-    return a.join(b, meet & once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    return a.join(b.hint("merge"), meet & once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
 def _by_fingerprint(known: DataFrame, max_bits: int) -> DataFrame:
