@@ -86,3 +86,23 @@ def test_projections_by_code(spark):
     assert at(32743, -15.5, 75.5) == pytest.approx((east, 10_000_000 - north)) and at(32643, -15.5, 75.5) == pytest.approx((east, -north))
     with pytest.raises(ValueError):
         geodesy.projection(27700)
+
+
+def test_a_reprojection_does_not_grow_its_grid_with_the_scenes(spark, monkeypatch):
+    """Weights are a table of the new grid alone, broadcast or, above FEW, shuffled: both give the same, scene by scene."""
+    cells = [(s, y, x, s + 10.0 * y + x) for s in range(3) for y in range(40) for x in range(40) if s or (x + y) % 3]
+    px = spark.createDataFrame(cells, "scene_id long, y long, x long, v double")
+
+    def run():
+        out = raster.reprojected(px, (100.0, 0.0, 500_000.0, 0.0, -100.0, 1_662_000.0), 43, (0.0009, 0.0, 75.0, 0.0, -0.0009, 15.03), 45, 45)
+        got = {(r.scene_id, r.y, r.x): r.v for r in out.collect()}
+        return got, out._jdf.queryExecution().executedPlan().toString()
+
+    few, plan = run()
+    assert "BroadcastHashJoin [y" in plan
+    monkeypatch.setattr(raster, "FEW", 0)
+    many, plan = run()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert few.keys() == many.keys() and max(abs(few[k] - many[k]) for k in few) < 1e-9
+    one = {k[1:]: v for k, v in few.items() if k[0] == 1}
+    assert len(one) > 1000 and one == pytest.approx({k[1:]: v - 1 for k, v in few.items() if k[0] == 2})

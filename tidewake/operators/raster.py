@@ -14,6 +14,8 @@ from tidewake.operators.blocks import labelled
 from tidewake.scratch import saved
 
 KEYS = ("scene_id", "y", "x")
+#: Pixels of a new grid whose table of weights is broadcast at most.
+FEW = 1 << 16
 
 
 def calibrated(v: Column, vector: Column) -> Column:
@@ -119,20 +121,27 @@ def reprojected(pixels: DataFrame, affine: tuple[float, float, float, float, flo
     ``zone`` is a UTM zone in the north, or a function of (lat, lon) to the map's coordinates, as :func:`tidewake.functions.geodesy.projection` gives
     by EPSG code.  ``affine`` maps (x, y) to those coordinates and ``degrees`` maps the new (x, y) to (lon, lat).  Each new pixel looks up the four old ones
     around its centre by an equi-join; where some are missing the weights of the others count, and without any it is left out.
+
+    Which old pixels a new one takes, and their weights, are the same for all scenes: that table is made once and met on (y, x).  Up to ``FEW`` new
+    pixels it is broadcast, and the pixels that it names are dealt by scene; a larger one is shuffled, whatever size Spark takes it for.
     """
     a, b, c, d, e, f = affine
     lon0, lat0 = degrees[2], degrees[5]
-    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    grid = pixels.select("scene_id").distinct().withColumn("ty", axis(height)).withColumn("tx", axis(width))
+    place = lambda op: F.expr(f"id {op} {width}L")
+    grid = pixels.sparkSession.range(height * width).select(place("div").alias("ty"), place("%").alias("tx"))
     u, v = F.col("tx") + 0.5, F.col("ty") + 0.5
     at = grid.withColumns({"lon": degrees[0] * u + degrees[1] * v + lon0, "lat": degrees[3] * u + degrees[4] * v + lat0})
     east, north = zone(F.col("lat"), F.col("lon")) if callable(zone) else geodesy.to_utm(F.col("lat"), F.col("lon"), F.lit(zone))
     det, de, dn = a * e - b * d, F.col("east") - c, F.col("north") - f
-    at = at.withColumns({"east": east, "north": north}).select("scene_id", "ty", "tx", ((e * de - b * dn) / det - 0.5).alias("px"), ((a * dn - d * de) / det - 0.5).alias("py"))
+    at = at.withColumns({"east": east, "north": north}).select("ty", "tx", ((e * de - b * dn) / det - 0.5).alias("px"), ((a * dn - d * de) / det - 0.5).alias("py"))
     corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    near = at.withColumn("k", corners).select("scene_id", "ty", "tx", "px", "py", (F.floor("px") + F.col("k.i")).alias("x"), (F.floor("py") + F.col("k.j")).alias("y"))
-    weight = (1 - F.abs(F.col("px") - F.col("x"))) * (1 - F.abs(F.col("py") - F.col("y")))
-    met = near.join(pixels.select(*KEYS, "v"), list(KEYS)).withColumn("w", weight)
+    near = at.withColumn("k", corners).select("ty", "tx", "px", "py", (F.floor("px") + F.col("k.i")).alias("x"), (F.floor("py") + F.col("k.j")).alias("y"))
+    near = near.select("y", "x", "ty", "tx", ((1 - F.abs(F.col("px") - F.col("x"))) * (1 - F.abs(F.col("py") - F.col("y")))).alias("w"))
+    old = pixels.where(F.col("scene_id").isNotNull()).select(*KEYS, "v")
+    few = height * width <= FEW
+    if few:
+        old = old.join(F.broadcast(near.select("y", "x").distinct()), ["y", "x"], "left_semi").repartition("scene_id")
+    met = old.join(F.broadcast(near) if few else near.hint("merge"), ["y", "x"])
     return met.groupBy("scene_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
