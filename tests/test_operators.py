@@ -243,3 +243,19 @@ def test_region_polygons_fall_back_to_hulls(spark):
     assert {g for g, _ in got} == {1, 2, 3} and all(ring[0] == ring[-1] for rings in got.values() for ring in rings)
     assert any(min(x for x, _ in rings[0]) < 20.2 < max(x for x, _ in rings[0]) for (g, _), rings in got.items() if g == 1)
     assert len(got[(2, 0)][0]) == 5
+
+
+def test_random_steps_one_by_one_equal_the_fold_and_all_tasks_drift(spark, monkeypatch):
+    """The fold was one interpreted expression, and adaptive execution gave all vessels of a small table to one task."""
+    request = drift.Request((), 2, 30, 20, drift_steps.eddy(15.2, 73.2), drift_steps.diurnal(5.0, 2.0), seed=7)
+    ring = [(73.0, 15.0), (73.1, 15.0), (73.1, 15.1), (73.0, 15.0)]
+    rows = spark.createDataFrame([(str(i % 40), ring, i) for i in range(400)], "mmsi string, ring array<struct<lon:double,lat:double>>, us long")
+    regions = rows.groupBy("mmsi").agg(F.array(F.first("ring")).alias("rings"), F.max("us").alias("us"))
+    def run():
+        out = drift.drifted(regions, "mmsi", request, 3)
+        return sorted(map(tuple, out.collect())), out.select(F.spark_partition_id()).distinct().count()
+
+    stepped, tasks = run()
+    monkeypatch.setattr(drift_steps, "UNROLLED", 0)
+    assert stepped == run()[0] and len(stepped) == 40 * 20 * 3
+    assert tasks == 4

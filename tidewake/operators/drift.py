@@ -48,11 +48,13 @@ def rk4(lat: Column, lon: Column, u: Column, v: Column, seconds: float) -> tuple
 def drifted(regions: DataFrame, key: str, r: Request, members: int = 10, perturb: bool = True) -> DataFrame:
     """``(key, part, particle_id, us, lat, lon, member, weight)`` of an ensemble over each row of ``regions(key, rings, us)``.
 
-    ``r.rings`` and ``r.start_us`` are not used.  Members draw their coefficients from RANGES if ``perturb``.  From regions to final
-    positions there is no shuffle, and every draw is a hash of seed, region, particle, member and step.
+    ``r.rings`` and ``r.start_us`` are not used.  Members draw their coefficients from RANGES if ``perturb``.  Regions are dealt to all tasks, as
+    adaptive execution would take their few bytes for one task's work (dealt by the key itself they could stay where an aggregation left them); from
+    there to final positions there is no shuffle, and every draw is a hash of seed, region, particle, member and step.
     """
+    dealt = regions.select(key, "rings", "us").repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
     ranges = RANGES if perturb else {"current": (r.current_coefficient,) * 2, "wind": (r.wind_coefficient,) * 2, "diffusion": (r.diffusion,) * 2}
-    rows = steps.with_members(steps.particles_in(regions.select(key, "rings", "us"), key, r.particles, r.seed), members, ranges, r.seed)
+    rows = steps.with_members(steps.particles_in(dealt, key, r.particles, r.seed), members, ranges, r.seed)
     sign = -1.0 if r.backward and r.backward_mode == "physical" else 1.0
     velocity = steps.combined(r.current, r.wind, sign * F.col("current"), sign * F.col("wind"))
     seconds = r.step_minutes * 60

@@ -16,6 +16,8 @@ from tidewake.functions import geo
 
 Field = Callable[[Column, Column, Column], tuple[Column, Column]]
 M_PER_DEGREE = geo.KM_PER_DEGREE * 1000
+#: Random steps that are compiled one by one at most; longer runs are one fold, which Spark interprets.
+UNROLLED = 96
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 
 
@@ -135,9 +137,21 @@ def advected(particles: DataFrame, velocity: Field, seconds: float, steps: int,
 
     ``keys`` tell particles apart in their draws.  ``backward`` runs the clock back; reverse the field to reverse the way.
     ``path`` adds an array of (lat, lon, us), the start included.  NULL positions stay NULL.  No shuffle.
+    Up to UNROLLED random steps are a projection each, with the same draws as the fold.
     """
     tick = F.lit(round(seconds * 1e6) * (-1 if backward else 1)).cast("long")
     own = [F.lit(seed), *[F.col(k) for k in keys]]
+    if diffusion is not None and not path and steps <= UNROLLED:
+        lat, lon, us = F.col("lat"), F.col("lon"), F.col("us")
+        moved = particles.withColumns({"lat": lat.cast("double"), "lon": lon.cast("double"), "us": us.cast("long")})
+        for k in range(1, steps + 1):
+            spread = F.sqrt(2 * diffusion * seconds)
+            u, v = (c.cast("double") for c in velocity(lat, lon, us))
+            east, north = (c * seconds + spread * normal_draw(*own, F.lit(k), F.lit(axis)) for c, axis in ((u, "x"), (v, "y")))
+            # a lambda keeps Spark from fusing all steps to one method, too long for the JVM to compile
+            later = _let(us, lambda t: t + tick)
+            moved = moved.withColumns({"lat": lat + north / M_PER_DEGREE, "lon": lon + east / (M_PER_DEGREE * F.cos(F.radians(lat))), "us": later})
+        return moved
     spot = lambda lat, lon, us: F.struct(lat.alias("lat"), lon.alias("lon"), us.alias("us"))
 
     def step(state: Column, k: Column) -> Column:
