@@ -123,3 +123,9 @@ def test_classes_of_a_whole_table_equal_brute_force(spark):
     links = {d: sum(s != t and like(s, t) for t in first) for s, d in first.items()}
     got = {r.doc_id: (r.class_id, r.n_links) for r in queries.op7_spotsigs_classes(spark, "/root/testdata/sf0.001").collect()}
     assert got == {d: (first[s], links[first[s]]) for d, s in sets.items()} and any(links.values())
+
+
+def test_a_text_is_split_once(spark):
+    """Inside of lambdas Spark shares nothing: each mention of the words was another pass over the text."""
+    plan = spark.createDataFrame([("the cat sat",)], "text string").select(spotsigs.signatures(spotsigs.F.col("text")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1 and plan.count("split(array_join(") == 1

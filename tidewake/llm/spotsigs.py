@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,17 +30,33 @@ def signatures(text: Column) -> Column:
     anchor: it has a signature for each three words in a row, so that its near copies are still like it; one of under
     three words has one of all its words.
     """
+    # Spark evaluates whatever stands inside of lambdas as often as it is named: what is used again is bound first
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return _let(words, lambda w: _let(_spotted(w), lambda x: F.when(F.size(x) > 0, x).otherwise(_let(F.filter(w, lambda y: y != ""), _threes))))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _spotted(words: Column) -> Column:
+    """Signatures behind anchors."""
     # "on the cat sat " -> "on the cat", "sat": each content word behind the anchors before it
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.concat(w, F.lit(" "))).otherwise(F.concat(w, F.lit("|")))), "")
-    spots = F.split(marked, r"\|")
-    later = F.slice(F.transform(spots, lambda s: F.substring_index(s, " ", -1)), F.lit(2), F.size(spots))
-    chain = F.zip_with(spots, later, lambda s, c: F.when((F.instr(s, " ") > 0) & (F.substring_index(s, " ", -1) != "") & (c != ""), F.xxhash64(s, c)))
-    found = F.array_sort(F.array_distinct(F.filter(chain, lambda x: x.isNotNull())))
-    own = F.filter(words, lambda w: w != "")
+
+    def chained(spots: Column) -> Column:
+        later = F.slice(F.transform(spots, lambda s: F.substring_index(s, " ", -1)), F.lit(2), F.size(spots))
+        chain = F.zip_with(spots, later, lambda s, c: F.when((F.instr(s, " ") > 0) & (F.substring_index(s, " ", -1) != "") & (c != ""), F.xxhash64(s, c)))
+        return F.sort_array(F.array_distinct(F.filter(chain, lambda x: x.isNotNull())))
+
+    return _let(F.split(marked, r"\|"), chained)
+
+
+def _threes(own: Column) -> Column:
+    """Signatures of a text without any anchors' chain."""
     threes = F.transform(F.sequence(F.lit(1), F.size(own) - 2), lambda i: F.xxhash64(F.get(own, i - 1), F.get(own, i), F.get(own, i + 1)))
-    whole = F.when(F.size(own) < 3, F.array(F.xxhash64(F.array_join(own, " ")))).otherwise(F.array_sort(F.array_distinct(threes)))
-    return F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(whole))[0]
+    return F.when(F.size(own) < 3, F.array(F.xxhash64(F.array_join(own, " ")))).otherwise(F.sort_array(F.array_distinct(threes)))
 
 
 def likeness(a: Column, b: Column) -> Column:
